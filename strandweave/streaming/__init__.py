@@ -1,0 +1 @@
+"""Intentionally empty: the analysis is batch-only, it has no unbounded inputs and no event time."""
