@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.ranges import CELL, squared_gap, with_cell, with_touched_cells
+from strandweave.session import cut_lineage
 
 XYZ = ["x", "y", "z"]
 
@@ -58,36 +59,41 @@ def drop_duplicates_within(
     return (particles.join(lost, "particle_id", "left_anti"), particles.join(lost, "particle_id", "left_semi"))
 
 
-def nearest_neighbour(particles: DataFrame, cell: float) -> DataFrame:
+def nearest_neighbour(particles: DataFrame, crowd: int = 64) -> DataFrame:
     """Distance of every particle to the closest other one of its volume, exact for any spacing.
 
-    A search in shells: the first round looks within ``cell``; particles still alone are searched again
-    with twice the radius, so only isolated points pay for wide searches. A particle alone in its volume
-    has no row.
+    Equal positions are settled by an aggregation. The others are searched in shells: the first radius is
+    halved until no cell holds more than ``crowd`` positions, then particles without a hit are searched again
+    with twice the radius, so only isolated points pay for wide searches. A particle alone in its volume has
+    no row.
     """
-    from strandweave.session import cut_lineage
-
-    pts = particles.select("tomo_id", "particle_id", *XYZ)
-    counts = pts.groupBy("tomo_id").agg(
-        F.count("*").alias("_n"),
-        F.greatest(*[F.max(a) - F.min(a) for a in XYZ]).alias("_extent"))
-    companions = counts.where("_n > 1")
-    extent = companions.agg(F.max("_extent")).first()[0]
-    if extent is None:
-        return pts.limit(0).select("particle_id", "tomo_id", F.lit(0.0).alias("nn_distance"))
-    open_pts = pts.join(companions.select("tomo_id"), "tomo_id", "left_semi")
-    radius, done = float(cell), None
-    while True:
-        right = with_cell(pts.select("tomo_id", F.col("particle_id").alias("_other"),
-                                     *[F.col(a).alias("o" + a) for a in XYZ]), ["o" + a for a in XYZ], radius)
-        # compare with one aggregated row per point: only the minimum travels
-        left = with_touched_cells(open_pts, XYZ, radius, radius)
-        d = F.sqrt(squared_gap(XYZ, ["o" + a for a in XYZ]))
-        hit = left.join(right, ["tomo_id", *CELL]).where(F.col("particle_id") != F.col("_other"))
-        hit = hit.withColumn("_d", d).where(F.col("_d") <= F.lit(radius))
-        found = cut_lineage(hit.groupBy("particle_id", "tomo_id").agg(F.min("_d").alias("nn_distance")))
-        done = found if done is None else done.union(found)
-        open_pts = cut_lineage(open_pts.join(found, "particle_id", "left_anti"))
-        if open_pts.isEmpty():
-            return done
-        radius *= 2.0
+    pts = cut_lineage(particles.select("tomo_id", "particle_id", *XYZ))
+    places = cut_lineage(pts.groupBy("tomo_id", *XYZ).agg(F.count("*").alias("_n")))
+    counts = places.groupBy("tomo_id").agg(
+        F.count("*").alias("_places"), F.greatest(*[F.max(a) - F.min(a) for a in XYZ]).alias("_extent"))
+    shared = places.where("_n > 1").select("tomo_id", *XYZ, F.lit(0.0).alias("nn_distance"))
+    done = [shared]
+    extent = counts.where("_places > 1").agg(F.max("_extent")).first()[0]
+    if extent is not None:
+        open_places = cut_lineage(places.where("_n = 1").join(
+            counts.where("_places > 1").select("tomo_id"), "tomo_id", "left_semi").drop("_n"))
+        radius = extent
+        for _ in range(60):
+            busiest = with_cell(places, XYZ, radius).groupBy("tomo_id", *CELL).count().agg(F.max("count")).first()[0]
+            if busiest <= crowd:
+                break
+            radius /= 2.0
+        other = ["o" + a for a in XYZ]
+        while not open_places.isEmpty():
+            right = with_cell(places.select("tomo_id", *[F.col(a).alias("o" + a) for a in XYZ]), other, radius)
+            left = with_touched_cells(open_places, XYZ, radius, radius)
+            hit = left.join(right, ["tomo_id", *CELL]).withColumn("_d", F.sqrt(squared_gap(XYZ, other)))
+            hit = hit.where((F.col("_d") > 0) & (F.col("_d") <= F.lit(radius)))
+            found = cut_lineage(hit.groupBy("tomo_id", *XYZ).agg(F.min("_d").alias("nn_distance")))
+            done.append(found)
+            open_places = cut_lineage(open_places.join(found, ["tomo_id", *XYZ], "left_anti"))
+            radius *= 2.0
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return pts.join(out, ["tomo_id", *XYZ]).select("particle_id", "tomo_id", "nn_distance")

@@ -31,18 +31,25 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
 
 
 def group_quantiles(
-    df: DataFrame, group: list[str], value: str, tie: str, probabilities: list[float], name: str = "quantiles",
+    df: DataFrame, group: list[str], value: str, tie: str, probabilities: list[float] | Column, name: str = "quantiles",
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one array per group.
 
-    Only the order statistics next to each requested position leave the ranked table.
+    Only the order statistics next to each requested position leave the ranked table. ``probabilities``
+    may be an array expression over the group size ``_total``.
     """
-    rows = ranked(df.select(*group, value, tie), group, [value, tie], "_rank")
+    return quantiles_of_ranked(ranked(df.select(*group, value, tie), group, [value, tie], "_rank"),
+                               group, value, "_rank", probabilities, name)
+
+
+def quantiles_of_ranked(
+    rows: DataFrame, group: list[str], value: str, rank: str, probabilities: list[float] | Column, name: str,
+) -> DataFrame:
+    rows = rows.withColumn("_rank", F.col(rank))
     totals = rows.groupBy(*group).agg(F.max("_rank").alias("_total"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
-    at = (F.col("_w.p") * (F.col("_total") - 1)).alias("_pos")
-    picks = totals.select(*group, F.explode(wanted).alias("_w"), "_total")
-    picks = picks.select(*group, F.col("_w.slot").alias("_slot"), at)
+    wanted = probabilities if isinstance(probabilities, Column) else F.array(*[F.lit(float(p)) for p in probabilities])
+    picks = totals.select(*group, F.posexplode(wanted).alias("_slot", "_p"), "_total")
+    picks = picks.select(*group, "_slot", (F.col("_p") * (F.col("_total") - 1)).alias("_pos"))
     picks = picks.withColumn("_side", F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))))
     picks = picks.withColumn("_rank", F.col("_side") + 1).drop("_side")
     found = rows.join(picks, [*group, "_rank"]).groupBy(*group, "_slot").agg(
