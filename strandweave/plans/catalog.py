@@ -304,3 +304,258 @@ def sample_distances_normalised(spark, sf):
     sample = assign.sample_pairs(pairs, 10_000, pairs.count())
     d = distance.pairwise_distances(distance.transform_poses(sample, "row_no"), "row_no", RADIUS, "mean+1std")
     return d.groupBy(F.least(F.lit(9), F.floor(F.col("distance") * 10)).alias("band")).agg(F.count("*").alias("n"))
+
+
+# --- assignment and selection -------------------------------------------------------------------------
+
+_INV = (("wx", "wy", "wz"), ("iphi", "ipsi", "itheta"))
+_ASSIGN = _spread(
+    "SELECT f.id1 AS pairIDX1, f.id2 AS pairIDX2, coalesce(g.pc, 0)::INT AS pairClass, round(g.d, 4) + 0.0 AS assign_distance "
+    "FROM pr f LEFT JOIN (SELECT rn, pc, d FROM (SELECT rn, pc, d, row_number() OVER (PARTITION BY rn ORDER BY d, pc) AS o FROM near {cond}) WHERE o = 1{late}) g USING (rn)",
+    ", reach AS (SELECT pc, quantile_cont(dc, 0.9) AS r FROM cd GROUP BY pc), "
+    "cr AS (SELECT cm.*, r FROM cm JOIN reach USING (pc)), "
+    f"near AS MATERIALIZED (SELECT rn, cr.pc, r, least({O.to_centre()[2]}, {O.to_centre(*_INV)[2]}) AS d FROM (SELECT * EXCLUDE (pc) FROM pr) t CROSS JOIN cr)")
+
+
+@query("assign_to_centres", _ASSIGN.replace("{cond}", "WHERE d < r").replace("{late}", ""))
+def assign_to_centres(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    centres = assign.class_radii(pairs, RADIUS, "scale2Ang", 90.0)
+    out = assign.assign_to_centres(pairs, centres, RADIUS)
+    return out.select("pairIDX1", "pairIDX2", "pairClass", r4(F.col("assign_distance"), "assign_distance"))
+
+
+@query("assign_nearest_then_reach", _ASSIGN.replace("{cond}", "").replace("{late}", "").replace(
+    "coalesce(g.pc, 0)::INT", "coalesce(CASE WHEN g.d <= g.r THEN g.pc END, 0)::INT").replace("SELECT rn, pc, d FROM", "SELECT rn, pc, d, r FROM").replace(
+    "SELECT rn, pc, d, row_number", "SELECT rn, pc, d, r, row_number"))
+def assign_nearest_then_reach(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    centres = assign.class_radii(pairs, RADIUS, "scale2Ang", 90.0)
+    out = assign.assign_to_centres(pairs, centres, RADIUS, radius_first=False)
+    return out.select("pairIDX1", "pairIDX2", "pairClass", r4(F.col("assign_distance"), "assign_distance"))
+
+
+@query("large_classes", f"WITH {O.PAIRS}, s AS (SELECT pc FROM pr WHERE pc > 0 GROUP BY pc HAVING count(*) >= 405), "
+       "n AS (SELECT pc, row_number() OVER (ORDER BY pc) AS k FROM s) SELECT id1 AS pairIDX1, id2 AS pairIDX2, k::INT AS pairClass FROM pr JOIN n USING (pc)")
+def large_classes(spark, sf):
+    pairs = classed_pairs(spark, sf)
+    minimum = assign.minimum_size(0.2506, pairs.count())
+    return assign.select_classes(pairs, minimum).select("pairIDX1", "pairIDX2", "pairClass")
+
+
+SQL["large_classes"] = SQL["large_classes"].replace(">= 405", ">= (SELECT floor(0.2506*count(*)) FROM pr)")
+
+
+@query("chosen_pairs", f"WITH {O.PAIRS} SELECT pc AS pairClass, count(*) AS n FROM pr WHERE pc IN (1, 3) AND tomo_id = 4 GROUP BY 1")
+def chosen_pairs(spark, sf):
+    return assign.choose(classed_pairs(spark, sf), classes=[1, 3], volume=4).groupBy("pairClass").agg(F.count("*").alias("n"))
+
+
+# --- direction ----------------------------------------------------------------------------------------
+
+_SWAP = "sqrt(power(vx-mx,2)+power(vy-my,2)+power(vz-mz,2)) > sqrt(power(wx-mx,2)+power(wy-my,2)+power(wz-mz,2))"
+
+
+@query("swapped_towards_mean", f"WITH {O.PAIRS}, dir AS (SELECT pc, avg(vx) AS mx, avg(vy) AS my, avg(vz) AS mz FROM pr WHERE pc > 0 GROUP BY pc), "
+       f"s AS (SELECT pr.*, coalesce({_SWAP}, false) AS f FROM pr LEFT JOIN dir USING (pc)) SELECT CASE WHEN f THEN id2 ELSE id1 END AS pairIDX1, "
+       f"CASE WHEN f THEN id1 ELSE id2 END AS pairIDX2, {q4('CASE WHEN f THEN wx ELSE vx END', 'pairTransVectX')}, {q4('CASE WHEN f THEN iphi ELSE ephi END', 'pairTransAngleZXZPhi')}, "
+       f"{q4('CASE WHEN f THEN x2 ELSE x1 END', 'pairCoordinateX1')}, {q4('CASE WHEN f THEN theta1 ELSE theta2 END', 'pairAngleTheta2')}, "
+       "CASE WHEN f THEN cls2 ELSE cls1 END AS pairClass1 FROM s")
+def swapped_towards_mean(spark, sf):
+    pairs = classed_pairs(spark, sf)
+    means = pairs.where("pairClass > 0").groupBy("pairClass").agg(*[F.avg(v).alias("m" + a) for v, a in zip(VECT, "xyz")])
+    out = align.swap_towards(pairs, means)
+    return out.select("pairIDX1", "pairIDX2", *[r4(F.col(c), c) for c in (VECT[0], ANGLE[0], "pairCoordinateX1", "pairAngleTheta2")], "pairClass1")
+
+
+@query("aligned_directions")
+def aligned_directions(spark, sf):
+    out = align.align_directions(cut_lineage(classed_pairs(spark, sf)))
+    return out.groupBy("pairClass").agg(F.count("*").alias("n"), F.count(F.when(F.col("pairIDX1") > F.col("pairIDX2"), 1)).alias("swapped"),
+                                        *[r4(F.avg(v), v) for v in VECT])
+
+
+# --- chains -------------------------------------------------------------------------------------------
+
+_PRUNE = (", best AS (SELECT *, row_number() OVER (PARTITION BY pc, id1 ORDER BY dc, rn) AS o1, row_number() OVER (PARTITION BY pc, id2 ORDER BY dc, rn) AS o2 FROM cd), "
+          "e AS MATERIALIZED (SELECT pc, tomo_id, rn, id1, id2, cls1, cls2 FROM best WHERE o1 = 1 AND o2 = 1)")
+_WALK = (_PRUNE + ", w AS (SELECT pc, tomo_id, rn AS head, rn, id2, 1 AS step FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.pc = e.pc AND f.id2 = e.id1) "
+         "UNION ALL SELECT w.pc, w.tomo_id, w.head, e.rn, e.id2, w.step + 1 FROM w JOIN e ON e.pc = w.pc AND e.id1 = w.id2), "
+         "tr AS MATERIALIZED (SELECT e.*, w.step, dense_rank() OVER (PARTITION BY e.pc ORDER BY e.tomo_id, w.head) AS chain FROM e JOIN w USING (rn))")
+
+
+@query("pruned_edges", _spread("SELECT pc::INT AS pairClass, id1 AS pairIDX1, id2 AS pairIDX2 FROM e", _PRUNE))
+def pruned_edges(spark, sf):
+    return pruned_pairs(spark, sf).where("pairClass <> 0").select("pairClass", "pairIDX1", "pairIDX2")
+
+
+@query("tracked_chains", _spread("SELECT pc::INT AS pairClass, id1 AS pairIDX1, id2 AS pairIDX2, chain::DOUBLE AS pairLabel, step AS pairPosInPoly1, step + 1 AS pairPosInPoly2 FROM tr", _WALK))
+def tracked_chains(spark, sf):
+    t = tracking.track_chains(pruned_pairs(spark, sf)).where("pairClass <> 0")
+    return t.select("pairClass", "pairIDX1", "pairIDX2", "pairLabel", "pairPosInPoly1", "pairPosInPoly2")
+
+
+_MERGED = (f"WITH RECURSIVE {O.PAIRS}, e AS MATERIALIZED (SELECT pc, tomo_id, rn, id1, id2 FROM pr WHERE pc <> 0), "
+           "fi AS (SELECT pc, id1, min(rn) AS rn FROM e GROUP BY 1, 2), s AS MATERIALIZED (SELECT e.*, fi.rn AS nx FROM e LEFT JOIN fi ON fi.pc = e.pc AND fi.id1 = e.id2), "
+           "w AS (SELECT rn AS st, rn AS cur, nx, 1 AS step FROM s UNION ALL SELECT w.st, s.rn, s.nx, w.step + 1 FROM w JOIN s ON s.rn = w.nx), "
+           "wm AS MATERIALIZED (SELECT * FROM w), rec AS MATERIALIZED (SELECT cur AS rn FROM wm GROUP BY cur HAVING min(st) = cur), "
+           "root AS MATERIALIZED (SELECT st AS rn, arg_max(cur, step) AS comp FROM wm GROUP BY st), "
+           "own AS (SELECT cur AS rn, max(st) AS own FROM wm WHERE st IN (SELECT rn FROM rec) GROUP BY cur), "
+           "dep AS (SELECT st AS rn, count(*) AS k FROM wm WHERE cur IN (SELECT rn FROM rec) AND st IN (SELECT rn FROM rec) GROUP BY st), "
+           "num AS (SELECT rec.rn, comp, k, row_number() OVER (PARTITION BY comp ORDER BY rec.rn) AS nth FROM rec JOIN root USING (rn) JOIN dep USING (rn)), "
+           "ch AS (SELECT comp, max(CASE WHEN nth = k THEN rn END) AS key, max(rn) AS last FROM num GROUP BY comp) "
+           "SELECT s.pc::INT AS pairClass, id1 AS pairIDX1, id2 AS pairIDX2, dense_rank() OVER (PARTITION BY s.pc ORDER BY tomo_id, key) + CASE WHEN own = last THEN 0 ELSE 1 END / 10.0::DOUBLE AS pairLabel, "
+           "wm.step AS pairPosInPoly1 FROM s JOIN root USING (rn) JOIN ch USING (comp) JOIN own USING (rn) JOIN wm ON wm.st = own AND wm.cur = s.rn")
+
+
+@query("tracked_merging_chains", _MERGED)
+def tracked_merging_chains(spark, sf):
+    t = tracking.track_chains(classed_pairs(spark, sf)).where("pairClass <> 0")
+    return t.select("pairClass", "pairIDX1", "pairIDX2", "pairLabel", "pairPosInPoly1")
+
+
+_ENDS = (f"WITH RECURSIVE {O.PAIRS}, e AS MATERIALIZED (SELECT pc, tomo_id, tomo_name, rn, id1, id2 FROM pr WHERE pc <> 0), "
+         "u AS MATERIALIZED (SELECT pc, id1 AS a, id2 AS b FROM e UNION SELECT pc, id2, id1 FROM e), "
+         "reach AS (SELECT pc, a, a AS b FROM u UNION SELECT reach.pc, reach.a, u.b FROM reach JOIN u ON u.pc = reach.pc AND u.a = reach.b), "
+         "lab AS MATERIALIZED (SELECT pc, a AS id, min(b) AS comp FROM reach GROUP BY 1, 2), "
+         "n AS (SELECT pc, id, any_value(tomo_id) AS tomo_id, any_value(tomo_name) AS tomo_name, sum(o) AS o, sum(i) AS i, min(rn) AS rn FROM "
+         "(SELECT pc, id1 AS id, tomo_id, tomo_name, 1 AS o, 0 AS i, rn FROM e UNION ALL SELECT pc, id2, tomo_id, tomo_name, 0, 1, rn FROM e) GROUP BY 1, 2), "
+         "part AS (SELECT pc, comp, count(*) AS len, row_number() OVER (PARTITION BY pc ORDER BY min(tomo_id), min(rn)) AS label FROM n JOIN lab USING (pc, id) GROUP BY 1, 2) "
+         "SELECT tomo_name AS pairTomoName, tomo_id::INT AS pairTomoID, pc::INT AS pairClass, id AS pairIDX, CASE WHEN o = 0 THEN 1 ELSE 0 END AS ifWoOut, "
+         "CASE WHEN o = 0 THEN 0 ELSE 1 END AS ifWoIn, label AS pairLabel, len AS polylen_riboNr FROM n JOIN lab USING (pc, id) JOIN part USING (pc, comp) WHERE o = 0 OR i = 0")
+
+
+@query("chain_ends", _ENDS)
+def chain_ends(spark, sf):
+    return tracking.chain_ends(classed_pairs(spark, sf))
+
+
+@query("degrees", f"WITH {O.PAIRS} SELECT pc::INT AS pairClass, id AS particle_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM "
+       "(SELECT pc, id1 AS id, 1 AS o, 0 AS i FROM pr UNION ALL SELECT pc, id2, 0, 1 FROM pr) WHERE pc <> 0 GROUP BY 1, 2")
+def degrees(spark, sf):
+    return compare.degree_counts(classed_pairs(spark, sf))
+
+
+@query("branch_counts", f"WITH {O.PAIRS} SELECT pc::INT AS pairClass, tomo_id::INT AS pairTomoID, count(*) - count(DISTINCT id1) AS forks, count(*) - count(DISTINCT id2) AS merges, "
+       "greatest(count(*) - count(DISTINCT id1), count(*) - count(DISTINCT id2)) AS branches FROM pr WHERE pc <> 0 GROUP BY 1, 2")
+def branch_counts(spark, sf):
+    return compare.branch_counts(classed_pairs(spark, sf))
+
+
+@query("neighbour_classes", f"WITH {O.PAIRS}, k AS (SELECT id1, pc, row_number() OVER (PARTITION BY id1 ORDER BY rn) AS o FROM pr) SELECT id1 AS particle_id, "
+       "coalesce(string_agg(pc::VARCHAR, ';' ORDER BY o) FILTER (pc > 0) || ';', '-1;') AS classes FROM k WHERE o <= 3 GROUP BY 1")
+def neighbour_classes(spark, sf):
+    return compare.neighbour_classes(classed_pairs(spark, sf))
+
+
+_CHAINS = _WALK + ", cs AS (SELECT pc, chain, count(*) AS n, min(tomo_id) AS t FROM tr GROUP BY 1, 2)"
+
+
+@query("class_chain_statistics", _spread(
+    "SELECT pc::INT AS pairClass, count(*) FILTER (n > 5) AS \"numPolybg5\", count(*) FILTER (n > 3) AS \"numPolybg3\", max(n) AS \"numPolyMax\", "
+    "arg_min(chain, (-n, chain)) AS \"polyIDMax\", arg_min(t, (-n, chain))::BIGINT AS \"tomoNrPolyMax\" FROM cs GROUP BY 1", _CHAINS))
+def class_chain_statistics(spark, sf):
+    t = tracking.track_chains(pruned_pairs(spark, sf)).where("pairClass <> 0")
+    return summary.class_chain_statistics(t).drop("numBranch")
+
+
+@query("chain_statistics", _spread(
+    "SELECT count(DISTINCT step)::BIGINT AS num, any_value(tomo_id)::INT AS \"tomoNr\", pc::INT AS \"classNr\", chain AS \"polyID\", 0 AS \"hasBranch\", "
+    "arg_min(cls1, step) || '-' || string_agg(cls2::VARCHAR, '-' ORDER BY step) AS \"confClassVect\", "
+    "arg_min(id1, step) || '-' || string_agg(id2::VARCHAR, '-' ORDER BY step) AS \"posInListVect\" FROM tr GROUP BY pc, chain", _WALK))
+def chain_statistics(spark, sf):
+    return summary.chain_statistics(tracking.track_chains(pruned_pairs(spark, sf)))
+
+
+@query("chain_lengths", _spread("SELECT pc::INT AS pairClass, n + 1 AS particles, count(*) AS chains FROM cs GROUP BY 1, 2", _CHAINS))
+def chain_lengths(spark, sf):
+    return summary.chain_lengths(tracking.track_chains(pruned_pairs(spark, sf)))
+
+
+@query("longest_chains", _spread("SELECT tr.pc::INT AS pairClass, tr.chain, id1 AS pairIDX1, id2 AS pairIDX2 FROM tr JOIN (SELECT pc, arg_min(chain, (-n, chain)) AS chain FROM cs GROUP BY 1) USING (pc, chain)", _CHAINS))
+def longest_chains(spark, sf):
+    t = summary.longest_chains(tracking.track_chains(pruned_pairs(spark, sf)))
+    return t.select("pairClass", "chain", "pairIDX1", "pairIDX2")
+
+
+@query("user_sessions_as_chains", "WITH e AS (SELECT user_id, event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events), "
+       "k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a) AS step FROM e WHERE b IS NOT NULL) "
+       "SELECT user_id, a AS pairIDX1, b AS pairIDX2, dense_rank() OVER (ORDER BY user_id) AS chain, step FROM k")
+def user_sessions_as_chains(spark, sf):
+    """Consecutive events of a user are edges: one class, the user is the volume."""
+    nxt = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    edges = table(spark, sf, "events").select("user_id", F.col("event_id").alias("pairIDX1"), nxt.alias("pairIDX2"))
+    edges = edges.where("pairIDX2 is not null").select(
+        F.lit(1).alias("pairClass"), F.col("user_id").alias("pairTomoID"), "pairIDX1", "pairIDX2", F.col("pairIDX1").alias("row_no"))
+    edges = cut_lineage(edges)
+    return edges.join(tracking.track(edges).drop("pairClass"), "row_no").select(
+        F.col("pairTomoID").alias("user_id"), "pairIDX1", "pairIDX2", "chain", "step")
+
+
+# --- overlap, loss, agreement --------------------------------------------------------------------------
+
+_MEM = ", mem AS MATERIALIZED (SELECT DISTINCT pc, unnest([id1, id2]) AS id FROM pr)"
+
+
+@query("class_overlap", f"WITH {O.PAIRS}{_MEM}, sz AS (SELECT pc, count(*) AS n FROM mem GROUP BY 1), "
+       "ov AS (SELECT a.pc AS c1, b.pc AS c2, count(*) AS k FROM mem a JOIN mem b ON a.id = b.id AND a.pc < b.pc GROUP BY 1, 2) "
+       "SELECT 'c' || a.pc || '_c' || b.pc AS pairClass, a.n AS \"riboNr_C1\", b.n AS \"riboNr_C2\", coalesce(k, 0) AS \"overlapRiboNr\", "
+       "round_even(coalesce(k, 0)/a.n, 3) AS \"overlapRatioOfC1\", round_even(coalesce(k, 0)/b.n, 3) AS \"overlapRatioOfC2\" "
+       "FROM sz a JOIN sz b ON a.pc < b.pc LEFT JOIN ov ON c1 = a.pc AND c2 = b.pc")
+def class_overlap(spark, sf):
+    return summary.class_overlap(cut_lineage(classed_pairs(spark, sf)))
+
+
+_KEPT = ", kept AS (SELECT * FROM pr WHERE pc IN (1, 2))"
+
+
+@query("drop_summary", f"WITH {O.PAIRS}{_KEPT}, b AS (SELECT DISTINCT unnest([id1, id2]) AS id FROM pr), k AS (SELECT DISTINCT unnest([id1, id2]) AS id FROM kept) "
+       "SELECT (SELECT count(*) FROM pr) - (SELECT count(*) FROM kept) AS \"dropRelinkTransNr\", (SELECT count(*) FROM kept) AS \"keepTransNr\", "
+       "(SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM k)) AS \"dropRelinkRiboNr\", (SELECT count(*) FROM p) - (SELECT count(*) FROM b) AS \"aloneRiboNr\", "
+       "(SELECT count(*) FROM p) AS \"totalRiboNr\", (SELECT count(*) FROM k) AS \"keepRiboNr\"")
+def drop_summary(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    return summary.drop_summary(particles_from_embeddings(spark, sf), pairs, assign.choose(pairs, classes=[1, 2]))
+
+
+@query("dropped_particles", f"WITH {O.PAIRS}{_KEPT} SELECT DISTINCT unnest([id1, id2]) AS particle_id FROM pr EXCEPT SELECT DISTINCT unnest([id1, id2]) FROM kept")
+def dropped_particles(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    return summary.dropped_particles(pairs, assign.choose(pairs, classes=[1, 2]))
+
+
+@query("lonely_particles", f"WITH {O.PAIRS} SELECT particle_id, tomo_id::INT AS tomo_id FROM p WHERE particle_id NOT IN (SELECT unnest([id1, id2]) FROM pr)")
+def lonely_particles(spark, sf):
+    return summary.lonely_particles(particles_from_embeddings(spark, sf), raw_pairs(spark, sf)).select("particle_id", "tomo_id")
+
+
+@query("class_members", f"WITH {O.PAIRS} SELECT DISTINCT pc AS pairClass, unnest([id1, id2]) AS particle_id FROM pr WHERE pc > 0")
+def class_members(spark, sf):
+    return summary.members(classed_pairs(spark, sf).where("pairClass > 0"), "pairClass")
+
+
+@query("missing_pairs", f"WITH {O.PAIRS}{_KEPT} SELECT id1 AS pairIDX1, id2 AS pairIDX2 FROM pr WHERE (id1, id2) NOT IN (SELECT (id1, id2) FROM kept)")
+def missing_pairs(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    means = pairs.where("pairClass > 0").groupBy("pairClass").agg(*[F.avg(v).alias("m" + a) for v, a in zip(VECT, "xyz")])
+    after = align.swap_towards(assign.choose(pairs, classes=[1, 2]), means)
+    return compare.missing_pairs(pairs, after).select("pairIDX1", "pairIDX2")
+
+
+@query("class_agreement", f"WITH {O.PAIRS}, c AS (SELECT id1, id2, (cls1 * cls2 + cls1) % 5 AS cc, pc FROM pr), tp AS (SELECT cc, pc, count(*) AS t FROM c WHERE cc <> 0 GROUP BY 1, 2), "
+       "ns AS (SELECT pc, count(*) AS n FROM c GROUP BY 1), nc AS (SELECT cc, count(*) AS m FROM c GROUP BY 1) "
+       f"SELECT cc AS pairClass, {q4('max(100.0*t/n)', 'recall')}, {q4('max(100.0*t/m)', 'precision')} FROM tp JOIN ns USING (pc) JOIN nc USING (cc) GROUP BY 1")
+def class_agreement(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    other = pairs.withColumn("pairClass", (F.col("pairClass1") * F.col("pairClass2") + F.col("pairClass1")) % 5)
+    a = compare.class_agreement(pairs, other)
+    return a.select("pairClass", r4(F.col("recall"), "recall"), r4(F.col("precision"), "precision"))
+
+
+@query("class_contingency", f"WITH {O.PAIRS}, m AS (SELECT pc, unnest([cls1, cls2]) AS c FROM pr), k AS (SELECT pc, c, count(*) AS n FROM m GROUP BY 1, 2), "
+       "j AS (SELECT pc, cls1, cls2, count(*) AS n FROM pr GROUP BY 1, 2, 3) "
+       f"SELECT j.pc AS pairClass, cls1 AS pairClass1, cls2 AS pairClass2, j.n, a.n AS n1, b.n AS n2, {q4('j.n / (a.n + b.n)', 'share')} FROM j "
+       "JOIN k a ON a.pc = j.pc AND a.c = cls1 JOIN k b ON b.pc = j.pc AND b.c = cls2")
+def class_contingency(spark, sf):
+    c = summary.class_contingency(classed_pairs(spark, sf))
+    return c.withColumn("share", r4(F.col("share"), "share"))
