@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from strandweave.functions import rotation as R
 from strandweave.operators.distance import CENTRE_EULER, CENTRE_SHIFT, distance_to_centre
 from strandweave.schema import ANGLE, CHAIN_STAT_COLUMNS, CLASS_STAT_COLUMNS, VECT
+from strandweave.session import ship_code
 
 _AXES = [(a, b) for i, a in enumerate("wxyz") for b in "wxyz"[i:]]
 
@@ -32,6 +33,7 @@ def mean_rotation(df: DataFrame, group: list[str], euler: list[str], names: list
     The ten sums combine map-side, so a group of any size costs one row per task; only the groups' own
     4x4 matrices are decomposed.
     """
+    ship_code(df.sparkSession)
     q = R.quat_from_zxz(*(F.col(c) for c in euler))
     staged = df.select("*", *q.columns("_q"))
     sums = [F.sum(F.col("_q" + a) * F.col("_q" + b)) for a, b in _AXES]

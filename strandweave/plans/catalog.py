@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import rotation as R
@@ -15,6 +15,7 @@ from strandweave.operators import (
     align, assign, compare, distance, figures, fill, fit, geometry, linkage, pairs as P, preprocess, ranking, summary, tracking,
 )
 from strandweave.plans import oracle as O
+from strandweave.sources import lists, star, volume
 from strandweave.plans.views import particles_from_embeddings, table
 from strandweave.schema import ANGLE, EULER1, EULER2, INV_ANGLE, INV_VECT, VECT
 from strandweave.session import cut_lineage
@@ -483,10 +484,11 @@ def longest_chains(spark, sf):
        "SELECT user_id, a AS pairIDX1, b AS pairIDX2, dense_rank() OVER (ORDER BY user_id) AS chain, step FROM k")
 def user_sessions_as_chains(spark, sf):
     """Consecutive events of a user are edges: one class, the user is the volume."""
-    nxt = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
-    edges = table(spark, sf, "events").select("user_id", F.col("event_id").alias("pairIDX1"), nxt.alias("pairIDX2"))
-    edges = edges.where("pairIDX2 is not null").select(
-        F.lit(1).alias("pairClass"), F.col("user_id").alias("pairTomoID"), "pairIDX1", "pairIDX2", F.col("pairIDX1").alias("row_no"))
+    nth = cut_lineage(ranking.ranked(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], "nth"))
+    nxt = nth.select("user_id", (F.col("nth") - 1).alias("nth"), F.col("event_id").alias("pairIDX2"))
+    edges = nth.join(nxt, ["user_id", "nth"]).select(
+        F.lit(1).alias("pairClass"), F.col("user_id").alias("pairTomoID"), F.col("event_id").alias("pairIDX1"), "pairIDX2",
+        F.col("event_id").alias("row_no"))
     edges = cut_lineage(edges)
     return edges.join(tracking.track(edges).drop("pairClass"), "row_no").select(
         F.col("pairTomoID").alias("user_id"), "pairIDX1", "pairIDX2", "chain", "step")
@@ -559,3 +561,231 @@ def class_agreement(spark, sf):
 def class_contingency(spark, sf):
     c = summary.class_contingency(classed_pairs(spark, sf))
     return c.withColumn("share", r4(F.col("share"), "share"))
+
+
+# --- geometry -----------------------------------------------------------------------------------------
+
+_GEO = (f"WITH {O.PAIRS}, g AS MATERIALIZED (SELECT id1, id2, pc, vx, vy, vz, {O.matrix('ephi', 'epsi', 'etheta', 'r')} FROM pr), "
+        f"h AS (SELECT *, {O.times('r', 'r', 'm')}, {', '.join(f'-({e}) AS s{n}' for e, n in zip(O.turned('r', ('vx', 'vy', 'vz'), True), 'xyz'))} FROM g) ")
+
+
+@query("forward_backward", _GEO + "SELECT id1 AS pairIDX1, id2 AS pairIDX2, " +
+       ", ".join(q4(f"{e} + v{n}", f"fr{n}") for e, n in zip(O.turned("r", ("vx", "vy", "vz")), "xyz")) + ", " +
+       ", ".join(q4(f"{e} + s{n}", f"in{n}") for e, n in zip(O.turned("r", ("sx", "sy", "sz"), True), "xyz")) +
+       f", {_E[0]} AS frphi, {_E[2]} AS frtheta FROM h")
+def forward_backward(spark, sf):
+    out = geometry.forward_backward(raw_pairs(spark, sf), VECT, ANGLE, repeat=2)
+    return out.select("pairIDX1", "pairIDX2", *[r4(F.col(p + a), p + a) for p in ("fr", "in") for a in "xyz"], "frphi", "frtheta")
+
+
+@query("centred_points", _GEO + "SELECT " + ", ".join(q4(f"v{n} + 100", f"fr{n}") for n in "xyz") + ", " +
+       ", ".join(q4(f"s{n} + 100", f"in{n}") for n in "xyz") + ", pc AS class, '0-0-0' AS color FROM h")
+def centred_points(spark, sf):
+    pairs = raw_pairs(spark, sf).withColumn("pairClass", (F.col("pairClass1") + F.col("pairClass2")) % 4)
+    out = geometry.centred_points(pairs, (100.0, 100.0, 100.0))
+    return out.select(*[r4(F.col(c), c) for c in out.columns[:6]], "class", "color")
+
+
+@query("three_neighbours", O.recursive(O.PAIRS, O.class_means(), f"g AS (SELECT *, {O.matrix('cphi', 'cpsi', 'ctheta', 'r')} FROM cm)") +
+       ", ".join(["SELECT pc::INT AS pairClass, 'in' AS edge"] + [q4(f"-({e})", n) for e, n in zip(O.turned("r", ("cx", "cy", "cz"), True), "xyz")]) +
+       " FROM g UNION ALL SELECT pc, 'fr', round(cx, 4) + 0.0, round(cy, 4) + 0.0, round(cz, 4) + 0.0 FROM g")
+def three_neighbours(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    stats = summary.class_statistics(pairs, RADIUS)
+    means = geometry.centred_means(stats, pairs.select("pairClass", "pairClassColour").distinct())
+    e = geometry.three_neighbours(means)
+    first = F.col("pairCoordinateX2") == 0
+    return e.select(F.col("pairClass"), F.when(first, "in").otherwise("fr").alias("edge"),
+                    *[r4(F.when(first, F.col(f"pairCoordinate{a}1")).otherwise(F.col(f"pairCoordinate{a}2")), a.lower()) for a in "XYZ"])
+
+
+_A, _B = (8.0, -3.0, 5.0), (-4.0, 6.0, 2.0)
+
+
+def _site_sql() -> str:
+    parts = []
+    for k in (1, 2):
+        for n, off in (("a", _A), ("e", _B)):
+            parts += [f"{e} + {ax}{k} AS {n}{k}{ax}" for e, ax in zip(O.turned(f"r{k}", tuple(str(o) for o in off)), "xyz")]
+    return ", ".join(parts)
+
+
+_SITES = (_WALK + ", lg AS (SELECT pc, chain FROM tr GROUP BY 1, 2 HAVING count(*) >= 2), "
+          f"st AS (SELECT tr.id1, tr.id2, tr.pc, chain, pr.* EXCLUDE (id1, id2, pc), {O.matrix('phi1', 'psi1', 'theta1', 'r1')}, {O.matrix('phi2', 'psi2', 'theta2', 'r2')} "
+          f"FROM tr JOIN lg USING (pc, chain) JOIN pr USING (rn)), ss AS (SELECT *, {_site_sql()} FROM st)")
+
+
+@query("site_paths", _spread(
+    "SELECT id1 AS \"pairIdx1\", id2 AS \"pairIdx2\", " + ", ".join(q4(f"{n.lower()}{k}{a.lower()}", f'"coord{n}{a}{k}"') for n in "AE" for k in (1, 2) for a in "XYZ") +
+    ", pc::INT AS \"polyClass\", chain::DOUBLE AS \"polyLabel\", CASE WHEN sqrt(power(a1x-e2x,2)+power(a1y-e2y,2)+power(a1z-e2z,2)) > "
+    "sqrt(power(a2x-e1x,2)+power(a2y-e1y,2)+power(a2z-e1z,2)) THEN 'A2E1' ELSE 'A1E2' END AS \"linkType\" FROM ss", _SITES))
+def site_paths(spark, sf):
+    t = tracking.track_chains(pruned_pairs(spark, sf)).where("pairClass <> 0")
+    s = geometry.site_paths(t, _A, _B, min_edges=2)
+    return s.select("pairIdx1", "pairIdx2", *[r4(F.col(c), c) for c in s.columns if c.startswith("coord")], "polyClass", "polyLabel", "linkType")
+
+
+@query("cosine_similarity", f"WITH {O.PAIRS} SELECT id1 AS pairIDX1, id2 AS pairIDX2, {q4('(vx*wx + vy*wy + vz*wz)/(sqrt(vx*vx+vy*vy+vz*vz)*sqrt(wx*wx+wy*wy+wz*wz))', 'cosine')} FROM pr")
+def cosine_similarity(spark, sf):
+    return raw_pairs(spark, sf).select("pairIDX1", "pairIDX2", r4(geometry.cosine_similarity(VECT, INV_VECT), "cosine"))
+
+
+@query("plane_fit", f"WITH {O.PARTICLES}, s AS (SELECT tomo_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*z) AS xz, "
+       "sum(y*z) AS yz, count(*) AS n FROM p GROUP BY 1), t AS (SELECT *, xx-n*mx*mx AS a11, xy-n*mx*my AS a12, yy-n*my*my AS a22, xz-n*mx*mz AS b1, yz-n*my*mz AS b2 FROM s), "
+       "u AS (SELECT *, (b1*a22-b2*a12)/(a11*a22-a12*a12) AS a, (b2*a11-b1*a12)/(a11*a22-a12*a12) AS b FROM t) "
+       f"SELECT tomo_id::INT AS tomo_id, {q4('a', 'a')}, {q4('b', 'b')}, {q4('mz - a*mx - b*my', 'c')} FROM u")
+def plane_fit(spark, sf):
+    f = geometry.fit_plane(particles_from_embeddings(spark, sf), ["tomo_id"])
+    return f.select("tomo_id", r4(F.col("a"), "a"), r4(F.col("b"), "b"), r4(F.col("c"), "c"))
+
+
+_IMG = "SELECT vec_id, (u.k - 1) % 8 AS i0, (u.k - 1) // 8 AS i1, embedding[u.k]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) u"
+
+
+@query("shifted_images", f"WITH i AS ({_IMG}), g AS (SELECT vec_id, a.i0, b.i1 FROM (SELECT vec_id FROM embeddings), (SELECT unnest(range(0, 8)) AS i0) a, (SELECT unnest(range(0, 8)) AS i1) b) "
+       f"SELECT g.vec_id, g.i0::INT AS i0, g.i1::INT AS i1, {q4('coalesce(v, 0)', 'value')} FROM g LEFT JOIN i ON i.vec_id = g.vec_id AND i.i0 = g.i0 - 2 AND i.i1 = g.i1 + 1")
+def shifted_images(spark, sf):
+    px = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "value"))
+    px = px.select("vec_id", F.pmod("k", F.lit(8)).alias("i0"), F.floor(F.col("k") / 8).cast("int").alias("i1"), F.col("value").cast("double"))
+    out = geometry.shift_image(px, (2, -1), (8, 8))
+    return out.select("vec_id", "i0", "i1", r4(F.col("value"), "value"))
+
+
+# --- lists and figures --------------------------------------------------------------------------------
+
+_AVG = lists.Averaging("average XXX_inList_XXX XXX_outAVG_XXX XXX_maxRes_XXX XXX_pix_XXX XXX_cpuNr_XXX", 3.42, 20.0, 4, 100, 300)
+
+
+@query("averaging_subset", f"WITH {O.PAIRS}{_MEM}, k AS (SELECT pc, id, count(*) OVER (PARTITION BY pc) AS n, row_number() OVER (PARTITION BY pc ORDER BY id) AS o FROM mem WHERE pc > 0) "
+       "SELECT pc AS pairClass, id AS particle_id FROM k WHERE n > 100 AND o <= 300")
+def averaging_subset(spark, sf):
+    m = summary.members(classed_pairs(spark, sf).where("pairClass > 0"), "pairClass")
+    return lists.averaging_subset(m, _AVG)
+
+
+@query("averaging_calls", f"WITH {O.PAIRS}{_MEM}, k AS (SELECT pc, count(*) AS n FROM mem WHERE pc > 0 GROUP BY 1) SELECT pc AS pairClass, n AS particles, "
+       "'average clusters/c' || pc || '/particleCenter/allParticles' || CASE WHEN n > 300 THEN '_subset' ELSE '' END || '.star vis/averages/c' || pc || '_all.mrc 20.0 3.42 4 &> vis/averages/log/c' || pc || '_all.log' AS command FROM k WHERE n > 100")
+def averaging_calls(spark, sf):
+    m = summary.members(classed_pairs(spark, sf).where("pairClass > 0"), "pairClass")
+    return lists.averaging_calls(m, _AVG, "clusters", "vis/averages")
+
+
+_QA, _QB = O.quaternion("phi1", "psi1", "theta1"), O.quaternion("phi2", "psi2", "theta2")
+_MEANQ = (f"WITH {O.PAIRS}, q AS (SELECT *, {', '.join(f'{e} AS a{k}' for k, e in enumerate(_QA))}, {', '.join(f'{e} AS b{k}' for k, e in enumerate(_QB))} FROM pr), "
+          "s AS (SELECT *, CASE WHEN a0*b0+a1*b1+a2*b2+a3*b3 < 0 THEN -1 ELSE 1 END AS sg FROM q), t AS (SELECT *, a0+sg*b0 AS w, a1+sg*b1 AS i, a2+sg*b2 AS j, a3+sg*b3 AS k FROM s), "
+          "u AS (SELECT *, w*w+i*i+j*j+k*k AS n FROM t), m AS (SELECT *, 1-2*(i*i+j*j)/n AS m22, 2*(i*k-w*j)/n AS m20, 2*(j*k+w*i)/n AS m21, 2*(i*k+w*j)/n AS m02, 2*(j*k-w*i)/n AS m12, 2*(i*j+w*k)/n AS m10, 1-2*(j*j+k*k)/n AS m00 FROM u), "
+          f"e AS (SELECT *, {_E[0]} AS ph, {_E[1]} AS ps, {_E[2]} AS th FROM m), z AS (SELECT id1, id2, x1, x2, y1, y2, {O.matrix('ph', 'ps', 'th', 'z')} FROM e) ")
+
+
+@query("pair_centres", _MEANQ + "SELECT id1 AS pairIDX1, id2 AS pairIDX2, round_even((x1+x2)/2, 0)::BIGINT AS x, round_even((y1+y2)/2, 0)::BIGINT AS y, "
+       "round_even(degrees(atan2(z21, z20)), 4) + 0.0 AS rot, round_even(degrees(acos(z22)), 4) + 0.0 AS tilt FROM z")
+def pair_centres(spark, sf):
+    pairs = classed_pairs(spark, sf)
+    c = lists.pair_centres(pairs)
+    return c.join(pairs.select("row_no", "pairIDX1", "pairIDX2"), "row_no").select("pairIDX1", "pairIDX2", "x", "y", "rot", "tilt")
+
+
+@query("vector_field", f"WITH {O.PAIRS}, g AS (SELECT *, {O.matrix('phi1', 'psi1', 'theta1', 'r')} FROM pr) SELECT id1 AS pairIDX1, id2 AS pairIDX2, "
+       f"{q4('x1 + 0.35*(x2-x1)', 'midX')}, {', '.join(q4(e, 'arrow' + n) for e, n in zip(O.turned('r', ('0', '20', '0')), 'XYZ'))}, 0.0::DOUBLE AS red, false AS inserted FROM g".replace("midX", '"midX"').replace("arrowX", '"arrowX"').replace("arrowY", '"arrowY"').replace("arrowZ", '"arrowZ"'))
+def vector_field(spark, sf):
+    f = figures.vector_field(raw_pairs(spark, sf))
+    return f.select("pairIDX1", "pairIDX2", *[r4(F.col(c), c) for c in ("midX", "arrowX", "arrowY", "arrowZ")], "red", "inserted")
+
+
+@query("preview_volumes", f"WITH {O.PAIRS} SELECT tomo_id::INT AS pairTomoID, count(*) AS n FROM pr WHERE tomo_id IN (SELECT DISTINCT tomo_id FROM pr ORDER BY 1 LIMIT 5) GROUP BY 1")
+def preview_volumes(spark, sf):
+    return figures.first_volumes(raw_pairs(spark, sf)).groupBy("pairTomoID").agg(F.count("*").alias("n"))
+
+
+@query("transform_scatter", f"WITH {O.PAIRS} SELECT pc AS pairClass, {q4('avg(vx*0.342)', 'x_nm')}, {q4('max(vy*0.342)', 'y_nm')}, {q4('avg(etheta)', 'theta')} FROM pr GROUP BY 1")
+def transform_scatter(spark, sf):
+    s = figures.transform_scatter(classed_pairs(spark, sf))
+    return s.groupBy("pairClass").agg(r4(F.avg("x_nm"), "x_nm"), r4(F.max("y_nm"), "y_nm"), r4(F.avg(ANGLE[2]), "theta"))
+
+
+@query("distance_histogram", _spread("SELECT pc::INT AS pairClass, least(19, floor((dc-lo)/(hi-lo)*20))::BIGINT AS bin, count(*) AS n FROM cd JOIN (SELECT pc, min(dc) AS lo, max(dc) AS hi FROM cd GROUP BY 1) USING (pc) GROUP BY 1, 2"))
+def distance_histogram(spark, sf):
+    d = summary.class_distances(classed_pairs(spark, sf).where("pairClass > 0"), RADIUS, "scale2Ang")
+    return figures.histogram(cut_lineage(d.select("pairClass", "cn_distance")), ["pairClass"], "cn_distance", 20)
+
+
+@query("price_quantiles", "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.05), 4) AS q05, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, "
+       "round(quantile_cont(l_extendedprice, 0.9), 4) AS q90 FROM lineitem GROUP BY 1, 2")
+def price_quantiles(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("line"))
+    q = ranking.group_quantiles(li, ["l_returnflag", "l_linestatus"], "l_extendedprice", "line", [0.05, 0.5, 0.9], "q")
+    return q.select("l_returnflag", "l_linestatus", *[F.round(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q05", "q50", "q90"))])
+
+
+@query("shared_members", f"WITH {O.PAIRS}{_MEM} SELECT id AS particle_id FROM mem WHERE pc = 1 INTERSECT SELECT id FROM mem WHERE pc = 2 EXCEPT SELECT id FROM mem WHERE pc = 3")
+def shared_members(spark, sf):
+    m = cut_lineage(summary.members(classed_pairs(spark, sf), "pairClass"))
+    of = lambda c: m.where(F.col("pairClass") == c).select("particle_id")
+    return of(1).intersect(of(2)).exceptAll(of(3))
+
+
+# --- distributions ------------------------------------------------------------------------------------
+
+def _class_distances(spark, sf):
+    pairs = classed_pairs(spark, sf).where("pairClass > 0")
+    return cut_lineage(summary.class_distances(pairs, RADIUS, "scale2Ang").select("pairClass", "cn_distance", "row_no"))
+
+
+_Z = ", zs AS (SELECT pc, (dc - avg(dc) OVER (PARTITION BY pc)) / stddev_pop(dc) OVER (PARTITION BY pc) AS z, rn FROM cd), zp AS (SELECT pc, min(z) AS lo, avg(z) - min(z) AS sc, count(*) AS n FROM zs GROUP BY 1)"
+_EXPON = _Z + (", zr AS (SELECT *, row_number() OVER (PARTITION BY pc ORDER BY z, rn) AS o FROM zs), ks AS (SELECT pc, max(greatest(1-exp(-(z-lo)/sc)-(o-1)/n, o/n-(1-exp(-(z-lo)/sc)))) AS ks FROM zr JOIN zp USING (pc) GROUP BY 1), "
+               "ed AS MATERIALIZED (SELECT pc, k, quantile_cont(z, k/20.0::DOUBLE) AS e FROM zs CROSS JOIN (SELECT unnest(range(0, 21)) AS k) GROUP BY pc, k)")
+
+
+def _expon_sql() -> str:
+    ed = ", ed AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT pc, {k} AS k, quantile_cont(z, {k}/20.0::DOUBLE) AS e FROM zs GROUP BY pc" for k in range(21)) + ")"
+    return _spread(
+        "SELECT pc::INT AS pairClass, 'expon' AS distribution, round_even(sum((n*(fb-fa)-ob)*(n*(fb-fa)-ob)/ob), 2) AS chi_square, round_even(any_value(ks), 2) AS \"KS_stat\" FROM "
+        "(SELECT b.pc, n, ks, 1-exp(-(e0-lo)/sc) AS fa, 1-exp(-(e1-lo)/sc) AS fb, (SELECT count(*) FROM zs WHERE zs.pc = b.pc AND z >= e0 AND (z < e1 OR (k = 19 AND z <= e1))) AS ob "
+        "FROM bins b JOIN zp USING (pc) JOIN ks USING (pc)) GROUP BY 1",
+        _EXPON[:_EXPON.index("ed AS MATERIALIZED")].rstrip(", ") + ed + ", bins AS (SELECT a.pc, a.k, a.e AS e0, b.e AS e1 FROM ed a JOIN ed b ON a.pc = b.pc AND b.k = a.k + 1)")
+
+
+@query("exponential_fit", _expon_sql())
+def exponential_fit(spark, sf):
+    f = fit.fit_distributions(_class_distances(spark, sf), ["pairClass"], "cn_distance", "row_no", ["expon"])
+    return f.select("pairClass", "distribution", "chi_square", "KS_stat")
+
+
+@query("fitted_distributions")
+def fitted_distributions(spark, sf):
+    f = fit.fit_distributions(_class_distances(spark, sf), ["pairClass"], "cn_distance", "row_no", fit.MODELS)
+    return f.drop("params")
+
+
+@query("exponential_p_values", _spread(f"SELECT pc::INT AS pairClass, rn::BIGINT AS nth, {q4('exp(-(z-lo)/sc)', 'p')} FROM (SELECT *, row_number() OVER (PARTITION BY pc ORDER BY zs.rn) AS o FROM zs) zs JOIN zp USING (pc)".replace("rn::BIGINT AS nth", "o AS nth"), _Z))
+def exponential_p_values(spark, sf):
+    z = cut_lineage(fit.standardise(_class_distances(spark, sf), ["pairClass"], "cn_distance"))
+    params = fit.fit_parameters(z, ["pairClass"], "z", "expon")
+    out = z.join(params, "pairClass").withColumn("p", fit.p_value("expon", F.col("z"), F.col("params")))
+    return ranking.ranked(out.select("pairClass", "row_no", "p"), ["pairClass"], ["row_no"], "nth").select("pairClass", "nth", r4(F.col("p"), "p"))
+
+
+@query("density_borders")
+def density_borders(spark, sf):
+    return fit.kde_borders(_class_distances(spark, sf), ["pairClass"], "cn_distance")
+
+
+_ERR = O.to_centre()
+
+
+@query("error_distances", O.recursive(O.PAIRS, O.class_means(), f"er AS (SELECT cm.pc AS \"classNr\", t.own = cm.pc AS same, ({_ERR[0]})/300*180 AS dv, {_ERR[1]} AS da, {_ERR[2]} AS dc FROM (SELECT * EXCLUDE (pc), pc AS own FROM pr) t CROSS JOIN cm)") +
+       f"SELECT \"classNr\"::INT AS \"classNr\", same, count(*) AS n, {q4('avg(dv)', 'vect')}, {q4('avg(da)', 'angle')}, {q4('avg(dc)', 'combined')} FROM er GROUP BY 1, 2")
+def error_distances(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    centres = summary.class_centres(pairs.where("pairClass > 0"))
+    e = compare.error_distances(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0"))
+    return e.groupBy("classNr", "same").agg(F.count("*").alias("n"), *[r4(F.avg(c), c) for c in ("vect", "angle", "combined")])
+
+
+@query("error_overlap")
+def error_overlap(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    centres = summary.class_centres(pairs.where("pairClass > 0"))
+    e = cut_lineage(compare.error_distances(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0")))
+    border = fit.kde_borders(e.where("same"), ["classNr"], "combined")
+    return fit.kde_overlap(e, ["classNr"], "same", "combined").join(border, "classNr")

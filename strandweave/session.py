@@ -7,7 +7,9 @@ be lost at any moment, so executor-local checkpoints are never used.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once per Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandweave_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "strandweave.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._strandweave_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
