@@ -29,12 +29,16 @@ def average_linkage(distances: DataFrame, stop_at: float | None = None) -> DataF
     merges = []
     while True:
         scored = table.withColumn("d", F.col("total") / (F.col("na") * F.col("nb")))
-        sides = scored.select(F.explode(F.array("a", "b")).alias("c"), F.struct("d", "a", "b", "na", "nb").alias("e"))
-        nearest = sides.groupBy("c").agg(F.min("e").alias("e"))
-        mutual = nearest.groupBy("e").count().where("count = 2").select("e.*")
+        nearest = scored.select("d", F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.min("d").alias("m"))
+        nearest = cut_lineage(nearest)  # one row per cluster of the sample: a lookup of bounded size
+        ends = scored.join(F.broadcast(nearest.toDF("a", "ma")), "a").join(F.broadcast(nearest.toDF("b", "mb")), "b")
+        close = ends.where("d = ma and d = mb").select("d", "a", "b", "na", "nb")
         if stop_at is not None:
-            mutual = mutual.where(F.col("d") < F.lit(float(stop_at)))
-        mutual = cut_lineage(mutual)
+            close = close.where(F.col("d") < F.lit(float(stop_at)))
+        # equal heights may offer a cluster several partners: the smallest edge of both ends decides
+        close = cut_lineage(close)
+        first = close.select(F.explode(F.array("a", "b")).alias("c"), F.struct(*close.columns).alias("e")).groupBy("c").agg(F.min("e").alias("e"))
+        mutual = cut_lineage(first.groupBy("e").count().where("count = 2").select("e.*"))
         if mutual.isEmpty():
             break
         merges.append(mutual.select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("d").alias("height"),

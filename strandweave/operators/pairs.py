@@ -111,5 +111,5 @@ def with_row_order(pairs: DataFrame) -> DataFrame:
     from strandweave.session import cut_lineage
 
     keys = ["pairTomoID", "pairIDX1", "pairIDX2"]
-    stored = cut_lineage(pairs.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    return stored.withColumn("row_no", F.monotonically_increasing_id())
+    placed = pairs.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return cut_lineage(placed.withColumn("row_no", F.monotonically_increasing_id()))

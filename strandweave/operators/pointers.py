@@ -2,7 +2,7 @@
 
 Chains are followed by doubling: every round a node's pointer skips to its pointer's pointer, so a chain of
 length L needs log2(L) joins instead of L, and no chain is ever gathered in one place. The rounds work on
-two or three narrow columns and cut their lineage with reliable checkpoints.
+two or three narrow columns and cut their lineage with written tables.
 """
 
 from __future__ import annotations

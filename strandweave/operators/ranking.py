@@ -19,8 +19,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     """Adds the 1-based position of the row inside its group; ``order`` should end in a unique column,
     which also keeps equal values from piling up in one partition."""
     keys = [*group, *order]
-    stored = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    stored = stored.withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    stored = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()))
     stored = stored.withColumn("_part", F.shiftright("_at", _SHIFT))
     sizes = stored.groupBy(*group, "_part").agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ Every query reads a whole table. Particles come from ``embeddings`` (see :mod:`v
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from strandweave.plans import oracle as O
 from strandweave.sources import lists, star, volume
 from strandweave.plans.views import particles_from_embeddings, table
 from strandweave.schema import ANGLE, EULER1, EULER2, INV_ANGLE, INV_VECT, VECT
-from strandweave.session import cut_lineage
+from strandweave.session import cut_lineage, ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,18 +416,18 @@ def tracked_merging_chains(spark, sf):
     return t.select("pairClass", "pairIDX1", "pairIDX2", "pairLabel", "pairPosInPoly1")
 
 
-_ENDS = (f"WITH RECURSIVE {O.PAIRS}, e AS MATERIALIZED (SELECT pc, tomo_id, tomo_name, rn, id1, id2 FROM pr WHERE pc <> 0), "
+_END_BLOCK = ("e AS MATERIALIZED (SELECT pc, tomo_id, tomo_name, rn, id1, id2 FROM pr WHERE pc <> 0), "
          "u AS MATERIALIZED (SELECT pc, id1 AS a, id2 AS b FROM e UNION SELECT pc, id2, id1 FROM e), "
          "reach AS (SELECT pc, a, a AS b FROM u UNION SELECT reach.pc, reach.a, u.b FROM reach JOIN u ON u.pc = reach.pc AND u.a = reach.b), "
          "lab AS MATERIALIZED (SELECT pc, a AS id, min(b) AS comp FROM reach GROUP BY 1, 2), "
          "n AS (SELECT pc, id, any_value(tomo_id) AS tomo_id, any_value(tomo_name) AS tomo_name, sum(o) AS o, sum(i) AS i, min(rn) AS rn FROM "
          "(SELECT pc, id1 AS id, tomo_id, tomo_name, 1 AS o, 0 AS i, rn FROM e UNION ALL SELECT pc, id2, tomo_id, tomo_name, 0, 1, rn FROM e) GROUP BY 1, 2), "
-         "part AS (SELECT pc, comp, count(*) AS len, row_number() OVER (PARTITION BY pc ORDER BY min(tomo_id), min(rn)) AS label FROM n JOIN lab USING (pc, id) GROUP BY 1, 2) "
-         "SELECT tomo_name AS pairTomoName, tomo_id::INT AS pairTomoID, pc::INT AS pairClass, id AS pairIDX, CASE WHEN o = 0 THEN 1 ELSE 0 END AS ifWoOut, "
-         "CASE WHEN o = 0 THEN 0 ELSE 1 END AS ifWoIn, label AS pairLabel, len AS polylen_riboNr FROM n JOIN lab USING (pc, id) JOIN part USING (pc, comp) WHERE o = 0 OR i = 0")
+         "part AS (SELECT pc, comp, count(*) AS len, row_number() OVER (PARTITION BY pc ORDER BY min(tomo_id), min(rn)) AS label FROM n JOIN lab USING (pc, id) GROUP BY 1, 2), "
+         "ends AS MATERIALIZED (SELECT tomo_name AS pairTomoName, tomo_id::INT AS pairTomoID, pc::INT AS pairClass, id AS pairIDX, CASE WHEN o = 0 THEN 1 ELSE 0 END AS ifWoOut, "
+         "CASE WHEN o = 0 THEN 0 ELSE 1 END AS ifWoIn, label AS pairLabel, len AS polylen_riboNr FROM n JOIN lab USING (pc, id) JOIN part USING (pc, comp) WHERE o = 0 OR i = 0)")
 
 
-@query("chain_ends", _ENDS)
+@query("chain_ends", O.recursive(O.PAIRS, _END_BLOCK) + "SELECT * FROM ends")
 def chain_ends(spark, sf):
     return tracking.chain_ends(classed_pairs(spark, sf))
 
@@ -789,3 +790,147 @@ def error_overlap(spark, sf):
     e = cut_lineage(compare.error_distances(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0")))
     border = fit.kde_borders(e.where("same"), ["classNr"], "combined")
     return fit.kde_overlap(e, ["classNr"], "same", "combined").join(border, "classNr")
+
+
+# --- gap filling --------------------------------------------------------------------------------------
+
+# the class means of this view are short; a fixed offset moves the predicted spot out of the tail's own space
+_OFFSET = (60.0, 40.0, 20.0)
+_RC = (f"rc AS (SELECT * REPLACE (cx + {_OFFSET[0]} AS cx, cy + {_OFFSET[1]} AS cy, cz + {_OFFSET[2]} AS cz), " + O.matrix("cphi", "cpsi", "ctheta", "c") + " FROM cm)")
+_STEP = ", ".join(f"{a} + {e} AS e{a}" for a, e in zip("xyz", O.turned("r", ("cx", "cy", "cz"))))
+_FILL = O.recursive(
+    O.PAIRS, O.class_means(), f"cd AS MATERIALIZED (SELECT *, {O.to_centre()[2]} AS dc FROM pr JOIN cm USING (pc))", _END_BLOCK, _RC,
+    "many AS (SELECT pairClass FROM ends GROUP BY 1 HAVING count(DISTINCT pairLabel) > 1)",
+    f"tl AS (SELECT ends.*, pm.*, rc.* EXCLUDE (pc), {_STEP}, {O.times('r', 'c', 'm')} FROM ends JOIN many USING (pairClass) JOIN pm ON pm.particle_id = pairIDX JOIN rc ON rc.pc = pairClass WHERE \"ifWoOut\" = 1)",
+    f"ex AS MATERIALIZED (SELECT pairClass, pairIDX, pairLabel, tomo_id, ex, ey, ez, {_E[0]} AS fphi, {_E[1]} AS fpsi, {_E[2]} AS ftheta, cx, cy, cz, cphi, cpsi, ctheta FROM tl WHERE NOT EXISTS "
+    "(SELECT 1 FROM p q WHERE q.tomo_id = tl.tomo_id AND sqrt(power(q.x-ex,2)+power(q.y-ey,2)+power(q.z-ez,2)) <= 15))")
+
+
+def _moved(centres: DataFrame) -> DataFrame:
+    return centres.withColumns({c: F.col(c) + F.lit(o) for c, o in zip(distance.CENTRE_SHIFT, _OFFSET)})
+
+
+@query("extended_tails", _FILL + f"SELECT pairClass, pairIDX, {', '.join(q4('e' + a, a) for a in 'xyz')}, fphi AS phi, fpsi AS psi, ftheta AS theta FROM ex")
+def extended_tails(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    particles = cut_lineage(particles_from_embeddings(spark, sf))
+    ends = cut_lineage(tracking.chain_ends(pairs))
+    many = ends.groupBy("pairClass").agg(F.countDistinct("pairLabel").alias("n")).where("n > 1")
+    poses = particles.select(F.col("particle_id").alias("pairIDX"), "tomo_id", *P.XYZ, *P.EULER)
+    tails = ends.where("ifWoOut = 1").join(many.select("pairClass"), "pairClass").join(poses, "pairIDX").join(
+        _moved(summary.class_centres(pairs.where("pairClass <> 0"))), "pairClass")
+    out = fill.extend_tails(tails, particles, RADIUS)
+    return out.select("pairClass", "pairIDX", *[r4(F.col(c), c) for c in P.XYZ], *P.EULER)
+
+
+_HEADS = _FILL.rstrip() + (
+    f", xm AS (SELECT *, {O.matrix('fphi', 'fpsi', 'ftheta', 'f')} FROM ex), hd AS (SELECT ends.pairClass AS hc, ends.pairIDX AS hid, ends.pairLabel AS hl, pm.* FROM ends JOIN pm ON pm.particle_id = pairIDX WHERE \"ifWoIn\" = 1), "
+    f"lk AS (SELECT pairClass, pairIDX, hid, cx, cy, cz, cphi, cpsi, ctheta, {', '.join(f'{e} AS v{n}' for e, n in zip(O.turned('f', ('hd.x-ex', 'hd.y-ey', 'hd.z-ez'), True), 'xyz'))}, "
+    + ", ".join(" + ".join(f"f{k}{i}*hd.r{k}{j}" for k in range(3)) + f" AS m{i}{j}" for i in range(3) for j in range(3)) +
+    " FROM xm JOIN hd ON hc = pairClass AND hd.tomo_id = xm.tomo_id AND hl <> pairLabel), "
+    f"le AS (SELECT *, {_E[0]} AS ephi, {_E[1]} AS epsi, {_E[2]} AS etheta FROM lk), mx AS (SELECT pc, max(dc) AS top FROM cd GROUP BY 1), "
+    f"lc AS MATERIALIZED (SELECT pairClass, pairIDX, hid, {O.to_centre()[2]} AS d, top FROM le JOIN mx ON mx.pc = pairClass) ")
+
+
+def _fill_inputs(spark, sf):
+    pairs = cut_lineage(classed_pairs(spark, sf))
+    particles = cut_lineage(particles_from_embeddings(spark, sf))
+    ends = cut_lineage(tracking.chain_ends(pairs))
+    stats = summary.class_statistics(pairs, RADIUS)
+    return pairs, particles, ends, cut_lineage(_moved(fill.fill_statistics(stats)))
+
+
+@query("gap_filling", _HEADS + ", ok AS (SELECT * FROM lc WHERE d <= top), nid AS (SELECT pairClass, pairIDX, (SELECT max(particle_id) FROM p) + row_number() OVER (ORDER BY pairClass, pairIDX) AS id "
+       "FROM (SELECT DISTINCT pairClass, pairIDX FROM ok)) SELECT id AS pairIDX1, hid AS pairIDX2, pairClass, 1.0::DOUBLE AS \"fillUpProb\" FROM ok JOIN nid USING (pairClass, pairIDX) "
+       "UNION ALL SELECT pairIDX, id, pairClass, 1.1::DOUBLE FROM nid")
+def gap_filling(spark, sf):
+    pairs, particles, ends, stats = _fill_inputs(spark, sf)
+    filled, _ = fill.fill_classes(pairs.withColumn("fillUpProb", F.lit(-1.0)), particles, ends, stats, RADIUS, -1, "", 1, "max", 0.05)
+    return filled.where("fillUpProb <> -1").select("pairIDX1", "pairIDX2", "pairClass", "fillUpProb")
+
+
+@query("gap_filling_by_fit")
+def gap_filling_by_fit(spark, sf):
+    """Acceptance by the fitted log-normal tail, two particles per tail."""
+    pairs, particles, ends, stats = _fill_inputs(spark, sf)
+    stats = fill.with_model(stats, pairs, RADIUS, "lognorm")
+    filled, grown = fill.fill_gaps(pairs, particles, ends, stats, RADIUS, add_num=2, method="lognorm", threshold=0.05)
+    return filled.where("fillUpProb <> -1").groupBy("pairClass").agg(
+        F.count("*").alias("edges"), F.count(F.when(F.col("fillUpProb") > 1, 1)).alias("inner_edges"), r4(F.sum("fillUpProb"), "sum_prob"))
+
+
+@query("interpolated_ends")
+def interpolated_ends(spark, sf):
+    pairs, particles, ends, stats = _fill_inputs(spark, sf)
+    out = fill.interpolate_ends(ends, particles, stats.select("pairClass", *fill.CENTRE), count=4, length_range=(3, 100))
+    return out.select("pairClass", "pairIDX", "direction", "step", *[r4(F.col(c), c) for c in P.XYZ], *P.EULER)
+
+
+# --- clustering ---------------------------------------------------------------------------------------
+
+@query("sampled_pairs")
+def sampled_pairs(spark, sf):
+    pairs = P.with_row_order(raw_pairs(spark, sf))
+    return assign.sample_pairs(pairs, 1000, pairs.count()).select("pairIDX1", "pairIDX2")
+
+
+@query("sample_clusters")
+def sample_clusters(spark, sf):
+    """Average-linkage classes of the clustering sample at a fixed threshold."""
+    pairs = P.with_row_order(raw_pairs(spark, sf))
+    sample = cut_lineage(assign.sample_pairs(pairs, 1500, pairs.count()))
+    found = assign.cluster_sample(sample, 25.0, RADIUS)
+    return found.groupBy("pairClass", "pairClassColour").agg(F.count("*").alias("n"))
+
+
+@query("link_levels")
+def link_levels(spark, sf):
+    """Sub-threshold part of the tree with its heights in ascending order."""
+    pairs = P.with_row_order(raw_pairs(spark, sf))
+    sample = cut_lineage(distance.transform_poses(assign.sample_pairs(pairs, 1500, pairs.count()), "row_no"))
+    d = distance.pairwise_distances(sample, "row_no", RADIUS)
+    tree = linkage.linkage_tree(linkage.average_linkage(d, 20.0))
+    return figures.link_levels(tree, 15.0).select("merge_no", r4(F.col("height"), "height"), "size", "below")
+
+
+# --- file formats -------------------------------------------------------------------------------------
+
+def _scratch(spark) -> str:
+    """A fresh name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+@query("star_round_trip", f"WITH {O.PARTICLES} SELECT particle_id, tomo_name, {', '.join(q4(c, c) for c in 'xyz')}, cls, {q4('score', 'score')} FROM p")
+def star_round_trip(spark, sf):
+    """Written as part files in file order, read back with inferred types."""
+    p = particles_from_embeddings(spark, sf)
+    path = _scratch(spark)
+    star.write_star(star.from_particles(p, pixel_size=3.42), path)
+    ids = ranking.ranked(p.select("particle_id").withColumn("_all", F.lit(0)), ["_all"], ["particle_id"], "n")
+    back = star.to_particles(star.read_star(spark, path)).withColumn("n", F.col("particle_id") + 1).drop("particle_id")
+    return back.join(ids.select("particle_id", "n"), "n").select(
+        "particle_id", "tomo_name", *[r4(F.col(c), c) for c in "xyz"], "cls", r4(F.col("score"), "score"))
+
+
+@query("pair_star_round_trip", f"WITH {O.PAIRS} SELECT id1 AS pairIDX1, id2 AS pairIDX2, tomo_id::INT AS pairTomoID, {', '.join(q4(_SQL_COLS[c], c) for c in ('pairTransVectX', 'pairTransAngleZXZPhi', 'pairLenTrans'))} FROM pr")
+def pair_star_round_trip(spark, sf):
+    path = _scratch(spark)
+    star.write_pairs(P.with_row_order(raw_pairs(spark, sf)), path)
+    back = star.read_pairs(spark, path)
+    return back.select("pairIDX1", "pairIDX2", "pairTomoID", *[r4(F.col(c), c) for c in ("pairTransVectX", "pairTransAngleZXZPhi", "pairLenTrans")])
+
+
+@query("volume_round_trip", "SELECT 'v' || vec_id AS name, (u.k - 1) % 4 AS i0, ((u.k - 1) // 4) % 4 AS i1, (u.k - 1) // 16 AS i2, "
+       "round(embedding[u.k]::DOUBLE, 6) + 0.0 AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS k) u")
+def volume_round_trip(spark, sf):
+    """Every vector as a 4 x 4 x 4 image, written as MRC files and read back."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda z: F.slice("embedding", z * 16 + 1, 16))).alias("z", "plane"))
+    planes = e.select("name", *[F.lit(4).alias(n) for n in ("nx", "ny", "nz")], "z", F.col("plane").cast("array<double>").alias("plane"))
+    folder = _scratch(spark).removeprefix("file:")
+    written = volume.write_volumes(planes, folder, "mrc")
+    paths = written.agg(F.count("*")).first()[0]
+    assert paths > 0
+    back = volume.voxels(volume.read_planes(spark, folder))
+    name = F.regexp_extract("path", r"([^/]+)\.mrc$", 1).alias("name")
+    return back.select(name, F.col("i0").cast("long"), F.col("i1").cast("long"), F.col("i2").cast("long"), (F.round("value", 6) + F.lit(0.0)).alias("value"))

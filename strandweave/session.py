@@ -1,14 +1,15 @@
 """Session defaults and lineage cutting.
 
-Iterative operators (pointer jumping, star contraction, agglomeration) cut their lineage with a
-reliable ``checkpoint()`` in the folder the cluster names in ``spark.checkpoint.dir``. Executors may
-be lost at any moment, so executor-local checkpoints are never used.
+Iterative operators (pointer jumping, star contraction, agglomeration) cut their lineage with tables written to
+the folder the cluster names in ``spark.checkpoint.dir``. Executors may be lost at any moment, so nothing is kept
+on executors only.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,12 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialises ``df`` as a table in the shared checkpoint folder and reads it back.
+
+    The written table survives the loss of executors and has its true size, where ``checkpoint()`` would keep the
+    size estimate of the plan before it: in a loop with joins that estimate grows without bound.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/lineage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
