@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import rotation as R
 from strandweave.schema import ANGLE, COORD1, COORD2, EULER1, INSERTED_COLOUR, VECT
+from strandweave.session import cut_lineage
 
 
 def vector_field(pairs: DataFrame, direction=(0.0, 1.0, 0.0), length: float = 20.0) -> DataFrame:
@@ -38,6 +39,7 @@ def transform_scatter(pairs: DataFrame, nm_per_pixel: float = 0.342) -> DataFram
 def histogram(df: DataFrame, group: list[str], value: str, bins: int) -> DataFrame:
     """Equal-width histogram per group; the last bin includes its upper edge."""
     lim = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    lim = cut_lineage(lim)
     spot = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * bins
     rows = df.join(lim, group).withColumn("bin", F.least(F.floor(spot), F.lit(bins - 1)))
     return rows.groupBy(*group, "bin").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from strandweave.functions import rotation as R
 from strandweave.operators.distance import CENTRE_EULER, CENTRE_SHIFT, distance_to_centre
 from strandweave.schema import ANGLE, CHAIN_STAT_COLUMNS, CLASS_STAT_COLUMNS, VECT
-from strandweave.session import ship_code
+from strandweave.session import cut_lineage, ship_code
 
 _AXES = [(a, b) for i, a in enumerate("wxyz") for b in "wxyz"[i:]]
 
@@ -50,8 +50,12 @@ def class_centres(pairs: DataFrame, group: list[str] = ["pairClass"]) -> DataFra
 
 
 def class_distances(pairs: DataFrame, radius: float, metric: str, centres: DataFrame | None = None) -> DataFrame:
-    """Pairs with the three distances to the mean transform of their class."""
-    centres = class_centres(pairs) if centres is None else centres
+    """Pairs with the three distances to the mean transform of their class.
+
+    The centres are stored first: with their true size known the optimizer broadcasts them, and the pair table is
+    not shuffled by a class that may hold a third of it.
+    """
+    centres = cut_lineage(class_centres(pairs)) if centres is None else centres
     narrow = pairs.join(centres, "pairClass")
     return distance_to_centre(narrow, radius, metric)
 
@@ -59,7 +63,7 @@ def class_distances(pairs: DataFrame, radius: float, metric: str, centres: DataF
 def class_statistics(pairs: DataFrame, radius: float, metric: str = "scale2Ang") -> DataFrame:
     """One row per class other than 0, ordered by the number of long chains and the class size."""
     pairs = pairs.where("pairClass <> 0")
-    centres = class_centres(pairs)
+    centres = cut_lineage(class_centres(pairs))
     d = class_distances(pairs.select("pairClass", *VECT, *ANGLE), radius, metric, centres)
 
     def spread(column: str):
