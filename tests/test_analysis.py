@@ -47,3 +47,39 @@ def test_missing_particles_are_filled(spark):
         assert min(np.linalg.norm(np.array([r.x, r.y, r.z]) - p) for r in new) < 1e-2
     longest = max(r.num for r in run.chains().collect())
     assert longest == 16 or longest == 15
+
+
+def test_side_branches_are_removed(spark):
+    a = simulate.chain(10, (20, 40, 50), (30, 10, 70), (20, 30, 0), (40, 10, 30))
+    rng = np.random.default_rng(8)
+    # a second continuation behind row 5, slightly off the common transform
+    pos, rot = a[5]
+    off = simulate.chain(2, (24, 44, 54), (33, 12, 73), pos, rot)[1:]
+    particles, _ = simulate.table(spark, {"100.mrc": a + off})
+    run = _staged(spark, particles, cluster_threshold=8.0)
+    run.track()
+    gone = {tuple(sorted((r.pairIDX1, r.pairIDX2))) for r in run.removed.collect()}
+    assert (5, 10) in gone
+    assert run.pairs.groupBy("pairClass", "pairIDX1").count().where("count > 1").isEmpty()
+    assert run.pairs.groupBy("pairClass", "pairIDX2").count().where("count > 1").isEmpty()
+
+
+def test_whole_run_from_file_to_files(spark, tmp_path):
+    from strandweave.sources import star
+
+    rng = np.random.default_rng(6)
+    b = simulate.chain(9, (60, 40, 10), (10, 20, 30), (0, 0, 0), (50, 10, -30))
+    c = simulate.chain(8, (20, 40, 50), (30, 10, 70), (2000, 0, 0), (40, 10, 30))
+    particles, _ = simulate.table(spark, {"100.mrc": b[:4] + b[5:] + c, "101.mrc": simulate.chain(7, (60, 40, 10), (10, 20, 30), (5, 5, 5), (0, 0, 10), rng, 1.0)}, rng)
+    source = str(tmp_path / "in.star")
+    star.write_star(star.from_particles(particles, pixel_size=3.42), source)
+    run = Analysis(spark, Settings(**{**SETTINGS, "cluster_threshold": 8.0, "min_distance": 10.0, "filling": Filling(1, "lognorm", 1e-6)}),
+                   folder=str(tmp_path / "stages")).read(source).run()
+    new = run.particles.where("cls = -100").collect()
+    assert min(np.linalg.norm(np.array([r.x, r.y, r.z]) - b[4][0]) for r in new) < 5.0
+    assert run.statistics.count() >= 2 and run.statistics.agg({"numPolyMax": "max"}).first()[0] >= 7
+    run.write(str(tmp_path / "out"))
+    back = star.read_pairs(spark, str(tmp_path / "out" / "allTransforms.star"))
+    assert back.count() == run.pairs.count() and back.where("fillUpProb = 1.1").count() == len(new)
+    again = Analysis(spark, run.settings, folder=str(tmp_path / "stages")).read(source)
+    assert again.find_pairs().count() > 0 and again.classify().where("pairClass > 0").count() > 0
