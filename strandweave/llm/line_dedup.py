@@ -28,7 +28,7 @@ from strandweave.session import cut_lineage
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS = 1 << 20
-SLOT_ROWS = 20_000
+SLOT_ROWS = 2_000
 
 
 def lines_of(text: Column) -> Column:
@@ -101,6 +101,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept text in ``text_col``, plus ``_n_lines`` and ``_n_dropped``."""
     rows = docs.withColumns({"_doc_key": F.col(id_col), "_of_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    bitmaps = bitmaps.hint("shuffle_merge")  # they grow with the documents: never a broadcast
     met = rows.join(bitmaps, rows["_doc_key"].eqNullSafe(bitmaps["_doc"]) & (rows["_of_key"] == bitmaps["_of"]), "left")
     bits = F.map_from_entries(F.col("words"))
     kept = F.filter(lines_of(F.col(text_col)), lambda x, i: F.coalesce(
