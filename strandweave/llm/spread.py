@@ -28,3 +28,16 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str
     cold = lookup.where(~hot).select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_cold_{c}") for c in values])
     out = out.join(cold, [f"_key_{k}" for k in keys], "left")
     return out.select(*rows.columns, *[F.when(F.col("_found"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values])
+
+
+SIEVE = 1 << 20
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows that can have their ``key`` in ``wanted``: a cheap filter before a join that moves wide rows.
+
+    Keys are hashed to 2**20 cells; the list of used cells has a bounded size and is broadcast. Rows may pass
+    without a match, none with a match is lost.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(SIEVE))
+    return rows.join(F.broadcast(wanted.select(cell.alias("_cell")).distinct()), cell == F.col("_cell"), "left_semi")
