@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import exact_dedup, line_dedup, minhash, url_filter
+from strandweave.llm import exact_dedup, line_dedup, minhash, token_blocks, url_filter
+from strandweave.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +90,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s JOIN r ON doc_id = x GROUP BY doc_id""")
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query("op3_token_blocks")
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_blocks.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_blocks.read_documents(spark, path)
