@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import exact_dedup, line_dedup, minhash, token_blocks, url_filter
+from strandweave.llm import exact_dedup, line_dedup, minhash, piece_bpe, token_blocks, url_filter
 from strandweave.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_blocks.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_blocks.read_documents(spark, path)
+
+
+@query("op9_sentence_pieces")
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
