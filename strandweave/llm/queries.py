@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import exact_dedup, line_dedup, minhash, piece_bpe, token_blocks, url_filter
+from strandweave.llm import decontaminate, exact_dedup, line_dedup, minhash, piece_bpe, token_blocks, url_filter
 from strandweave.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,8 @@ def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentence_pieces")
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tolerance=0.2)
