@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import decontaminate, exact_dedup, line_dedup, minhash, piece_bpe, token_blocks, url_filter
+from strandweave.llm import decontaminate, exact_dedup, line_dedup, minhash, piece_bpe, quality, token_blocks, url_filter
 from strandweave.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,10 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontaminate")
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tolerance=0.2)
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer, _ = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), scorer).select("doc_id", "bad_score", "toxic_score", "keep")
