@@ -134,9 +134,11 @@ class ByteTokenizer:
         codes, at = flat.code_points(texts)
         starts = starts_of(codes, at)
         ends = np.append(starts[1:], len(codes))
-        joined = "".join(texts)
-        slots = self.cache.find(flat.piece_hashes(codes, starts, ends), lambda i: joined[starts[i]:ends[i]])
-        return slots, np.searchsorted(starts, at), ends - starts
+        return self.slots_of(codes, starts, ends, "".join(texts)), np.searchsorted(starts, at), ends - starts
+
+    def slots_of(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+        """Cache slots of the pieces ``text[start:end]``."""
+        return self.cache.find(flat.piece_hashes(codes, starts, ends), lambda i: text[starts[i]:ends[i]])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of the texts. A text with a special token goes through the library."""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import decontaminate, exact_dedup, line_dedup, minhash, piece_bpe, quality, token_blocks, url_filter
+from strandweave.llm import decontaminate, exact_dedup, line_dedup, minhash, piece_bpe, quality, token_blocks, token_counts, url_filter
 from strandweave.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scorer, _ = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs.select("doc_id", "text"), scorer).select("doc_id", "bad_score", "toxic_score", "keep")
+
+
+def mail_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that put a fixed word in place of mail addresses."""
+    edits, end = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start, stop = at, at + 1
+        while start > end and (text[start - 1].isalnum() or text[start - 1] in "._+-"):
+            start -= 1
+        while stop < len(text) and (text[stop].isalnum() or text[stop] in "._-"):
+            stop += 1
+        if start < at and stop > at + 1:
+            edits.append((start, stop, "[mail]"))
+        end = stop
+        at = text.find("@", end)
+    return edits
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.recounted(docs, public_tokenizers.path("byte_bpe_50k.json"), mail_edits)
+    return counted.drop("text")
