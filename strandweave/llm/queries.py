@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import decontaminate, exact_dedup, line_dedup, minhash, piece_bpe, quality, token_blocks, token_counts, url_filter
+from strandweave.llm import (
+    decontaminate, exact_dedup, html_text, line_dedup, minhash, piece_bpe, quality, token_blocks, token_counts, url_filter,
+)
 from strandweave.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +140,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.recounted(docs, public_tokenizers.path("byte_bpe_50k.json"), mail_edits)
     return counted.drop("text")
+
+
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
