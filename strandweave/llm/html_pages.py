@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import random
 
-PAGES = 400
+PAGES = 600
 _SYLLABLES = "ba co di fu ge ha jo ka le mi no pu ra se ti vo wa xe yu zo an el is or un".split()
 _MENU = [("nav", ""), ("nav", "navbar"), ("div", "menu"), ("div", "nav main-nav"), ("ul", "navigation"), ("div", "breadcrumb"), ("div", "topbar"), ("div", "toc")]
 _TOP = [("header", ""), ("header", "site-header"), ("div", "header"), ("div", "masthead"), ("div", "logo branding")]
 _END = [("footer", ""), ("footer", "site-footer"), ("div", "footer"), ("div", "copyright legal"), ("div", "bottom")]
 _SIDE = [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "widget"), ("div", "related"), ("section", "recommended"), ("div", "tags"), ("div", "author-bio")]
 _NOTE = [("div", "cookie-notice"), ("div", "cookie banner consent"), ("div", "notice"), ("div", "alert popup"), ("div", "gdpr modal"), ("div", "newsletter subscribe"), ("div", "warning message")]
-_AD = [("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "advertisement"), ("aside", "promo"), ("div", "sponsor sponsored"), ("div", "banner-ad"), ("ins", "adsbygoogle")]
+_AD = [("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "advertisement"), ("aside", "promo"), ("div", "sponsor sponsored"), ("div", "banner-ad"), ("div", "adsbygoogle")]
 _TALK = [("div", "comments"), ("section", "comment-list"), ("div", "comment"), ("ol", "commentlist"), ("div", "reply responses"), ("div", "disqus discussion"), ("section", "reader-comments")]
 _SHARE = [("div", "share social"), ("div", "meta byline"), ("p", "byline"), ("div", "pagination pager")]
 _BODY = [("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "entry-content"), ("section", "story text"), ("div", "post body"), ("div", "main")]
@@ -106,21 +106,21 @@ class _Page:
             self.block(self.r.choice(["h1", "h1", "h2"]), self.words(2, 12).capitalize() + self.r.choice(["", "."]), True)
         for _ in range(self.r.randint(1, 12)):
             x = self.r.random()
-            if x < 0.70:
+            if x < 0.66:
                 body = self.sentence(1, 80)
                 if self.r.random() < 0.2:
                     body += " " + self.link() + " " + self.sentence(1, 20)
                 self.block("p", self.r.choice(["", "", "", "<b>"]) + body + self.r.choice(["", "", "<br>"]), True, self.r.random() < 0.85)
-            elif x < 0.78:
+            elif x < 0.73:
                 self.block(self.r.choice(["h2", "h3", "h4"]), self.words(1, 6).capitalize(), True)
-            elif x < 0.86:
+            elif x < 0.80:
                 self.html.append("<ul>")
                 for _ in range(self.r.randint(2, 4)):
                     self.block("li", self.sentence(2, 20), True)
                 self.html.append("</ul>")
-            elif x < 0.90:
+            elif x < 0.84:
                 self.block(self.r.choice(["blockquote", "pre", "figcaption"]), self.sentence(3, 30), True)
-            elif x < 0.93:
+            elif x < 0.87:
                 self.html.append("<table><tr>")
                 for _ in range(self.r.randint(2, 4)):
                     self.block("td", self.words(1, 4), True)

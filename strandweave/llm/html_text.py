@@ -49,12 +49,13 @@ _NAME = re.compile(r"[a-z]+")
 
 @dataclass
 class Leaf:
-    """A leaf block: text, characters inside links, and the names and attribute words above it."""
+    """A leaf block: text, characters inside links, the tags above it, all attribute words above it, and the nearest ones."""
 
     text: str
     linked: int
     tags: tuple[str, ...]
     words: frozenset[str]
+    near: frozenset[str]
 
 
 @dataclass
@@ -76,7 +77,8 @@ def leaves(page: str) -> list[Leaf]:
         if text:
             words = frozenset().union(*(o.words for o in stack))
             linked = len(" ".join(references.unescape("".join(link_parts)).split()))
-            out.append(Leaf(text, min(linked, len(text)), tuple(o.name for o in stack), words))
+            near = next((o.words for o in reversed(stack) if o.words), frozenset())
+            out.append(Leaf(text, min(linked, len(text)), tuple(o.name for o in stack), words, near))
         parts.clear()
         link_parts.clear()
 
@@ -146,7 +148,8 @@ def features(blocks: list[Leaf]) -> list[list[str]]:
         f = ["any", f"own={b.tags[-1] if b.tags else ''}", f"size={sum(len(words) >= s for s in _SIZES)}",
              f"links={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
         f += [f"in={t}" for t in set(b.tags)]
-        f += [f"word={w}" for w in b.words]
+        f += [f"word={w}" for w in b.words] + [f"near={w}" for w in b.near]
+        f.append(f"up={b.tags[-2] if len(b.tags) > 1 else ''}")
         if b.text[-1] in ".!?:;\"'»”)":
             f.append("ends")
         if "©" in b.text or "·" in b.text or " | " in b.text:
@@ -193,35 +196,51 @@ class Chain:
         return "\n\n".join(b.text for b, main in zip(blocks, self.decode(blocks)) if main)
 
 
-def log_likelihood(weights: np.ndarray, change: np.ndarray, start: np.ndarray, pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    """Log-likelihood of labelled pages and its gradient. A page is (feature ids, offsets of blocks, states)."""
-    total, g_w, g_c, g_s = 0.0, np.zeros_like(weights), np.zeros((2, 2)), np.zeros(2)
-    for ids, at, states in pages:
-        n = len(states)
-        unary = np.zeros((n, 2))
-        unary[:, 1] = np.add.reduceat(weights[ids], at[:-1])
-        forward = np.zeros((n, 2))
-        forward[0] = start + unary[0]
-        for k in range(1, n):
-            forward[k] = np.logaddexp(forward[k - 1, 0] + change[0], forward[k - 1, 1] + change[1]) + unary[k]
-        z = np.logaddexp(*forward[-1])
-        backward = np.zeros((n, 2))
-        for k in range(n - 2, -1, -1):
-            nxt = backward[k + 1] + unary[k + 1]
-            backward[k] = np.logaddexp(change[:, 0] + nxt[0], change[:, 1] + nxt[1])
-        marginal = np.exp(forward + backward - z)
-        s = states.astype(int)
-        total += start[s[0]] + unary[np.arange(n), s].sum() + change[s[:-1], s[1:]].sum() - z
-        np.add.at(g_w, ids, np.repeat(s - marginal[:, 1], np.diff(at)))
-        g_s += np.eye(2)[s[0]] - marginal[0]
-        if n > 1:
-            pair = np.exp(forward[:-1, :, None] + change[None] + (unary + backward)[1:, None, :] - z)
-            g_c -= pair.sum(0)
-            np.add.at(g_c, (s[:-1], s[1:]), 1)
+class _Pages:
+    """Labelled pages as arrays; a page is (feature ids, offsets of blocks, states)."""
+
+    def __init__(self, pages: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.sizes = np.array([len(s) for _, _, s in pages])
+        self.ids = np.concatenate([ids for ids, _, _ in pages])
+        counts = np.concatenate([np.diff(at) for _, at, _ in pages])
+        self.block = np.repeat(np.arange(len(counts)), counts)
+        self.page = np.repeat(np.arange(len(pages)), self.sizes)
+        self.step = np.arange(len(counts)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.state = np.concatenate([s for _, _, s in pages]).astype(int)
+        self.follows = np.flatnonzero(self.step > 0)
+
+
+def log_likelihood(weights: np.ndarray, change: np.ndarray, start: np.ndarray, pages: _Pages):
+    """Log-likelihood of labelled pages and its gradient, all pages step by step together."""
+    p, n = len(pages.sizes), int(pages.sizes.max())
+    yes = np.bincount(pages.block, weights[pages.ids], len(pages.state))
+    unary = np.zeros((n, p, 2))
+    unary[pages.step, pages.page, 1] = yes
+    forward, backward = np.zeros((n, p, 2)), np.zeros((n, p, 2))
+    forward[0] = start + unary[0]
+    for k in range(1, n):
+        new = np.logaddexp(forward[k - 1, :, :1] + change[0], forward[k - 1, :, 1:] + change[1]) + unary[k]
+        forward[k] = np.where((k < pages.sizes)[:, None], new, forward[k - 1])
+    z = np.logaddexp(forward[-1, :, 0], forward[-1, :, 1])
+    for k in range(n - 2, -1, -1):
+        after = backward[k + 1] + unary[k + 1]
+        new = np.logaddexp(change[:, 0] + after[:, :1], change[:, 1] + after[:, 1:])
+        backward[k] = np.where((k + 1 < pages.sizes)[:, None], new, 0.0)
+    at = pages.step, pages.page
+    marginal = np.exp((forward + backward)[at] - z[pages.page, None])
+    total = (yes * pages.state).sum() - z.sum()
+    g_w = np.bincount(pages.ids, (pages.state - marginal[:, 1])[pages.block], len(weights))
+    heads = np.flatnonzero(pages.step == 0)
+    total += start[pages.state[heads]].sum()
+    g_s = np.bincount(pages.state[heads], minlength=2) - marginal[heads].sum(0)
+    f = pages.follows
+    total += change[pages.state[f - 1], pages.state[f]].sum()
+    pair = np.exp(forward[at][f - 1][:, :, None] + change + (unary + backward)[at][f][:, None, :] - z[pages.page[f], None, None])
+    g_c = np.bincount(2 * pages.state[f - 1] + pages.state[f], minlength=4).reshape(2, 2) - pair.sum(0)
     return total, g_w, g_c, g_s
 
 
-def train(pages: list[tuple[str, list[bool]]], rounds: int = 60, penalty: float = 1e-3) -> Chain:
+def train(pages: list[tuple[str, list[bool]]], rounds: int = 300, penalty: float = 2e-5) -> Chain:
     """Chain from pages with a state per leaf block, by gradient ascent with a step per weight."""
     rows = [(features(leaves(page)), np.array(states, bool)) for page, states in pages]
     names = sorted({f for blocks, _ in rows for b in blocks for f in b})
@@ -233,16 +252,17 @@ def train(pages: list[tuple[str, list[bool]]], rounds: int = 60, penalty: float
         if blocks:
             ids = np.array([number[f] for b in blocks for f in b])
             data.append((ids, np.cumsum([0, *map(len, blocks)]), states))
-    total = sum(len(s) for _, _, s in data)
+    together = _Pages(data)
+    total = len(together.state)
     values = [np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for k in range(1, rounds + 1):
-        _, *gradients = log_likelihood(*values, data)
+        _, *gradients = log_likelihood(*values, together)
         for i, g in enumerate(gradients):
             g = g / total - penalty * values[i]
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
-            values[i] = values[i] + 0.2 * (first[i] / (1 - 0.9**k)) / (np.sqrt(second[i] / (1 - 0.99**k)) + 1e-8)
+            values[i] = values[i] + 0.1 * (first[i] / (1 - 0.9**k)) / (np.sqrt(second[i] / (1 - 0.99**k)) + 1e-8)
     return Chain(dict(zip(names, values[0].tolist())), values[1], values[2])
 
 

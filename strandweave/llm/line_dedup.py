@@ -101,12 +101,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept text in ``text_col``, plus ``_n_lines`` and ``_n_dropped``."""
     rows = docs.withColumns({"_doc_key": F.col(id_col), "_of_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    bitmaps = bitmaps.hint("shuffle_merge")  # they grow with the documents: never a broadcast
+    bitmaps = bitmaps.withColumnRenamed("words", "_bits").hint("shuffle_merge")  # they grow with the documents: never a broadcast
     met = rows.join(bitmaps, rows["_doc_key"].eqNullSafe(bitmaps["_doc"]) & (rows["_of_key"] == bitmaps["_of"]), "left")
-    bits = F.map_from_entries(F.col("words"))
+    bits = F.map_from_entries(F.col("_bits"))
     kept = F.filter(lines_of(F.col(text_col)), lambda x, i: F.coalesce(
         F.call_function("getbit", bits[F.floor(i / 64).cast("bigint")], (i % 64).cast("int")), F.lit(0)) == 0)
-    dropped = F.coalesce(F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w["bits"])), F.lit(0).cast("bigint"))
+    dropped = F.coalesce(F.aggregate("_bits", F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w["bits"])), F.lit(0).cast("bigint"))
     met = met.withColumns({"_n_lines": F.size(lines_of(F.col(text_col))).cast("bigint"), "_n_dropped": dropped})
     met = met.withColumn(text_col, F.when(F.col("_n_dropped") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     return met.select(*docs.columns, "_n_lines", "_n_dropped")
