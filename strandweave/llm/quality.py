@@ -9,7 +9,8 @@
    a logistic model with L1 penalty on hashed features: words, their first letters, and the shape of the text. A
    document no labeller votes on teaches nothing about that target. All documents are scored.
 
-A document is rejected if it is likelier of low quality, or likelier toxic, than not.
+A document is rejected if the probability that it is of low quality, or that it is toxic, is at least ``REJECT``:
+losing a clean document counts more than keeping a doubtful one.
 
 Defined results: null and empty texts have no words and get the scores of an empty document, and are kept
 unless the model rejects those; several labels of one id count by majority, ties as bad; labels of unknown ids are
@@ -32,10 +33,12 @@ from strandweave.llm import flat
 from strandweave.session import cut_lineage, ship_code
 
 #: Documents of each kind (low quality, toxic, neither) the scorer is trained on at most.
-SAMPLE = 3_000
+SAMPLE = 4_000
+#: Of these, documents of each kind whose features are all looked at to choose the ``SCREENED`` features of each
+#: target whose share differs most between the classes; the model is trained on those.
+SCREENING, SCREENED = 1_500, 10_000
 BITS = 20
-#: Features of a target that training looks at: those whose share differs most between the classes.
-SCREENED = 10_000
+REJECT = 0.7
 #: First letters of a word that are features of their own.
 STEMS = (3, 4, 5, 6)
 TARGETS = ("bad", "toxic")
@@ -45,7 +48,7 @@ PERSONS = ["idiot", "moron", "loser", "clown", "fool", "jerk", "imbecile", "scum
 THINGS = ["stupid", "worthless", "trash", "disgusting", "pathetic", "garbage", "dumb", "filthy", "ugly", "vile"]
 
 #: Shape of a text per word or letter: (name, unsuspicious below, bad from).
-SHAPES = [("capitals", 0.08, 0.15), ("bars", 0.01, 0.05), ("marks", 0.02, 0.15), ("repeats", 0.03, 0.15), ("shouts", 0.05, 0.20)]
+SHAPES = [("capitals", 0.02, 0.10), ("bars", 0.01, 0.05), ("marks", 0.02, 0.15), ("repeats", 0.03, 0.15), ("shouts", 0.05, 0.20)]
 LABELLERS = {"bad": [name for name, _, _ in SHAPES] + ["plain", "label"], "toxic": ["persons", "things", "several", "label"]}
 #: Labellers whose missing vote says nothing; of the others it is an answer like any other.
 SILENT = {"label", "persons", "things", "several"}
@@ -102,17 +105,22 @@ def describe(texts: list[bytes], with_features: bool) -> Batch:
     whole, starts, ends, at = flat.words(texts)
     data = np.frombuffer(b"".join(texts), np.uint8)
     byte_at = flat.offsets_of([len(t) for t in texts])
-    n = np.maximum(np.diff(at), 1)
+    n = np.diff(at)
 
     def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
 
-    upper, letters, marks, shouts = (per_text(_table[k][data], byte_at) for k in range(4))
+    letter = _table[1][data]
+    inner = _table[0][data]  # capitals behind a letter
+    inner[1:] &= letter[:-1]
+    inner[byte_at[:-1][byte_at[:-1] < len(data)]] = False
+    capitals, letters, marks, shouts = (per_text(x, byte_at) for x in (inner, letter, _table[2][data], _table[3][data]))
     again = np.zeros(len(whole), bool)
     again[1:] = whole[1:] == whole[:-1]
     again[at[:-1][at[:-1] < len(whole)]] = False
     bars = (ends - starts == 1) & (data[starts] == ord("|")) if len(starts) else np.zeros(0, bool)
-    shares = [upper / np.maximum(letters, 1), per_text(bars, at) / n, marks / n, per_text(again, at) / n, shouts / n]
+    # a few words or letters more in the denominators: a short text shows little
+    shares = [capitals / (letters + 20), per_text(bars, at) / (n + 4), marks / (n + 4), per_text(again, at) / (n + 4), shouts / (n + 4)]
     votes = {name: np.where(x >= bad, BAD, NO) for (name, _, bad), x in zip(SHAPES, shares)}
     votes["plain"] = np.where(np.all([x < good for (_, good, _), x in zip(SHAPES, shares)], axis=0), GOOD, NO)
     first, last = _bare(data, starts, ends)
@@ -235,24 +243,34 @@ class Scorer:
     intercepts: np.ndarray
 
     def probabilities(self, features: np.ndarray, at: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([np.zeros((1, len(TARGETS))), np.cumsum(self.weights[features], 0)])
-        return 1 / (1 + np.exp(-np.clip(sums[at[1:]] - sums[at[:-1]] + self.intercepts, -50, 50)))
+        sums = np.zeros((len(at) - 1, len(TARGETS)))
+        full = np.flatnonzero(np.diff(at))  # summed document by document: the batch makes no difference
+        if len(full):
+            sums[full] = np.add.reduceat(self.weights[features].astype(np.float64), at[full], axis=0)
+        return 1 / (1 + np.exp(-np.clip(sums + self.intercepts, -50, 50)))
 
 
-def train(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression with L1 penalty by accelerated proximal steps. ``target`` is a probability per row."""
-    n = len(at) - 1
-    weight = weight / max(weight.sum(), 1e-12)
-    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
-    # screening: difference of the shares of rows with the feature, in standard deviations
+def screened(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Features whose share differs most between bad and good rows, in standard deviations; sorted."""
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     bad, good = weight * target, weight * (1 - target)
     b_sum, g_sum = max(bad.sum(), 1e-12), max(good.sum(), 1e-12)
     in_bad, in_good = (np.bincount(features, x[row], 1 << BITS) for x in (bad.astype(np.float32), good.astype(np.float32)))
     seen = np.bincount(features, minlength=1 << BITS)
-    p = np.clip(in_bad + in_good, 1e-9, 1 - 1e-9)
-    z = np.abs(in_bad / b_sum - in_good / g_sum) / np.sqrt(p * (1 - p)) * (seen >= 5)
+    p = np.clip((in_bad + in_good) / (b_sum + g_sum), 1e-9, 1 - 1e-9)
+    z = np.abs(in_bad / b_sum - in_good / g_sum) / np.sqrt(p * (1 - p)) * (seen >= 4)
     used = np.sort(np.argpartition(-z, SCREENED)[:SCREENED])
-    used = used[z[used] > 0]
+    return used[z[used] > 0]
+
+
+def train(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray, used: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on the features ``used`` with L1 penalty, by accelerated proximal steps.
+
+    ``target`` is a probability per row.
+    """
+    n = len(at) - 1
+    weight = weight / max(weight.sum(), 1e-12)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
     column = np.full(1 << BITS, -1, np.int32)
     column[used] = np.arange(len(used))
     column = column[features]
@@ -261,7 +279,7 @@ def train(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.n
     # the curvature of each feature is at most a quarter of the weighted sizes of its rows
     step = 1 / (1e-9 + 0.25 * np.bincount(column, (weight * per_row)[row], len(used)))
     step_b = 1 / (0.25 * (weight * per_row).sum() + 1e-9)
-    start = np.log(b_sum / g_sum)
+    start = np.log(max((weight * target).sum(), 1e-9) / max((weight * (1 - target)).sum(), 1e-9))
     w, b, ahead, ahead_b, t = np.zeros(len(used)), start, np.zeros(len(used)), start, 1.0
     for _ in range(rounds):
         z = np.bincount(row, ahead[column], n) + ahead_b
@@ -277,6 +295,33 @@ def train(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.n
     return out, float(b)
 
 
+def _gathered(docs: DataFrame, picks: list[int], id_col: str, text_col: str, only: np.ndarray | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Picks, features and offsets of the picked documents; ``only`` restricts the features."""
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(k,) for k in picks], "_pick long")
+    keyed = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("_pick"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_text"))
+    keyed = keyed.join(F.broadcast(wanted), "_pick", "left_semi")  # as many as were picked
+    schema = T.StructType([T.StructField("_pick", T.LongType()), T.StructField("_features", T.BinaryType())])
+    keep = None if only is None else spark.sparkContext.broadcast(only)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = None
+        if keep is not None:
+            listed = np.zeros(1 << BITS, bool)
+            listed[keep.value] = True
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in flat.chunks([len(t) for t in texts]):
+                d = describe(texts[a:b], True)
+                rows = (d.features[x:y] for x, y in zip(d.at[:-1], d.at[1:]))
+                parts = [(r if listed is None else r[listed[r]]).astype("<u4").tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(parts, pa.binary())], names=schema.names)
+
+    seen = {r["_pick"]: np.frombuffer(r["_features"], "<u4").astype(np.int32) for r in keyed.mapInArrow(work, schema).toLocalIterator()}
+    names = sorted(seen)
+    return names, np.concatenate([np.zeros(0, np.int32), *[seen[k] for k in names]]), flat.offsets_of([len(seen[k]) for k in names])
+
+
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Scorer, dict[str, WeakLabels]]:
     """Weak-label models over all documents, and the scorer trained on at most ``4 * sample`` of them."""
     spark = docs.sparkSession
@@ -294,31 +339,31 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         rows += part.orderBy("_pick").limit(sample).collect()
     taken = Counter(r["_kind"] for r in rows)
     by_pick = {r["_pick"]: (r["_bad"], r["_toxic"], sizes[r["_kind"]] / taken[r["_kind"]]) for r in rows}
-    picks = spark.createDataFrame([(k,) for k in by_pick], "_pick long")
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("_pick"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_text"))
-    keyed = keyed.join(F.broadcast(picks), "_pick", "left_semi")
-    schema = T.StructType([T.StructField("_pick", T.LongType()), T.StructField("_features", T.BinaryType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in flat.chunks([len(t) for t in texts]):
-                d = describe(texts[a:b], True)
-                parts = [d.features[x:y].astype("<u4").tobytes() for x, y in zip(d.at[:-1], d.at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(parts, pa.binary())], names=schema.names)
-
-    seen = {r["_pick"]: np.frombuffer(r["_features"], "<u4") for r in keyed.mapInArrow(work, schema).collect()}
-    names = sorted(seen)
-    features = np.concatenate([np.zeros(0, np.uint32), *[seen[k] for k in names]]).astype(np.int32)
-    at = flat.offsets_of([len(seen[k]) for k in names])
-    weights, intercepts = [], []
-    for i in range(len(TARGETS)):
+    first: Counter = Counter()
+    some = []
+    for r in rows:  # in order of their hashes
+        first[r["_kind"]] += 1
+        if first[r["_kind"]] <= SCREENING:
+            some.append(r["_pick"])
+
+    def labels_for(i: int, names: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior and weight of each row for a target."""
         target = np.array([by_pick[k][i] for k in names], float)
-        weight = np.array([by_pick[k][2] for k in names])
-        heard = ~np.isnan(target)
+        weight = np.array([by_pick[k][2] for k in names], float)
+        heard, known = ~np.isnan(target), found[TARGETS[i]]
+        # good documents nobody votes on are stood for by the good ones somebody votes on
+        good = float((known.counts * (1 - known.posterior))[known.heard].sum())
+        weight = weight * np.where(target < 0.5, 1 + float(known.counts[~known.heard].sum()) / max(good, 1.0), 1.0)
         if not (target[heard] < 0.5).any():  # nobody votes good: what nobody votes on is taken as good
             target, heard = np.where(heard, target, 0.0), np.ones(len(target), bool)
-        w, b = train(features, at, np.where(heard, target, 0.0), np.where(heard, weight, 0.0))
+        return np.where(heard, target, 0.0), np.where(heard, weight, 0.0)
+
+    names, features, at = _gathered(docs, some, id_col, text_col)
+    used = [screened(features, at, *labels_for(i, names)) for i in range(len(TARGETS))]
+    names, features, at = _gathered(docs, list(by_pick), id_col, text_col, np.unique(np.concatenate(used)))
+    weights, intercepts = [], []
+    for i in range(len(TARGETS)):
+        w, b = train(features, at, *labels_for(i, names), used[i])
         weights.append(w)
         intercepts.append(b)
     return Scorer(np.stack(weights, 1), np.array(intercepts)), found
@@ -342,6 +387,6 @@ def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", prefix: str
                 d = describe(texts[a:b], True)
                 p = model.probabilities(d.features, d.at)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in batch.columns), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p <= 0.5).all(1))], names=schema.names)
+                    [*(c.slice(a, b - a) for c in batch.columns), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p < REJECT).all(1))], names=schema.names)
 
     return docs.mapInArrow(work, schema)
