@@ -250,17 +250,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(sums + self.intercepts, -50, 50)))
 
 
-def screened(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Features whose share differs most between bad and good rows, in standard deviations; sorted."""
-    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-    bad, good = weight * target, weight * (1 - target)
-    b_sum, g_sum = max(bad.sum(), 1e-12), max(good.sum(), 1e-12)
-    in_bad, in_good = (np.bincount(features, x[row], 1 << BITS) for x in (bad.astype(np.float32), good.astype(np.float32)))
-    seen = np.bincount(features, minlength=1 << BITS)
-    p = np.clip((in_bad + in_good) / (b_sum + g_sum), 1e-9, 1 - 1e-9)
-    z = np.abs(in_bad / b_sum - in_good / g_sum) / np.sqrt(p * (1 - p)) * (seen >= 4)
-    used = np.sort(np.argpartition(-z, SCREENED)[:SCREENED])
-    return used[z[used] > 0]
+class Screening:
+    """Shares of the features in bad and good rows of one target, summed row by row."""
+
+    def __init__(self):
+        self.bad, self.good = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+        self.seen = np.zeros(1 << BITS, np.int32)
+        self.totals = np.full(2, 1e-12)
+
+    def add(self, features: np.ndarray, target: float, weight: float) -> None:
+        self.bad[features] += weight * target
+        self.good[features] += weight * (1 - target)
+        self.seen[features] += 1
+        self.totals += weight * target, weight * (1 - target)
+
+    def chosen(self) -> np.ndarray:
+        """Features whose share differs most, in standard deviations; sorted."""
+        p = np.clip((self.bad + self.good) / self.totals.sum(), 1e-9, 1 - 1e-9)
+        z = np.abs(self.bad / self.totals[0] - self.good / self.totals[1]) / np.sqrt(p * (1 - p)) * (self.seen >= 4)
+        used = np.sort(np.argpartition(-z, SCREENED)[:SCREENED])
+        return used[z[used] > 0]
 
 
 def train(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.ndarray, used: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -295,8 +304,12 @@ def train(features: np.ndarray, at: np.ndarray, target: np.ndarray, weight: np.n
     return out, float(b)
 
 
-def _gathered(docs: DataFrame, picks: list[int], id_col: str, text_col: str, only: np.ndarray | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Picks, features and offsets of the picked documents; ``only`` restricts the features."""
+def _gathered(docs: DataFrame, picks: list[int], id_col: str, text_col: str, only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Pick and features of the picked documents, one after the other; ``only`` restricts the features.
+
+    The features are written to the shared folder first, so that they are made in parallel and held one
+    partition at a time.
+    """
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(k,) for k in picks], "_pick long")
     keyed = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("_pick"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_text"))
@@ -317,9 +330,11 @@ def _gathered(docs: DataFrame, picks: list[int], id_col: str, text_col: str, onl
                 parts = [(r if listed is None else r[listed[r]]).astype("<u4").tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(parts, pa.binary())], names=schema.names)
 
-    seen = {r["_pick"]: np.frombuffer(r["_features"], "<u4").astype(np.int32) for r in keyed.mapInArrow(work, schema).toLocalIterator()}
-    names = sorted(seen)
-    return names, np.concatenate([np.zeros(0, np.int32), *[seen[k] for k in names]]), flat.offsets_of([len(seen[k]) for k in names])
+    known = set()
+    for r in cut_lineage(keyed.mapInArrow(work, schema)).toLocalIterator():
+        if r["_pick"] not in known:  # repeated rows
+            known.add(r["_pick"])
+            yield r["_pick"], np.frombuffer(r["_features"], "<u4").astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Scorer, dict[str, WeakLabels]]:
@@ -346,24 +361,28 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         if first[r["_kind"]] <= SCREENING:
             some.append(r["_pick"])
 
-    def labels_for(i: int, names: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Posterior and weight of each row for a target."""
-        target = np.array([by_pick[k][i] for k in names], float)
-        weight = np.array([by_pick[k][2] for k in names], float)
-        heard, known = ~np.isnan(target), found[TARGETS[i]]
-        # good documents nobody votes on are stood for by the good ones somebody votes on
+    def label(i: int, pick: int) -> tuple[float, float]:
+        """Posterior and weight of a document for a target."""
+        target, known = by_pick[pick][i], found[TARGETS[i]]
         good = float((known.counts * (1 - known.posterior))[known.heard].sum())
-        weight = weight * np.where(target < 0.5, 1 + float(known.counts[~known.heard].sum()) / max(good, 1.0), 1.0)
-        if not (target[heard] < 0.5).any():  # nobody votes good: what nobody votes on is taken as good
-            target, heard = np.where(heard, target, 0.0), np.ones(len(target), bool)
-        return np.where(heard, target, 0.0), np.where(heard, weight, 0.0)
-
-    names, features, at = _gathered(docs, some, id_col, text_col)
-    used = [screened(features, at, *labels_for(i, names)) for i in range(len(TARGETS))]
-    names, features, at = _gathered(docs, list(by_pick), id_col, text_col, np.unique(np.concatenate(used)))
+        silent = float(known.counts[~known.heard].sum())
+        if target is None:  # if nobody votes good, what nobody votes on is taken as good
+            return 0.0, 0.0 if good >= 0.5 else by_pick[pick][2]
+        # good documents nobody votes on are stood for by the good ones somebody votes on
+        return target, by_pick[pick][2] * (1 + silent / max(good, 1.0) if target < 0.5 and good >= 0.5 else 1.0)
+
+    screens = [Screening() for _ in TARGETS]
+    for pick, features in _gathered(docs, some, id_col, text_col):
+        for i, screen in enumerate(screens):
+            screen.add(features, *label(i, pick))
+    used = [screen.chosen() for screen in screens]
+    del screens
+    rows = sorted(_gathered(docs, list(by_pick), id_col, text_col, np.unique(np.concatenate(used))), key=lambda r: r[0])
+    features, at = np.concatenate([np.zeros(0, np.int64), *[f for _, f in rows]]), flat.offsets_of([len(f) for _, f in rows])
     weights, intercepts = [], []
     for i in range(len(TARGETS)):
-        w, b = train(features, at, *labels_for(i, names), used[i])
+        target, weight = np.array([label(i, pick) for pick, _ in rows], float).reshape(-1, 2).T
+        w, b = train(features, at, target, weight, used[i])
         weights.append(w)
         intercepts.append(b)
     return Scorer(np.stack(weights, 1), np.array(intercepts)), found
