@@ -25,6 +25,7 @@ class Settings:
     metric: str = "scale2Ang"
     min_class_ratio: float = -1
     sample_size: int = 10_000
+    tree_only: bool = False  # classes of one tree over all pairs, for small tables only
     assign_iterations: int = 1
     assign_percentile: float = 90.0
     remove_branches: bool = True

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import rotation as R
+from strandweave.operators.ranges import CELL, squared_gap, with_cell, with_touched_cells
 from strandweave.schema import ANGLE, INV_ANGLE, INV_VECT, VECT
 
 CENTRE_SHIFT = ["cx", "cy", "cz"]
@@ -53,10 +54,24 @@ def pairwise_distances(poses: DataFrame, key: str, radius: float, metric: str =
     left = left.withColumn("_b2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = dealt.select([F.col(c).alias(c + "2") for c in dealt.columns])
     right = right.withColumn("_b1", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = left.join(right, ["_b1", "_b2"]).where(F.col(key + "1") < F.col(key + "2"))
+    return _combined(left.join(right, ["_b1", "_b2"]), key, radius, metric)
+
+
+def near_distances(poses: DataFrame, key: str, reach: float, radius: float, metric: str = "scale2Ang") -> DataFrame:
+    """Distances of all transforms ``i < j`` whose forward shifts are at most ``reach`` apart, for any number of rows.
+
+    A range join on cells of the forward shift: the work is bounded by the neighbours, not by the square of the table.
+    """
+    left = with_cell(poses.select([F.col(c).alias(c + "1") for c in poses.columns]), ["fx1", "fy1", "fz1"], 2 * reach)
+    right = with_touched_cells(poses.select([F.col(c).alias(c + "2") for c in poses.columns]), ["fx2", "fy2", "fz2"], reach, 2 * reach)
+    near = F.sqrt(squared_gap(["fx1", "fy1", "fz1"], ["fx2", "fy2", "fz2"])) <= F.lit(float(reach))
+    return _combined(left.join(right, CELL).where(near), key, radius, metric)
+
+
+def _combined(met: DataFrame, key: str, radius: float, metric: str) -> DataFrame:
     shift, angle = undirected_distances()
-    met = met.select(F.col(key + "1").alias("i"), F.col(key + "2").alias("j"),
-                     shift.alias("shift_distance"), angle.alias("angle_distance"))
+    met = met.where(F.col(key + "1") < F.col(key + "2")).select(
+        F.col(key + "1").alias("i"), F.col(key + "2").alias("j"), shift.alias("shift_distance"), angle.alias("angle_distance"))
     if metric == "mean+1std":
         return normalised_product(met)
     return met.withColumn("distance", R.combined_distance(

@@ -62,37 +62,45 @@ def drop_duplicates_within(
 def nearest_neighbour(particles: DataFrame, crowd: int = 64) -> DataFrame:
     """Distance of every particle to the closest other one of its volume, exact for any spacing.
 
-    Equal positions are settled by an aggregation. The others are searched in shells: the first radius is
-    halved until no cell holds more than ``crowd`` positions, then particles without a hit are searched again
-    with twice the radius, so only isolated points pay for wide searches. A particle alone in its volume has
-    no row.
+    Equal positions are settled by an aggregation. The others are searched in shells with a radius per volume: it begins
+    at the spacing of an even spread and is halved until no cell of the volume holds more than ``crowd`` positions or the cells no longer split, then
+    particles without a hit are searched again with twice the radius, so only isolated points pay for wide
+    searches. Particles with a missing or non-finite coordinate, and those alone in their volume, have no row.
     """
-    pts = cut_lineage(particles.select("tomo_id", "particle_id", *XYZ))
+    finite = F.lit(True)
+    for a in XYZ:
+        finite = finite & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) & (F.abs(a) < F.lit(float("inf")))
+    pts = cut_lineage(particles.select("tomo_id", "particle_id", *XYZ).where(finite & F.col("tomo_id").isNotNull()))
     places = cut_lineage(pts.groupBy("tomo_id", *XYZ).agg(F.count("*").alias("_n")))
-    counts = places.groupBy("tomo_id").agg(
-        F.count("*").alias("_places"), F.greatest(*[F.max(a) - F.min(a) for a in XYZ]).alias("_extent"))
-    shared = places.where("_n > 1").select("tomo_id", *XYZ, F.lit(0.0).alias("nn_distance"))
-    done = [shared]
-    extent = counts.where("_places > 1").agg(F.max("_extent")).first()[0]
-    if extent is not None:
-        open_places = cut_lineage(places.where("_n = 1").join(
-            counts.where("_places > 1").select("tomo_id"), "tomo_id", "left_semi").drop("_n"))
-        radius = extent
-        for _ in range(60):
-            busiest = with_cell(places, XYZ, radius).groupBy("tomo_id", *CELL).count().agg(F.max("count")).first()[0]
-            if busiest <= crowd:
-                break
-            radius /= 2.0
-        other = ["o" + a for a in XYZ]
-        while not open_places.isEmpty():
-            right = with_cell(places.select("tomo_id", *[F.col(a).alias("o" + a) for a in XYZ]), other, radius)
-            left = with_touched_cells(open_places, XYZ, radius, radius)
-            hit = left.join(right, ["tomo_id", *CELL]).withColumn("_d", F.sqrt(squared_gap(XYZ, other)))
-            hit = hit.where((F.col("_d") > 0) & (F.col("_d") <= F.lit(radius)))
-            found = cut_lineage(hit.groupBy("tomo_id", *XYZ).agg(F.min("_d").alias("nn_distance")))
-            done.append(found)
-            open_places = cut_lineage(open_places.join(found, ["tomo_id", *XYZ], "left_anti"))
-            radius *= 2.0
+    # of one volume the extent is finite and positive, as it has two different places
+    extent = F.greatest(*[F.max(a) - F.min(a) for a in XYZ])
+    evenly = F.greatest(F.lit(1.0), F.cbrt(F.count("*") / F.lit(float(crowd))))  # where evenly spread cells begin to hold a crowd
+    radii = places.groupBy("tomo_id").agg(F.count("*").alias("_places"), (extent / evenly).alias("_r")).where("_places > 1")
+    radii = cut_lineage(radii.select("tomo_id", "_r", F.lit(None).cast("long").alias("_busy")))
+    while True:
+        busy = with_cell(places.join(radii.where("_busy is null or _busy > 0"), "tomo_id"), XYZ, F.col("_r")).groupBy("tomo_id", *CELL).count()
+        busy = busy.groupBy("tomo_id").agg(F.max("count").alias("_most"))
+        # _busy: places in the fullest cell while the radius is still halved, then 0
+        step = radii.join(busy, "tomo_id", "left")
+        crowded = F.col("_most") > crowd
+        radii = cut_lineage(step.select("tomo_id", F.when(crowded, F.col("_r") / 2).otherwise(F.col("_r")).alias("_r"),
+                                        F.when(crowded, F.col("_most")).otherwise(0).alias("_busy")))
+        if radii.where("_busy > 0").isEmpty():
+            break
+    done = [places.where("_n > 1").select("tomo_id", *XYZ, F.lit(0.0).alias("nn_distance"))]
+    open_places = cut_lineage(places.where("_n = 1").drop("_n").join(radii.select("tomo_id", "_r"), "tomo_id"))
+    other = ["o" + a for a in XYZ]
+    while not open_places.isEmpty():
+        # every open place of a volume has the same radius
+        now = open_places.groupBy("tomo_id").agg(F.first("_r").alias("_r"))
+        right = places.join(now, "tomo_id").select("tomo_id", "_r", *[F.col(a).alias("o" + a) for a in XYZ])
+        right = with_cell(right, other, F.col("_r")).drop("_r")
+        left = with_touched_cells(open_places, XYZ, F.col("_r"), F.col("_r"))
+        hit = left.join(right, ["tomo_id", *CELL]).withColumn("_d", F.sqrt(squared_gap(XYZ, other)))
+        hit = hit.where((F.col("_d") > 0) & (F.col("_d") <= F.col("_r")))
+        found = cut_lineage(hit.groupBy("tomo_id", *XYZ).agg(F.min("_d").alias("nn_distance")))
+        done.append(found)
+        open_places = cut_lineage(open_places.join(found, ["tomo_id", *XYZ], "left_anti").withColumn("_r", F.col("_r") * 2))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -16,16 +16,16 @@ CELL = ["_cx", "_cy", "_cz"]
 _SLACK = 1.0 + 1e-9  # keeps a point exactly on the radius inside the touched cells
 
 
-def _floor(c: Column, side: float) -> Column:
-    return F.floor(c / F.lit(float(side)))
+def _floor(c: Column, side: float | Column) -> Column:
+    return F.floor(c / (side if isinstance(side, Column) else F.lit(float(side))))
 
 
-def with_cell(df: DataFrame, xyz: list[str], side: float) -> DataFrame:
+def with_cell(df: DataFrame, xyz: list[str], side: float | Column) -> DataFrame:
     """Adds the cell of the point."""
     return df.withColumns({name: _floor(F.col(axis), side) for name, axis in zip(CELL, xyz)})
 
 
-def with_touched_cells(df: DataFrame, xyz: list[str], radius: float | Column, side: float) -> DataFrame:
+def with_touched_cells(df: DataFrame, xyz: list[str], radius: float | Column, side: float | Column) -> DataFrame:
     """One copy of the row per cell the ball of ``radius`` around the point touches."""
     reach = (F.lit(float(radius)) if not isinstance(radius, Column) else radius) * F.lit(_SLACK) + F.lit(1e-9)
     for name, axis in zip(CELL, xyz):

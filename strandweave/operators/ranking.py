@@ -25,7 +25,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     sizes = stored.groupBy(*group, "_part").agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = stored.join(sizes, [*group, "_part"])
+    joined = _null_safe_join(stored, sizes, [*group, "_part"])
     return joined.withColumn(name, F.col("_base") + F.col("_at") - F.col("_lo") + 1).drop(
         "_at", "_part", "_lo", "_base")
 
@@ -64,7 +64,16 @@ def dense_code(df: DataFrame, name_col: str, code_col: str) -> DataFrame:
     """Rank of the distinct names in sorted order, from 0; only the distinct names are sorted."""
     names = df.select(name_col).distinct().withColumn("_all", F.lit(0))
     codes = ranked(names, ["_all"], [name_col], "_r").select(name_col, (F.col("_r") - 1).cast("int").alias(code_col))
-    return df.drop(code_col).join(codes, name_col)
+    return _null_safe_join(df.drop(code_col), codes, [name_col])
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a missing key equals a missing key."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, same).drop(*[f"_r_{k}" for k in keys])
 
 
 def with_file_position(lines: DataFrame, name: str) -> DataFrame:
@@ -73,12 +82,13 @@ def with_file_position(lines: DataFrame, name: str) -> DataFrame:
     ``lines`` must carry ``_file`` and ``_start`` (split offset) of the scan; lines of a split are
     consecutive, so a prefix sum over the splits is all that has to be gathered.
     """
-    stored = lines.withColumn("_at", F.monotonically_increasing_id())
-    splits = stored.groupBy("_file", "_start").agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")  # Spark's own files, past 99,999 too
+    stored = lines.withColumns({"_at": F.monotonically_increasing_id(), "_no": F.coalesce(number, F.lit(-1))})
+    splits = stored.groupBy("_no", "_file", "_start").agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
+    before = Window.orderBy("_no", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_no")
     joined = stored.join(splits, ["_file", "_start"])
-    return joined.withColumn(name, F.col("_base") + F.col("_at") - F.col("_lo")).drop("_at", "_lo", "_base")
+    return joined.withColumn(name, F.col("_base") + F.col("_at") - F.col("_lo")).drop("_at", "_lo", "_base", "_no")
 
 
 def struct_min(value: Column, *payload: Column) -> Column:

@@ -84,7 +84,7 @@ class Analysis:
             s = self.settings
             stored = self._keep("classes", assign.cluster_all(
                 self.pairs, s.cluster_threshold, s.radius, s.metric, s.sample_size, s.min_class_ratio,
-                s.assign_percentile, s.assign_iterations))
+                s.assign_percentile, s.assign_iterations, tree_only=s.tree_only))
         self.pairs = stored
         return stored
 

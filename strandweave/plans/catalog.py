@@ -277,6 +277,9 @@ def fudged_distance(spark, sf):
                     r4(F.col("angle_distance"), "angle"), r4(F.col("cn_distance"), "combined"))
 
 
+NEAR_SHIFT = 40.0  # transforms are compared if their forward shifts are this close
+
+
 def _undirected() -> str:
     sides = {"f": (("vx", "vy", "vz"), ("ephi", "epsi", "etheta")), "b": (("wx", "wy", "wz"), ("iphi", "ipsi", "itheta"))}
     pose = ", ".join(f"{e} AS {s}q{k}" for s, (_, eu) in sides.items() for k, e in enumerate(O.quaternion(*eu)))
@@ -284,15 +287,14 @@ def _undirected() -> str:
             for x, _ in sides.values() for y, _ in sides.values()]
     dots = ["abs(" + " + ".join(f"a.{s}q{k}*b.{t}q{k}" for k in range(4)) + ")" for s in sides for t in sides]
     return (f"WITH {O.PAIRS}, s AS MATERIALIZED (SELECT *, {pose} FROM pr), d AS (SELECT least({', '.join(gaps)}) AS dv, "
-            f"2*degrees(acos(least(1.0, greatest({', '.join(dots)})))) AS da FROM s a JOIN s b ON a.rn < b.rn) ")
+            f"2*degrees(acos(least(1.0, greatest({', '.join(dots)})))) AS da FROM s a JOIN s b ON a.rn < b.rn AND {gaps[0]} <= {NEAR_SHIFT}) ")
 
 
 @query("sample_distances", _undirected() + f"SELECT floor((da + dv/300*180)/2/5)::BIGINT AS band, count(*) AS n, {q4('avg(dv)', 'mean_shift')}, "
        f"{q4('avg(da)', 'mean_angle')} FROM d GROUP BY 1")
 def sample_distances(spark, sf):
-    pairs = P.with_row_order(raw_pairs(spark, sf))
-    sample = assign.sample_pairs(pairs, 10_000, pairs.count())
-    d = distance.pairwise_distances(distance.transform_poses(sample, "row_no"), "row_no", RADIUS)
+    poses = cut_lineage(distance.transform_poses(P.with_row_order(raw_pairs(spark, sf)), "row_no"))
+    d = distance.near_distances(poses, "row_no", NEAR_SHIFT, RADIUS)
     return d.groupBy(F.floor(F.col("distance") / 5).alias("band")).agg(
         F.count("*").alias("n"), r4(F.avg("shift_distance"), "mean_shift"), r4(F.avg("angle_distance"), "mean_angle"))
 
@@ -302,9 +304,8 @@ def sample_distances(spark, sf):
        "e AS (SELECT ((dv-v0)/(v1-v0)+1)*((da-a0)/(a1-a0)+1) AS m FROM d, lim), l2 AS (SELECT min(m) AS m0, max(m) AS m1 FROM e) "
        "SELECT least(9, floor((m-m0)/(m1-m0)*10))::BIGINT AS band, count(*) AS n FROM e, l2 GROUP BY 1")
 def sample_distances_normalised(spark, sf):
-    pairs = P.with_row_order(raw_pairs(spark, sf))
-    sample = assign.sample_pairs(pairs, 10_000, pairs.count())
-    d = distance.pairwise_distances(distance.transform_poses(sample, "row_no"), "row_no", RADIUS, "mean+1std")
+    poses = cut_lineage(distance.transform_poses(P.with_row_order(raw_pairs(spark, sf)), "row_no"))
+    d = distance.near_distances(poses, "row_no", NEAR_SHIFT, RADIUS, "mean+1std")
     return d.groupBy(F.least(F.lit(9), F.floor(F.col("distance") * 10)).alias("band")).agg(F.count("*").alias("n"))
 
 

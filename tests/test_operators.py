@@ -193,3 +193,22 @@ def test_tails_grow_past_taken_spots(spark):
     assert fill.extend_tails(tails, parts, 300.0, add_num=1).isEmpty()
     backwards = fill.advance(tails, backwards=True).first()
     assert np.isclose(backwards.x, -20.0)
+
+
+def test_nearest_neighbour_passes_over_missing_coordinates(spark):
+    rows = [(1, k, float(k), 0.0, 0.0) for k in range(20)] + [(1, 50, None, 0.0, 0.0), (1, 51, float("nan"), 0.0, 0.0), (1, 52, float("inf"), 0.0, 0.0)]
+    rows += [(2, 60 + k, 1000.0 * k * k, 0.0, 0.0) for k in range(4)] + [(3, 90, 0.0, 0.0, 0.0), (None, 91, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "tomo_id int, particle_id long, x double, y double, z double")
+    got = {r.particle_id: r.nn_distance for r in preprocess.nearest_neighbour(df, crowd=4).collect()}
+    assert got == {**{k: 1.0 for k in range(20)}, 60: 1000.0, 61: 1000.0, 62: 3000.0, 63: 5000.0}
+
+
+def test_near_distances_equal_all_distances_in_reach(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, *map(float, rng.normal(0, 40, 3)), *map(float, rng.normal(size=4)), *map(float, rng.normal(0, 40, 3)), *map(float, rng.normal(size=4))) for k in range(60)]
+    names = "row_no long, " + ", ".join(f"{p}{a} double" for p in "fb" for a in ("x", "y", "z", "qw", "qx", "qy", "qz"))
+    poses = spark.createDataFrame(rows, names)
+    near = {(r.i, r.j): r.distance for r in distance.near_distances(poses, "row_no", 35.0, 100.0).collect()}
+    every = {(r.i, r.j): r.distance for r in distance.pairwise_distances(poses, "row_no", 100.0).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and np.linalg.norm(np.subtract(a[1:4], b[1:4])) <= 35.0}
+    assert set(near) == want and all(abs(near[k] - every[k]) < 1e-9 for k in want)
