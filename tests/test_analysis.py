@@ -4,7 +4,7 @@ from strandweave.config import Filling, Settings
 from strandweave.plans.analysis import Analysis
 from tests import simulate
 
-SETTINGS = dict(pixel_size=3.42, search_radius=342.0, min_distance=0.0, cluster_threshold=25.0, min_class_ratio=-1)
+SETTINGS = dict(tree_only=True, pixel_size=3.42, search_radius=342.0, min_distance=0.0, cluster_threshold=25.0, min_class_ratio=-1)
 
 
 def _staged(spark, particles, **more):
