@@ -33,7 +33,7 @@ from strandweave.llm import flat
 from strandweave.session import cut_lineage, ship_code
 
 #: Documents of each kind (low quality, toxic, neither) the scorer is trained on at most.
-SAMPLE = 4_000
+SAMPLE = 2_500
 #: Of these, documents of each kind whose features are all looked at to choose the ``SCREENED`` features of each
 #: target whose share differs most between the classes; the model is trained on those.
 SCREENING, SCREENED = 1_500, 10_000
@@ -334,7 +334,7 @@ def _gathered(docs: DataFrame, picks: list[int], id_col: str, text_col: str, onl
     for r in cut_lineage(keyed.mapInArrow(work, schema)).toLocalIterator():
         if r["_pick"] not in known:  # repeated rows
             known.add(r["_pick"])
-            yield r["_pick"], np.frombuffer(r["_features"], "<u4").astype(np.int64)
+            yield r["_pick"], np.frombuffer(r["_features"], "<u4").astype(np.int32)
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Scorer, dict[str, WeakLabels]]:
@@ -378,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     used = [screen.chosen() for screen in screens]
     del screens
     rows = sorted(_gathered(docs, list(by_pick), id_col, text_col, np.unique(np.concatenate(used))), key=lambda r: r[0])
-    features, at = np.concatenate([np.zeros(0, np.int64), *[f for _, f in rows]]), flat.offsets_of([len(f) for _, f in rows])
+    features, at = np.concatenate([np.zeros(0, np.int32), *[f for _, f in rows]]), flat.offsets_of([len(f) for _, f in rows])
     weights, intercepts = [], []
     for i in range(len(TARGETS)):
         target, weight = np.array([label(i, pick) for pick, _ in rows], float).reshape(-1, 2).T
