@@ -52,7 +52,7 @@ def raw_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classed_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs with a class from the particle classes (0 = unclustered) and their row order."""
+    """Pairs with a class from the particle classes (0 = unclustered) and their row order; stored but for the class."""
     ordered = P.with_row_order(raw_pairs(spark, sf))
     return ordered.withColumn("pairClass", (F.col("pairClass1") + F.col("pairClass2")) % 4)
 
@@ -322,7 +322,7 @@ _ASSIGN = _spread(
 
 @query("assign_to_centres", _ASSIGN.replace("{cond}", "WHERE d < r").replace("{late}", ""))
 def assign_to_centres(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     centres = assign.class_radii(pairs, RADIUS, "scale2Ang", 90.0)
     out = assign.assign_to_centres(pairs, centres, RADIUS)
     return out.select("pairIDX1", "pairIDX2", "pairClass", r4(F.col("assign_distance"), "assign_distance"))
@@ -332,7 +332,7 @@ def assign_to_centres(spark, sf):
     "coalesce(g.pc, 0)::INT", "coalesce(CASE WHEN g.d <= g.r THEN g.pc END, 0)::INT").replace("SELECT rn, pc, d FROM", "SELECT rn, pc, d, r FROM").replace(
     "SELECT rn, pc, d, row_number", "SELECT rn, pc, d, r, row_number"))
 def assign_nearest_then_reach(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     centres = assign.class_radii(pairs, RADIUS, "scale2Ang", 90.0)
     out = assign.assign_to_centres(pairs, centres, RADIUS, radius_first=False)
     return out.select("pairIDX1", "pairIDX2", "pairClass", r4(F.col("assign_distance"), "assign_distance"))
@@ -373,7 +373,7 @@ def swapped_towards_mean(spark, sf):
 
 @query("aligned_directions")
 def aligned_directions(spark, sf):
-    out = align.align_directions(cut_lineage(classed_pairs(spark, sf)))
+    out = align.align_directions(classed_pairs(spark, sf))
     return out.groupBy("pairClass").agg(F.count("*").alias("n"), F.count(F.when(F.col("pairIDX1") > F.col("pairIDX2"), 1)).alias("swapped"),
                                         *[r4(F.avg(v), v) for v in VECT])
 
@@ -507,7 +507,7 @@ _MEM = ", mem AS MATERIALIZED (SELECT DISTINCT pc, unnest([id1, id2]) AS id FROM
        "round_even(coalesce(k, 0)/a.n, 3) AS \"overlapRatioOfC1\", round_even(coalesce(k, 0)/b.n, 3) AS \"overlapRatioOfC2\" "
        "FROM sz a JOIN sz b ON a.pc < b.pc LEFT JOIN ov ON c1 = a.pc AND c2 = b.pc")
 def class_overlap(spark, sf):
-    return summary.class_overlap(cut_lineage(classed_pairs(spark, sf)))
+    return summary.class_overlap(classed_pairs(spark, sf))
 
 
 _KEPT = ", kept AS (SELECT * FROM pr WHERE pc IN (1, 2))"
@@ -518,13 +518,13 @@ _KEPT = ", kept AS (SELECT * FROM pr WHERE pc IN (1, 2))"
        "(SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM k)) AS \"dropRelinkRiboNr\", (SELECT count(*) FROM p) - (SELECT count(*) FROM b) AS \"aloneRiboNr\", "
        "(SELECT count(*) FROM p) AS \"totalRiboNr\", (SELECT count(*) FROM k) AS \"keepRiboNr\"")
 def drop_summary(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     return summary.drop_summary(particles_from_embeddings(spark, sf), pairs, assign.choose(pairs, classes=[1, 2]))
 
 
 @query("dropped_particles", f"WITH {O.PAIRS}{_KEPT} SELECT DISTINCT unnest([id1, id2]) AS particle_id FROM pr EXCEPT SELECT DISTINCT unnest([id1, id2]) FROM kept")
 def dropped_particles(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     return summary.dropped_particles(pairs, assign.choose(pairs, classes=[1, 2]))
 
 
@@ -540,7 +540,7 @@ def class_members(spark, sf):
 
 @query("missing_pairs", f"WITH {O.PAIRS}{_KEPT} SELECT id1 AS pairIDX1, id2 AS pairIDX2 FROM pr WHERE (id1, id2) NOT IN (SELECT (id1, id2) FROM kept)")
 def missing_pairs(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     means = pairs.where("pairClass > 0").groupBy("pairClass").agg(*[F.avg(v).alias("m" + a) for v, a in zip(VECT, "xyz")])
     after = align.swap_towards(assign.choose(pairs, classes=[1, 2]), means)
     return compare.missing_pairs(pairs, after).select("pairIDX1", "pairIDX2")
@@ -550,7 +550,7 @@ def missing_pairs(spark, sf):
        "ns AS (SELECT pc, count(*) AS n FROM c GROUP BY 1), nc AS (SELECT cc, count(*) AS m FROM c GROUP BY 1) "
        f"SELECT cc AS pairClass, {q4('max(100.0*t/n)', 'recall')}, {q4('max(100.0*t/m)', 'precision')} FROM tp JOIN ns USING (pc) JOIN nc USING (cc) GROUP BY 1")
 def class_agreement(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     other = pairs.withColumn("pairClass", (F.col("pairClass1") * F.col("pairClass2") + F.col("pairClass1")) % 5)
     a = compare.class_agreement(pairs, other)
     return a.select("pairClass", r4(F.col("recall"), "recall"), r4(F.col("precision"), "precision"))
@@ -592,7 +592,7 @@ def centred_points(spark, sf):
        ", ".join(["SELECT pc::INT AS pairClass, 'in' AS edge"] + [q4(f"-({e})", n) for e, n in zip(O.turned("r", ("cx", "cy", "cz"), True), "xyz")]) +
        " FROM g UNION ALL SELECT pc, 'fr', round(cx, 4) + 0.0, round(cy, 4) + 0.0, round(cz, 4) + 0.0 FROM g")
 def three_neighbours(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     stats = summary.class_statistics(pairs, RADIUS)
     means = geometry.centred_means(stats, pairs.select("pairClass", "pairClassColour").distinct())
     e = geometry.three_neighbours(means)
@@ -778,7 +778,7 @@ _ERR = O.to_centre()
 @query("error_distances", O.recursive(O.PAIRS, O.class_means(), f"er AS (SELECT cm.pc AS \"classNr\", t.own = cm.pc AS same, ({_ERR[0]})/300*180 AS dv, {_ERR[1]} AS da, {_ERR[2]} AS dc FROM (SELECT * EXCLUDE (pc), pc AS own FROM pr) t CROSS JOIN cm)") +
        f"SELECT \"classNr\"::INT AS \"classNr\", same, count(*) AS n, {q4('avg(dv)', 'vect')}, {q4('avg(da)', 'angle')}, {q4('avg(dc)', 'combined')} FROM er GROUP BY 1, 2")
 def error_distances(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     centres = summary.class_centres(pairs.where("pairClass > 0"))
     e = compare.error_distances(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0"))
     return e.groupBy("classNr", "same").agg(F.count("*").alias("n"), *[r4(F.avg(c), c) for c in ("vect", "angle", "combined")])
@@ -786,7 +786,7 @@ def error_distances(spark, sf):
 
 @query("error_overlap")
 def error_overlap(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     centres = summary.class_centres(pairs.where("pairClass > 0"))
     e = cut_lineage(compare.error_distances(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0")))
     border = fit.kde_borders(e.where("same"), ["classNr"], "combined")
@@ -813,7 +813,7 @@ def _moved(centres: DataFrame) -> DataFrame:
 
 @query("extended_tails", _FILL + f"SELECT pairClass, pairIDX, {', '.join(q4('e' + a, a) for a in 'xyz')}, fphi AS phi, fpsi AS psi, ftheta AS theta FROM ex")
 def extended_tails(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     particles = cut_lineage(particles_from_embeddings(spark, sf))
     ends = cut_lineage(tracking.chain_ends(pairs))
     many = ends.groupBy("pairClass").agg(F.countDistinct("pairLabel").alias("n")).where("n > 1")
@@ -834,7 +834,7 @@ _HEADS = _FILL.rstrip() + (
 
 
 def _fill_inputs(spark, sf):
-    pairs = cut_lineage(classed_pairs(spark, sf))
+    pairs = classed_pairs(spark, sf)
     particles = cut_lineage(particles_from_embeddings(spark, sf))
     ends = cut_lineage(tracking.chain_ends(pairs))
     stats = summary.class_statistics(pairs, RADIUS)
