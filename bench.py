@@ -8,7 +8,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from strandweave.plans import catalog  # noqa: E402
-from strandweave.session import build_session  # noqa: E402
+from strandweave.session import build_session, release_tables  # noqa: E402
 
 HEADLINE = [
     "neighbour_pairs", "pair_transforms", "volume_pair_summary", "duplicates_by_score", "nearest_neighbour",
@@ -31,6 +31,7 @@ def main() -> None:
         start = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+        release_tables(spark)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))

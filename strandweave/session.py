@@ -73,5 +73,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/lineage-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: dict[str, list[str]] = {}
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Deletes the tables :func:`cut_lineage` has written for this application and returns their number.
+
+    For the end of a run: DataFrames that read them can no longer be evaluated.
+    """
+    sc = spark.sparkContext
+    paths = _written.pop(sc.applicationId, [])
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
