@@ -212,3 +212,15 @@ def test_near_distances_equal_all_distances_in_reach(spark):
     every = {(r.i, r.j): r.distance for r in distance.pairwise_distances(poses, "row_no", 100.0).collect()}
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and np.linalg.norm(np.subtract(a[1:4], b[1:4])) <= 35.0}
     assert set(near) == want and all(abs(near[k] - every[k]) < 1e-9 for k in want)
+
+
+def test_centres_in_several_passes(spark, monkeypatch):
+    pairs = P.with_row_order(P.neighbour_transforms(_random_particles(spark, 40), 120.0)).withColumn("pairClass", (F.col("pairIDX1") % 5 + 1).cast("int"))
+    centres = assign.class_radii(pairs, 120.0, "scale2Ang", 60.0)
+    for radius_first in (True, False):
+        results = []
+        for most in (100_000, 2):
+            monkeypatch.setattr(assign, "MAX_CENTRES", most)
+            out = assign.assign_to_centres(pairs, centres, 120.0, radius_first=radius_first)
+            results.append(sorted((r.row_no, r.pairClass, round(r.assign_distance or -1.0, 9)) for r in out.select("row_no", "pairClass", "assign_distance").collect()))
+        assert results[0] == results[1] and len({c for _, c, _ in results[0]}) > 2
