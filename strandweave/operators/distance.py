@@ -68,6 +68,29 @@ def near_distances(poses: DataFrame, key: str, reach: float, radius: float, metr
     return _combined(left.join(right, CELL).where(near), key, radius, metric)
 
 
+def near_undirected_distances(poses: DataFrame, key: str, reach: float, radius: float, metric: str = "scale2Ang") -> DataFrame:
+    """Distances of all transforms ``i < j`` whose undirected shift, the least of the four gaps, is at most ``reach``.
+
+    Both shifts of a transform take part in the range join. A pair that is in reach by several combinations of
+    directions is kept at the first of them only, so no duplicates have to be removed.
+    """
+    def sided(suffix: str) -> DataFrame:
+        named = poses.select([F.col(c).alias(c + suffix) for c in poses.columns])
+        sides = F.array(*[F.struct(F.lit(k).alias("side"), *[F.col(p + a + suffix).alias(a) for a in "xyz"]) for k, p in enumerate("fb")])
+        return named.withColumn("_at", F.explode(sides)).select(
+            *named.columns, F.col("_at.side").alias("_s" + suffix), *[F.col("_at." + a).alias(f"_{a}{suffix}") for a in "xyz"])
+
+    left = with_cell(sided("1"), ["_x1", "_y1", "_z1"], 2 * reach)
+    right = with_touched_cells(sided("2"), ["_x2", "_y2", "_z2"], reach, 2 * reach)
+    met = left.join(right, CELL).where(F.col(key + "1") < F.col(key + "2"))
+    first = F.lit(None)
+    for s, p in reversed(list(enumerate("fb"))):
+        for t, q in reversed(list(enumerate("fb"))):
+            gap = F.sqrt(squared_gap([p + a + "1" for a in "xyz"], [q + a + "2" for a in "xyz"]))
+            first = F.when(gap <= F.lit(float(reach)), F.lit(2 * s + t)).otherwise(first)
+    return _combined(met.where(first == 2 * F.col("_s1") + F.col("_s2")), key, radius, metric)
+
+
 def _combined(met: DataFrame, key: str, radius: float, metric: str) -> DataFrame:
     shift, angle = undirected_distances()
     met = met.where(F.col(key + "1") < F.col(key + "2")).select(

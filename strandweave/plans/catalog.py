@@ -277,17 +277,18 @@ def fudged_distance(spark, sf):
                     r4(F.col("angle_distance"), "angle"), r4(F.col("cn_distance"), "combined"))
 
 
-NEAR_SHIFT = 40.0  # transforms are compared if their forward shifts are this close
+NEAR_SHIFT = 40.0  # transforms are compared if their forward (sample_*) or undirected shifts are this close
 
 
-def _undirected() -> str:
+def _undirected(all_directions: bool = False) -> str:
     sides = {"f": (("vx", "vy", "vz"), ("ephi", "epsi", "etheta")), "b": (("wx", "wy", "wz"), ("iphi", "ipsi", "itheta"))}
     pose = ", ".join(f"{e} AS {s}q{k}" for s, (_, eu) in sides.items() for k, e in enumerate(O.quaternion(*eu)))
     gaps = [f"sqrt(power(a.{x[0]}-b.{y[0]},2) + power(a.{x[1]}-b.{y[1]},2) + power(a.{x[2]}-b.{y[2]},2))"
             for x, _ in sides.values() for y, _ in sides.values()]
     dots = ["abs(" + " + ".join(f"a.{s}q{k}*b.{t}q{k}" for k in range(4)) + ")" for s in sides for t in sides]
+    within = f"least({', '.join(gaps)})" if all_directions else gaps[0]
     return (f"WITH {O.PAIRS}, s AS MATERIALIZED (SELECT *, {pose} FROM pr), d AS (SELECT least({', '.join(gaps)}) AS dv, "
-            f"2*degrees(acos(least(1.0, greatest({', '.join(dots)})))) AS da FROM s a JOIN s b ON a.rn < b.rn AND {gaps[0]} <= {NEAR_SHIFT}) ")
+            f"2*degrees(acos(least(1.0, greatest({', '.join(dots)})))) AS da FROM s a JOIN s b ON a.rn < b.rn AND {within} <= {NEAR_SHIFT}) ")
 
 
 @query("sample_distances", _undirected() + f"SELECT floor((da + dv/300*180)/2/5)::BIGINT AS band, count(*) AS n, {q4('avg(dv)', 'mean_shift')}, "
@@ -309,6 +310,26 @@ def sample_distances_normalised(spark, sf):
     return d.groupBy(F.least(F.lit(9), F.floor(F.col("distance") * 10)).alias("band")).agg(F.count("*").alias("n"))
 
 
+_NEAR_UNDIRECTED = _undirected(all_directions=True)
+
+
+@query("undirected_distances", _NEAR_UNDIRECTED + f"SELECT floor((da + dv/300*180)/2/5)::BIGINT AS band, count(*) AS n, {q4('avg(dv)', 'mean_shift')}, "
+       f"{q4('avg(da)', 'mean_angle')} FROM d GROUP BY 1")
+def undirected_distances(spark, sf):
+    """Like ``sample_distances``, but all pairs of transforms whose undirected shift is in reach."""
+    poses = cut_lineage(distance.transform_poses(P.with_row_order(raw_pairs(spark, sf)), "row_no"))
+    d = distance.near_undirected_distances(poses, "row_no", NEAR_SHIFT, RADIUS)
+    return d.groupBy(F.floor(F.col("distance") / 5).alias("band")).agg(
+        F.count("*").alias("n"), r4(F.avg("shift_distance"), "mean_shift"), r4(F.avg("angle_distance"), "mean_angle"))
+
+
+@query("undirected_distances_normalised", SQL["sample_distances_normalised"].replace(_undirected(), _NEAR_UNDIRECTED))
+def undirected_distances_normalised(spark, sf):
+    poses = cut_lineage(distance.transform_poses(P.with_row_order(raw_pairs(spark, sf)), "row_no"))
+    d = distance.near_undirected_distances(poses, "row_no", NEAR_SHIFT, RADIUS, "mean+1std")
+    return d.groupBy(F.least(F.lit(9), F.floor(F.col("distance") * 10)).alias("band")).agg(F.count("*").alias("n"))
+
+
 # --- assignment and selection -------------------------------------------------------------------------
 
 _INV = (("wx", "wy", "wz"), ("iphi", "ipsi", "itheta"))

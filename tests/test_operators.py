@@ -214,6 +214,20 @@ def test_near_distances_equal_all_distances_in_reach(spark):
     assert set(near) == want and all(abs(near[k] - every[k]) < 1e-9 for k in want)
 
 
+def test_near_undirected_distances_equal_least_of_four(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, *map(float, rng.normal(0, 40, 3)), *map(float, rng.normal(size=4)), *map(float, rng.normal(0, 40, 3)), *map(float, rng.normal(size=4))) for k in range(60)]
+    rows.append((60, *rows[0][8:15], *rows[0][1:8]))  # the first transform, recorded the other way
+    names = "row_no long, " + ", ".join(f"{p}{a} double" for p in "fb" for a in ("x", "y", "z", "qw", "qx", "qy", "qz"))
+    poses = spark.createDataFrame(rows, names)
+    near = distance.near_undirected_distances(poses, "row_no", 35.0, 100.0).collect()
+    every = {(r.i, r.j): r.distance for r in distance.pairwise_distances(poses, "row_no", 100.0).collect()}
+    least = {(a[0], b[0]): min(np.linalg.norm(np.subtract(a[s:s + 3], b[t:t + 3])) for s in (1, 8) for t in (1, 8)) for a in rows for b in rows if a[0] < b[0]}
+    want = {k: d for k, d in least.items() if d <= 35.0}
+    assert len(near) == len(want) and {(r.i, r.j) for r in near} == set(want) and (0, 60) in want
+    assert all(abs(r.shift_distance - want[r.i, r.j]) < 1e-9 and abs(r.distance - every[r.i, r.j]) < 1e-9 for r in near)
+
+
 def test_centres_in_several_passes(spark, monkeypatch):
     pairs = P.with_row_order(P.neighbour_transforms(_random_particles(spark, 40), 120.0)).withColumn("pairClass", (F.col("pairIDX1") % 5 + 1).cast("int"))
     centres = assign.class_radii(pairs, 120.0, "scale2Ang", 60.0)
