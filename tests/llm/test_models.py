@@ -55,6 +55,27 @@ def test_recall_at_the_full_tolerance(spark):
     assert sum((k, k % len(items)) in hits for k in range(len(texts))) >= 0.99 * len(texts)
 
 
+def test_recall_of_passages_at_the_limit():
+    """Passages whose distance is exactly the tolerance, per length and kind of edit."""
+    r = random.Random(5)
+    for size in (5, 6, 10, 15, 18, 20, 30):
+        items = [[f"w{r.randrange(10**7)}" for _ in range(size)] for _ in range(20)]
+        found, edits = decontaminate.Items([" ".join(i).encode() for i in items], 0.2), decontaminate.allowed(size, 0.2)
+        for kind in ("change", "insert", "delete", "any"):
+            texts = []
+            while len(texts) < 200:
+                item = items[len(texts) % 20]
+                words = list(item)
+                for at in sorted(r.sample(range(size), edits), reverse=True):
+                    k = r.choice(("change", "insert", "delete")) if kind == "any" else kind
+                    words[at:at + (k != "insert")] = [] if k == "delete" else [f"z{r.randrange(10**7)}"]
+                if _distance(item, words) == edits:
+                    around = [f"y{r.randrange(10**7)}" for _ in range(40)]
+                    texts.append(" ".join(around + words + around).encode())
+            hits = {(a + t, i) for a, b in flat.chunks([len(t) for t in texts]) for t, i, _ in found.matches(texts[a:b])}
+            assert sum((k, k % 20) in hits for k in range(200)) >= 198, (size, kind)
+
+
 def test_contamination_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 1200").orderBy("doc_id").limit(120)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
