@@ -31,10 +31,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of at least 0.8."""
-    found = minhash.near_duplicates(docs, width=5, percent=80)
-    copies = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: five-word shingles, similarity of at least 0.8.
+
+    Rows are dropped by id and text, so a shared id drops no other text; of equal texts without an id one stays.
+    """
+    found = minhash.near_duplicates(docs, width=5, percent=80, key_col="_copy")
+    copies = cut_lineage(found.where(~F.col("kept")).select("_copy").distinct())
+    left = docs.join(copies.hint("shuffle_merge"), minhash.row_key() == F.col("_copy"), "left_anti").select(*docs.columns)
+    if docs.where("doc_id is null").isEmpty():
+        return left
+    single = F.col("doc_id").isNull() & F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return left.where(~single).unionByName(left.where(single).dropDuplicates(["text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ bucket stay uncompared unless they are connected already, and no task holds more
 A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
 Defined results: null, empty or white-space-only texts have no shingles and are linked with nothing; rows of one
-id are linked like different documents of that id; a null id gets its class's ``component_id``; repeated rows
-repeat their result; an empty table gives an empty result; other columns are ignored.
+id with different texts are different documents, of which at most one of a component is kept, and so are rows without
+an id, which come after all ids; repeated rows repeat their result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,19 +223,26 @@ def _rest_links(members: DataFrame, comps: DataFrame, texts: DataFrame, width: i
     return placed.groupBy("_key", "_i", "_j").applyInArrow(verify, LINKS)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: ``<id_col>, n_shingles, component_id, kept``.
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Id and digest of the text; never null, ordered by id with null last, different for texts that share an id."""
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """Per document: ``<id_col>, n_shingles, component_id, kept``, and its :func:`row_key` as ``key_col`` if wanted.
 
     Documents with ``100 * intersection >= percent * union`` of their sets of ``width``-word shingles are linked;
     ``component_id`` is the smallest id that links lead to.
     """
     ship_code(docs.sparkSession)
-    signed = cut_lineage(signatures(docs, width, id_col, text_col))
+    docs = docs.select(row_key(id_col, text_col).alias("_doc"), F.col(text_col).alias("_text"))
+    signed = cut_lineage(signatures(docs, width, "_doc", "_text"))
     classes = signed.where("_n > 0").groupBy("_set").agg(
         F.min("_doc").alias("_rep"), F.count("*").alias("_members"), F.first("_sig").alias("_sig"))
     classes = cut_lineage(classes)
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substr(F.col("_sig"), b * 8 + 1, F.lit(8))))
-    opened = classes.where("_rep is not null").select("_set", band.alias("_band", "_part"))
+    opened = classes.select("_set", band.alias("_band", "_part"))
     opened = opened.select("_set", F.concat(F.unhex(F.lpad(F.hex("_band"), 2, "0")), "_part").alias("_key"))
     buckets = opened.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
     members = lookup_join(opened, cut_lineage(buckets).withColumn("_weight", F.col("_size")), ["_key"], "_weight", F.xxhash64("_set"))
@@ -243,8 +250,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     wanted = classes.join(members.select("_set").distinct(), "_set", "left_semi").select("_set", "_sig", "_rep")
     wanted = cut_lineage(wanted)
-    texts = docs.select(F.col(id_col).alias("_rep"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    texts = sieve(texts, wanted, "_rep").join(wanted.hint("shuffle_merge"), "_rep")
+    texts = docs.select(F.col("_doc").alias("_rep"), F.coalesce("_text", F.lit("")).cast("binary").alias("_text"))
+    texts = sieve(texts, wanted, "_rep").join(wanted.hint("shuffle_merge"), "_rep").dropDuplicates(["_rep"])
     texts = cut_lineage(texts.select("_set", "_sig", "_text"))
 
     links = cut_lineage(_star_links(members, texts, width, percent))
@@ -259,8 +266,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     named = lookup_join(named, first, ["_comp"], "_size", F.xxhash64("_set")).select("_set", "_members", "_first")
     out = lookup_join(signed.select("_doc", "_n", "_set"), cut_lineage(named), ["_set"], "_members", F.xxhash64("_doc"))
     component = F.when(F.col("_n") > 0, F.col("_first")).otherwise(F.col("_doc"))
-    return out.select(F.col("_doc").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("_doc").eqNullSafe(component).alias("kept"))
+    key = [F.col("_doc").alias(key_col)] if key_col else []
+    return out.select(F.col("_doc.id").alias(id_col), F.col("_n").alias("n_shingles"), component["id"].alias("component_id"),
+                      (F.col("_doc") == component).alias("kept"), *key)
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:

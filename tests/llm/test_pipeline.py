@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from strandweave.llm import decontaminate, piece_bpe
-from tests.llm.cases import awkward_documents, empty_documents
+from tests.llm.cases import BASE, NEAR, awkward_documents, empty_documents
 from tests.llm.test_minhash import brute_force
 from tests.llm.test_native import _drop
 
@@ -52,3 +52,13 @@ def test_stages_awkward(spark):
             if name != "pieces":
                 assert rows.columns == [c for c in frame.columns if c in rows.columns] and set(COLUMNS) <= set(rows.columns)
             assert rows.count() <= frame.count()
+
+
+def test_near_copies_with_shared_and_missing_ids(spark):
+    far = " ".join(f"far{k}" for k in range(60))
+    rows = [(1, BASE), (2, NEAR), (2, "a unique text under an id that a near copy has too"), (None, NEAR + " more"), (None, far), (None, far.replace("far30 ", "x ")),
+            (None, "an unrelated text without an id"), (None, "an unrelated text without an id"), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, docs, SF).collect()]
+    fixed = [rows[0], rows[2], rows[6], (None, ""), (None, "")]
+    assert sorted(map(str, left)) in [sorted(map(str, [*fixed, one])) for one in rows[4:6]]
