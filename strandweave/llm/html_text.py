@@ -5,7 +5,8 @@ tags above it and the words of their class, id and role attributes. Features are
 its share of links. A chain with two states (main text or not) is trained by gradient ascent of the conditional
 log-likelihood on labelled pages (:mod:`strandweave.llm.html_pages`), and pages are decoded by Viterbi.
 
-Scripts, styles, templates and comments of the markup are never text. Character references are decoded, white
+Scripts, styles, templates, text areas of forms and comments of the markup are never text. A quote opens a value only
+after an equals sign and where another one ends it; elsewhere it is a character like others. Character references are decoded, white
 space inside a block becomes one space, blocks are trimmed, empty ones dropped, and the blocks of the main text
 are joined in page order by an empty line.
 
@@ -36,12 +37,12 @@ BLOCKS = frozenset("""address article aside blockquote body button caption cente
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p
     pre section select summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "math")
+HIDDEN = ("script", "style", "template", "textarea")
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "option": ("option",), "body": ("head",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in HIDDEN}
 _NAME = re.compile(r"[a-z]+")
@@ -93,9 +94,6 @@ def leaves(page: str) -> list[Leaf]:
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
-        if m is None:  # a quote in a tag never ends: the tag goes up to the next bracket
-            at = page.find(">", at) + 1 or size
-            continue
         at = m.end()
         name = m.group(2)
         if name is None:

@@ -199,3 +199,17 @@ def test_main_text_awkward(spark):
     assert {r.text for r in rows if r.page_id in (0, 1, 2, 3, 8)} == {""}
     assert len({r.text for r in rows if r.page_id in (10, 11, None)}) == 1
     assert html_text.main_text(pages.where("1 = 0")).count() == 0
+
+
+def test_leaves_keep_formulas_fallbacks_and_text_after_stray_quotes():
+    def texts(page):
+        return [x.text for x in html_text.leaves(page)]
+
+    for name in ("math", "object", "noscript", "svg", "iframe"):
+        assert texts(f"<p>before <{name} a=b>inner text</{name}> after</p>") == ["before inner text after"]
+    for name in ("script", "style", "template", "textarea"):
+        assert texts(f"<p>before <{name} a=b>inner text</{name}> after</p>") == ["before after"]
+    assert texts("<p title=Don't>one</p><p>two</p><p title=Can't>three</p>") == ["one", "two", "three"]
+    assert texts("<p title=Don't>one</p><p>two</p>") == ["one", "two"]
+    assert texts("<p title='never ends>one</p>") == ["one"]
+    assert texts("<p title=\"a > b\" class = 'c>d'>one</p><a href=/x?a=\"b\">two</a>") == ["one", "two"]
