@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import (
-    decontaminate, exact_dedup, html_text, line_dedup, minhash, piece_bpe, quality, token_blocks, token_counts, url_filter,
+    decontaminate, exact_dedup, html_text, line_dedup, manifest, minhash, piece_bpe, quality, token_blocks, token_counts, url_filter,
 )
 from strandweave.session import ensure_checkpoint_dir
 
@@ -145,3 +145,44 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_text")
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+#: One row with the 256 steps of CRC-32 as the list ``steps``, by the rule of its polynomial.
+CRC_STEPS = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), i)) AS steps"
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text in SQL; ``steps`` of :data:`CRC_STEPS` must be in scope."""
+    codes = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce({codes}, lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
+def _leaf_sql(text: str) -> str:
+    texts = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+@query("op12_manifest", f"""
+    WITH RECURSIVE given AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+            CASE WHEN {crc_sql("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS copy
+            FROM documents, ({CRC_STEPS})),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM given),
+        low AS (SELECT source, 0 AS level, r AS i, n, leaf AS h FROM leaves
+            UNION ALL SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY source, level, i // 3, n),
+        subs AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s, count(*) OVER () AS m FROM low WHERE n = 1),
+        high AS (SELECT 0 AS level, s AS i, m AS n, subroot AS h FROM subs
+            UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY level, i // 3, n),
+        docs AS (SELECT l.*, s, subroot FROM leaves l JOIN subs ON l.source IS NOT DISTINCT FROM subs.source),
+        runs AS (SELECT s, r, 0 AS part, level, i, (r // (3::BIGINT ** level)::BIGINT) AS own, h FROM docs JOIN low
+                ON low.source IS NOT DISTINCT FROM docs.source AND low.n > 1 AND low.i // 3 = docs.r // (3::BIGINT ** (level + 1))::BIGINT
+            UNION ALL SELECT s, r, 1, level, i, (s // (3::BIGINT ** level)::BIGINT), h FROM docs JOIN high
+                ON high.n > 1 AND high.i // 3 = docs.s // (3::BIGINT ** (level + 1))::BIGINT),
+        steps AS (SELECT s, r, part, level, coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i < own), '') AS b,
+            coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i > own), '') AS a FROM runs GROUP BY s, r, part, level),
+        paths AS (SELECT s, r, list({{'b': b, 'a': a}} ORDER BY part, level) AS path, string_agg(b || a, '' ORDER BY part, level) AS siblings FROM steps GROUP BY s, r),
+        folded AS (SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+            list_reduce(coalesce(path, []), lambda x, p: {{'b': sha256(p.b || x.b || p.a), 'a': ''}}, {{'b': copy, 'a': ''}}).b AS folded_root
+            FROM docs LEFT JOIN paths USING (s, r))
+    SELECT *, folded_root = root AS verified FROM folded""")
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_newlines())
