@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import (
-    decontaminate, exact_dedup, html_text, line_dedup, manifest, minhash, piece_bpe, quality, token_blocks, token_counts, url_filter,
+    decontaminate, exact_dedup, html_text, line_dedup, manifest, minhash, piece_bpe, quality, shards, token_blocks, token_counts, url_filter,
 )
 from strandweave.session import ensure_checkpoint_dir
 
@@ -186,3 +186,27 @@ def _leaf_sql(text: str) -> str:
     SELECT *, folded_root = root AS verified FROM folded""")
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_newlines())
+
+
+SHARDS = 40
+
+
+@query("op13_shards", f"""
+    WITH RECURSIVE rows AS (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 16 AS size,
+            {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, ({CRC_STEPS})),
+        groups AS (SELECT t, sum(size)::BIGINT AS bytes, row_number() OVER (ORDER BY sum(size) DESC, sha256(t)) AS k FROM rows GROUP BY t),
+        sums AS (SELECT *, sum(bytes) OVER (ORDER BY k DESC)::BIGINT AS left_over FROM groups),
+        single AS (SELECT coalesce(min(k) FILTER (WHERE NOT (k < {SHARDS} AND bytes * ({SHARDS} + 1 - k) > left_over)), max(k) + 1) - 1 AS own FROM sums),
+        start AS (SELECT own, (left_over + {SHARDS} - own - 1) // ({SHARDS} - own) AS least FROM single JOIN sums ON k = own + 1),
+        pack AS (SELECT slack, own AS k, list_transform(range({SHARDS} - own), lambda i: (least + (1::BIGINT << slack) - 1)::BIGINT) AS gaps, NULL::BIGINT AS bin
+                FROM start, (SELECT unnest(range(48)) AS slack)
+            UNION ALL SELECT slack, k, list_transform(gaps, lambda x, i: CASE WHEN i = place THEN x - bytes ELSE x END), place
+                FROM (SELECT slack, s.k, gaps, bytes, list_position(gaps, list_min(list_filter(gaps, lambda x: x >= bytes))) AS place
+                    FROM pack JOIN sums s ON s.k = pack.k + 1) WHERE place IS NOT NULL),
+        best AS (SELECT min(slack) AS slack FROM pack WHERE k = (SELECT max(k) FROM groups)),
+        placed AS (SELECT t, (CASE WHEN k <= own THEN k - 1 ELSE own + bin - 1 END)::INT AS shard FROM groups CROSS JOIN single
+            LEFT JOIN (SELECT k, bin FROM pack JOIN best USING (slack) WHERE bin IS NOT NULL) USING (k))
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, sha256(t)) - 1 AS slot,
+        NULL::INT AS grown_shard FROM rows JOIN placed USING (t)""")
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"), SHARDS)
