@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import (
-    decontaminate, exact_dedup, html_text, line_dedup, manifest, minhash, piece_bpe, quality, shards, token_blocks, token_counts, url_filter,
+    decontaminate, exact_dedup, html_text, line_dedup, manifest, minhash, piece_bpe, quality, repair, shards, token_blocks, token_counts, url_filter,
 )
 from strandweave.session import ensure_checkpoint_dir
 
@@ -210,3 +210,47 @@ SHARDS = 40
         NULL::INT AS grown_shard FROM rows JOIN placed USING (t)""")
 def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(table(spark, sf_dir, "documents"), SHARDS)
+
+
+def _step_sql(cost: str, letter: str, *froms: str) -> str:
+    """The least of stacks after an edit, or of given ones (letter empty)."""
+    return ", ".join(f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}'}}" for x in froms)
+
+
+_NEVER = "{'c': 1000000000, 'a': ''}"
+
+
+@query("op11_repair", rf"""
+    WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations, ({CRC_STEPS})),
+        ids AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+        d AS (SELECT g, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+            CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) FROM k JOIN ids ON k.conv_id IS NOT DISTINCT FROM ids.conv_id WHERE code <> 0),
+        o AS (SELECT g, turn, role, text, role[1] AS c, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i,
+            row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN seen > 1 THEN 'd'
+            WHEN NOT regexp_matches(text, '[.!?]{SPACE}*$') THEN 't' ELSE '-' END AS fault, lag(c) OVER (PARTITION BY g ORDER BY i) AS p FROM o),
+        dp AS (SELECT g, 0 AS i, {{'c': 0, 'a': ''}} AS e, {_NEVER} AS s, {{'c': 2, 'a': 'I'}} AS u, {{'c': 4, 'a': 'II'}} AS h FROM ids
+            UNION ALL SELECT g, i, e, s, u2, list_min([h1, {_step_sql("2", "I", "u2")}]) FROM (
+                SELECT *, list_min([u1, {_step_sql("2", "I", "e", "s", "h1")}]) AS u2 FROM (
+                    SELECT dp.g, f.i, {_step_sql("3", "D", "e")} AS e,
+                        list_min([{_step_sql("3", "D", "s")}, CASE WHEN fault IN ('t', '-') AND c = 's' THEN {_step_sql("(fault = 't')::INT", "K", "e")} ELSE {_NEVER} END]) AS s,
+                        list_min([{_step_sql("3", "D", "u")}] || CASE WHEN fault NOT IN ('t', '-') THEN []
+                            WHEN c = 'u' THEN [{_step_sql("(fault = 't')::INT", "K", "e", "s", "h")}] ELSE [{_step_sql("2 + (fault = 't')::INT", "R", "e", "s", "h")}] END) AS u1,
+                        list_min([{_step_sql("3", "D", "h")}] || CASE WHEN fault NOT IN ('t', '-') THEN []
+                            WHEN c = 'a' THEN [{_step_sql("(fault = 't')::INT", "K", "u")}] ELSE [{_step_sql("2 + (fault = 't')::INT", "R", "u")}] END) AS h1
+                    FROM dp JOIN f ON dp.g = f.g AND f.i = dp.i + 1))),
+        best AS (SELECT g, arg_max(list_min([e, h]), i) AS b FROM dp GROUP BY g),
+        letters AS (SELECT g, unnest(string_split(b.a, '')) AS letter, generate_subscripts(string_split(b.a, ''), 1) AS pos FROM best WHERE b.a <> ''),
+        placed AS (SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY g ORDER BY pos) AS i FROM letters),
+        kept AS (SELECT l.g, letter, pos, role, text, c, row_number() OVER (PARTITION BY l.g ORDER BY pos) AS j,
+            first_value(letter = 'K' AND c = 's') OVER (PARTITION BY l.g ORDER BY pos) AS led FROM placed l LEFT JOIN f ON f.g = l.g AND f.i = l.i AND letter <> 'I' WHERE letter <> 'D'),
+        texts AS (SELECT g, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j + led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY pos) AS t FROM kept GROUP BY g),
+        counts AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+            count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE p IS NOT NULL AND p || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, b.c::BIGINT AS cost, b.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+    FROM ids JOIN best USING (g) LEFT JOIN counts USING (g) LEFT JOIN texts USING (g)""")
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
