@@ -227,7 +227,7 @@ def _one_pass(docs: DataFrame, shared, tolerance: float, place: int, match: T.Ar
                     found[text].append({"item": names[item], "distance": distance, "words": int(items.sizes[item])})
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(found, arrow)], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(flat.trimmed(work), schema)
 
 
 _kept: dict[tuple, Items] = {}

@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                     names=["_doc", "_n", "_set", "_sig"])
 
     kind = rows.schema["_doc"].dataType
-    return rows.mapInArrow(work, T.StructType([
+    return rows.mapInArrow(flat.trimmed(work), T.StructType([
         T.StructField("_doc", kind), T.StructField("_n", T.LongType()), T.StructField("_set", T.BinaryType()), T.StructField("_sig", T.BinaryType())]))
 
 

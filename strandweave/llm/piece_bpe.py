@@ -167,9 +167,9 @@ class PieceEncoder:
         begin[1:] &= ~mark[:-1]
         begin[at[:-1][np.diff(at) > 0]] = True
         starts = np.flatnonzero(begin)
-        ends = np.append(starts[1:], len(codes))
+        ends = np.append(starts[1:], len(codes))[:len(starts)]
         joined = "".join(marked)
-        slots = self.cache.find(flat.piece_hashes(codes, starts, ends), lambda i: joined[starts[i]:ends[i]])
+        slots = self.cache.find(codes, starts, ends, joined)
         ids = self.cache.ids(slots)
         offsets = flat.offsets_of(self.cache.lengths[slots])[np.searchsorted(starts, at)]
         ids = np.insert(ids, np.column_stack([offsets[:-1], offsets[1:]]).ravel(), np.tile([self.begin, self.end], len(texts)))
@@ -212,7 +212,7 @@ def encoded(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: s
                     out.append(pa.array([enc.decode(ids[x:y]) for x, y in zip(at[:-1], at[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(flat.trimmed(work), schema)
 
 
 def encoded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,4 +234,4 @@ def encoded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
                     pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts], pa.string()),
                     pa.array([hashlib.sha256(enc.decode(p).encode()).hexdigest() for p in parts], pa.string())], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(flat.trimmed(work), schema)

@@ -4,8 +4,9 @@ A text is cut where the pattern
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-cuts it, by comparing character classes of neighbours instead of running the pattern. Each distinct piece is
-encoded once per worker by the tokenizer library; all later ones are looked up by their 64-bit hash.
+cuts it, by comparing character classes of neighbours instead of running the pattern. Special tokens are cut out
+before. Each distinct piece is encoded by the tokenizer library; later ones are found by a 64-bit hash, and every one
+of them is compared with the characters of the piece that the hash leads to.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import regex
 from strandweave.llm import flat
 
 SPACE, LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3, 4
-#: Pieces kept per worker process (some 40 bytes each); beyond, the cache starts anew.
-CACHED = 2_000_000
+#: Characters and ids kept per worker process, a piece counting as 16 more; beyond, the cache starts anew.
+CACHED = 12_000_000
 _kinds: np.ndarray | None = None
 
 
@@ -82,37 +83,67 @@ def starts_of(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class PieceCache:
-    """Ids of pieces by hash. ``encode`` turns a list of pieces into lists of ids."""
+    """Ids of pieces. ``encode`` turns a list of pieces into lists of ids."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = CACHED):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes and their slots
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.code_starts, self.code_lengths, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+    @property
+    def held(self) -> int:
+        return len(self.flat) + len(self.codes) + 16 * len(self.keys)
+
+    def _add(self, keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.flat) + flat.offsets_of(lengths)[:-1]
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32)])
         at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.starts, self.lengths = np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths)
-
-    def find(self, hashes: np.ndarray, text_of: Callable[[int], str]) -> np.ndarray:
-        """Slots of all pieces; ``text_of`` gives the text of piece i."""
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        for _ in range(2):
-            at = np.searchsorted(self.keys, keys)
-            known = np.zeros(len(keys), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-            if known.all():
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, len(self.starts) + np.arange(len(keys)))
+        self.starts = np.append(self.starts, len(self.flat) + flat.offsets_of(lengths)[:-1])
+        self.lengths = np.append(self.lengths, lengths)
+        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())))
+        self.code_starts = np.append(self.code_starts, len(self.codes) + flat.offsets_of(sizes)[:-1])
+        self.code_lengths = np.append(self.code_lengths, sizes)
+        self.codes = np.append(self.codes, codes[flat.ragged(starts, sizes)].astype(np.uint32))
+
+    def find(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
+        """Slots of the pieces ``text[start:end]``, whose code points are ``codes[start:end]``; good until the next call."""
+        if self.held > self.limit:
+            self._clear()
+        hashes, sizes = flat.mixed_hashes(codes, starts, ends), ends - starts
+        while True:
+            keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            moved = self._strangers(codes, starts, sizes, first, back, at, known)
+            if not len(moved):
                 break
-            if len(self.keys) + np.count_nonzero(~known) > self.limit:
-                self._clear()
-                known[:] = False
-            self._add(keys[~known], self.encode([text_of(i) for i in first[~known]]))
-        return np.searchsorted(self.keys, keys)[back]
+            hashes[moved] = flat.mix(hashes[moved] + np.uint64(1))  # another piece has this hash: the next place
+        new = first[~known]
+        if len(new):
+            self._add(keys[~known], codes, starts[new], sizes[new], self.encode([text[starts[i]:ends[i]] for i in new]))
+        return self.slots[np.searchsorted(self.keys, keys)][back]
+
+    def _strangers(self, codes, starts, sizes, first, back, at, known) -> np.ndarray:
+        """Pieces that differ from the kept piece of their hash, or else from the first of the batch."""
+        repeated = np.flatnonzero(first[back] != np.arange(len(back)))
+        model = first[back[repeated]]
+        short = repeated[sizes[repeated] != sizes[model]]
+        even = sizes[repeated] == sizes[model]
+        repeated, model = repeated[even], model[even]
+        found = [short, repeated[flat.differing(codes, starts[repeated], codes, starts[model], sizes[repeated])]]
+        here, slots = np.flatnonzero(known), self.slots[at[known]] if len(self.slots) else np.zeros(0, np.int64)
+        even = self.code_lengths[slots] == sizes[first[here]]
+        wrong = np.zeros(len(known), bool)
+        wrong[here[~even]] = True
+        here, slots = here[even], slots[even]
+        wrong[here[flat.differing(codes, starts[first[here]], self.codes, self.code_starts[slots], sizes[first[here]])]] = True
+        if wrong.any():
+            found.append(np.flatnonzero(wrong[back]))
+        return np.unique(np.concatenate(found))
 
     def ids(self, slots: np.ndarray) -> np.ndarray:
         return self.flat[flat.ragged(self.starts[slots], self.lengths[slots])]
@@ -126,35 +157,40 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.special = sorted((t.content for t in added), key=len, reverse=True)
+        self.longest_special = max(map(len, self.special), default=0)
+        self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.cache = PieceCache(lambda pieces: [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)])
 
+    def starts(self, texts: list[str], codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """First positions of all pieces; a special token is a piece, and the texts around it are texts of their own."""
+        spans = []
+        if self._special:
+            for i, t in enumerate(texts):
+                if any(s in t for s in self.special):
+                    spans += [(at[i] + m.start(), at[i] + m.end()) for m in self._special.finditer(t)]
+        if not spans:
+            return starts_of(codes, at)
+        low, high = np.array(spans, np.int64).T
+        starts = starts_of(codes, np.unique(np.concatenate([at, low, high])))
+        inside = np.searchsorted(low, starts, "right") - 1
+        inner = (inside >= 0) & (starts > low[inside]) & (starts < high[inside])
+        return starts[~inner]
+
     def slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cache slots of all pieces, offsets of the texts in pieces, and lengths of the pieces."""
         codes, at = flat.code_points(texts)
-        starts = starts_of(codes, at)
-        ends = np.append(starts[1:], len(codes))
-        return self.slots_of(codes, starts, ends, "".join(texts)), np.searchsorted(starts, at), ends - starts
-
-    def slots_of(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
-        """Cache slots of the pieces ``text[start:end]``."""
-        return self.cache.find(flat.piece_hashes(codes, starts, ends), lambda i: text[starts[i]:ends[i]])
+        starts = self.starts(texts, codes, at)
+        ends = np.append(starts[1:], len(codes))[:len(starts)]
+        return self.cache.find(codes, starts, ends, "".join(texts)), np.searchsorted(starts, at), ends - starts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and the offsets of the texts. A text with a special token goes through the library."""
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        plain = list(texts)
-        for i in odd:
-            plain[i] = ""
-        slots, at, _ = self.slots(plain)
-        ids = self.cache.ids(slots)
-        offsets = flat.offsets_of(self.cache.lengths[slots])[at]
-        if not odd:
-            return ids, offsets
-        parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        for i, e in zip(odd, self.library.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            parts[i] = np.array(e.ids, np.int32)
-        return np.concatenate(parts), flat.offsets_of([len(p) for p in parts])
+        """Ids of all texts and the offsets of the texts."""
+        slots, at, _ = self.slots(texts)
+        return self.cache.ids(slots), flat.offsets_of(self.cache.lengths[slots])[at]
 
 
 _loaded: dict[str, ByteTokenizer] = {}

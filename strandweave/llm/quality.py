@@ -63,7 +63,7 @@ _table[4, [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    return flat.words([" ".join(words).encode()])[0]
+    return flat.words([" ".join(words).encode()], flat.piece_hashes)[0]
 
 
 def _bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _hits(hashes: np.ndarray, listed: np.ndarray) -> np.ndarray:
 
 
 def describe(texts: list[bytes], with_features: bool) -> Batch:
-    whole, starts, ends, at = flat.words(texts)
+    whole, starts, ends, at = flat.words(texts, flat.piece_hashes)
     data = np.frombuffer(b"".join(texts), np.uint8)
     byte_at = flat.offsets_of([len(t) for t in texts])
     n = np.diff(at)
@@ -200,7 +200,7 @@ def votes_of(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                      *[pa.array(votes[c.partition("_")[2]], pa.int32()) for c in names]], names=schema.names)
 
-    return _labelled(rows.mapInArrow(work, schema), labels, id_col)
+    return _labelled(rows.mapInArrow(flat.trimmed(work), schema), labels, id_col)
 
 
 @dataclass
@@ -331,7 +331,7 @@ def _gathered(docs: DataFrame, picks: list[int], id_col: str, text_col: str, onl
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(parts, pa.binary())], names=schema.names)
 
     known = set()
-    for r in cut_lineage(keyed.mapInArrow(work, schema)).toLocalIterator():
+    for r in cut_lineage(keyed.mapInArrow(flat.trimmed(work), schema)).toLocalIterator():
         if r["_pick"] not in known:  # repeated rows
             known.add(r["_pick"])
             yield r["_pick"], np.frombuffer(r["_features"], "<u4").astype(np.int32)
@@ -408,4 +408,4 @@ def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", prefix: str
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(a, b - a) for c in batch.columns), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p < REJECT).all(1))], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(flat.trimmed(work), schema)

@@ -112,7 +112,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                         names=schema.names)
                     first, segment, position = last, segment + 1, position + n
 
-    rows.mapInArrow(work, schema).write.parquet(f"{path}/segments")
+    rows.mapInArrow(flat.trimmed(work), schema).write.parquet(f"{path}/segments")
     shards = spark.read.schema(schema).parquet(f"{path}/segments").groupBy("shard").agg(F.sum("n").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     shards.select("shard", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).write.parquet(f"{path}/shards")
@@ -143,7 +143,7 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1)[i].values, pa.array(start + at[:-1]), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(flat.trimmed(work), schema)
 
 
 def read_ids(spark: SparkSession, path: str, start: int, stop: int) -> list[int]:

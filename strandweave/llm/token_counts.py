@@ -3,8 +3,8 @@
 A document's pre-tokens are the leaves of a segment tree: buckets of about ``BUCKET`` pre-tokens with their lengths
 and token counts, under an array tree with sums of characters and tokens. An edit replaces a range of characters.
 The cut into pre-tokens looks one character past a pre-token (and one past white space), so re-cutting starts at
-the last old border two characters before the edit and ends at the first border behind it that the old cut has
-too. Only pre-tokens in between are encoded; sums change on the path to the root.
+the last old border two characters (or the longest special token, which is a pre-token by itself) before the edit and
+ends at the first border as far behind it that the old cut has too. Only pre-tokens in between are encoded; sums change on the path to the root.
 
 Defined results: a null or empty text has 0 tokens; edits are applied from the last to the first, so positions are
 those of the old text; a stop before its start, or positions outside the text, are moved to the nearest valid
@@ -117,9 +117,10 @@ def apply_edit(tree: CountTree, text: str, edit: Edit, tok: pieces.ByteTokenizer
     start, stop, put = edit
     new = text[:start] + put + text[stop:]
     shift = len(new) - len(text)
+    margin = max(2, tok.longest_special)
     reach = WINDOW
-    while True:  # a border two characters before the edit: the beginning of the text at the latest
-        before = tree.borders(max(start - reach, 0), max(start - 2, 0))
+    while True:  # a border before the edit: the beginning of the text at the latest
+        before = tree.borders(max(start - reach, 0), start - margin)
         if len(before) or reach > start:
             left = int(before[-1]) if len(before) else 0
             break
@@ -129,18 +130,18 @@ def apply_edit(tree: CountTree, text: str, edit: Edit, tok: pieces.ByteTokenizer
         end = min(stop + shift + reach, len(new))
         part = new[left:end]
         codes, at = flat.code_points([part])
-        cut = np.append(pieces.starts_of(codes, at), len(part)) + left
+        cut = np.append(tok.starts([part], codes, at), len(part)) + left
         if end == len(new):
             right = len(new)
         else:
-            sure = cut[(cut >= stop + shift) & (cut + 2 <= end)]
+            sure = cut[(cut >= stop + shift) & (cut + margin <= end)]
             common = np.intersect1d(sure - shift, tree.borders(stop, end - shift))
             right = int(common[0]) + shift if len(common) else -1
         if right >= 0:
             break
         reach *= 2
     cut = cut[cut <= right] - left
-    slots = tok.slots_of(codes, cut[:-1], cut[1:], part)
+    slots = tok.cache.find(codes, cut[:-1], cut[1:], part)
     tree.splice(left, right - shift, np.diff(cut), tok.cache.lengths[slots])
     return new, len(cut) - 1
 
@@ -194,7 +195,7 @@ def recounted(docs: DataFrame, tokenizer_path: str, edits_of: Callable[[str], li
                 counts = np.array(rows, np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(counts[:, k]) for k in range(5)]], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(flat.trimmed(work), schema)
 
 
 def with_trees(docs: DataFrame, tokenizer_path: str, text_col: str = "text", tree_col: str = "tree") -> DataFrame:
@@ -212,4 +213,4 @@ def with_trees(docs: DataFrame, tokenizer_path: str, text_col: str = "text", tre
                 trees = pa.array([t.dump() for t in build(texts[a:b], tok)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), trees], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(flat.trimmed(work), schema)

@@ -50,6 +50,12 @@ def test_family_of_near_copies_in_blocks(spark, monkeypatch):
     check(spark, docs, 3)
 
 
+def test_texts_of_equal_polynomials_are_not_linked(spark):
+    x = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    y = x.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, x), (2, y), (3, f"one two three four {x}"), (4, f"one two three four {y}"), (5, y.upper())], 5)
+
+
 def test_awkward(spark):
     docs = awkward_documents(spark)
     rows = minhash.near_duplicates(docs, 5).collect()

@@ -7,7 +7,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandweave.llm import piece_bpe, pieces, token_blocks, token_counts
+from strandweave.llm import flat, piece_bpe, pieces, token_blocks, token_counts
 from strandweave.session import ensure_checkpoint_dir
 from tests.llm.cases import LONG, awkward_documents, empty_documents
 
@@ -34,6 +34,42 @@ def test_piece_cache_starts_anew(monkeypatch):
         assert tok.encode([text])[0].tolist() == tok.library.encode(text).ids
 
 
+def thue_morse(bits: int) -> tuple[str, str]:
+    """Two texts whose polynomial hashes modulo 2**64 are equal for every base."""
+    x = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << bits))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_thue_morse_texts_have_their_own_ids():
+    x, y = thue_morse(10)
+    for enc, want in ((pieces.tokenizer(BYTES), lambda t: pieces.tokenizer(BYTES).library.encode(t).ids),
+                      (piece_bpe.encoder(PIECES), lambda t: piece_bpe.encoder(PIECES).library.encode(t, add_bos=True, add_eos=True))):
+        ids, at = enc.encode([x, y])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [want(x), want(y)]
+    assert [t.tokens for t in token_counts.build([x, y], pieces.tokenizer(BYTES))] == [len(pieces.tokenizer(BYTES).library.encode(t).ids) for t in (x, y)]
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    real, tok = flat.mixed_hashes, pieces.tokenizer(BYTES)
+    monkeypatch.setattr(flat, "mixed_hashes", lambda values, starts, ends: real(values, starts, ends) & np.uint64(3))
+    tok.cache._clear()
+    r = random.Random(8)
+    for _ in range(20):
+        texts = [" ".join(r.choices(["one", "two", "three", "anna", "hanna", "x" * 40, "y" * 40, "é"], k=9)) for _ in range(3)]
+        ids, at = tok.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tok.library.encode(t).ids for t in texts]
+    tok.cache._clear()
+
+
+def test_cache_is_bounded_by_what_it_holds():
+    enc, r = piece_bpe.encoder(PIECES), random.Random(9)
+    for _ in range(30):
+        texts = ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(2000)) for _ in range(40)]
+        ids, at = enc.encode(texts)
+        assert enc.cache.held <= pieces.CACHED + 500_000
+    assert ids[at[-2]:].tolist() == enc.library.encode(texts[-1], add_bos=True, add_eos=True)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), min_size=1, max_size=300))
 def test_blocks_round_trip(values):
@@ -107,10 +143,26 @@ def test_edits_equal_counting_anew(text, edits):
     for edit in token_counts.valid_edits(edits, len(text)):
         text, _ = token_counts.apply_edit(tree, text, edit, tok)
         fresh = token_counts.build([text], tok)[0]
-        assert tree.dump() == fresh.dump() and tree.tokens == fresh.tokens
+        assert tree.dump() == fresh.dump() and tree.tokens == fresh.tokens == len(tok.library.encode(text, add_special_tokens=False).ids)
     assert token_counts.CountTree.load(tree.dump()).tokens == tree.tokens
 
 
+def test_special_tokens_made_and_broken_by_edits():
+    tok, text = pieces.tokenizer(BYTES), "hello <|endoftext|> world <|endof and text|> the end " * 3
+    assert token_counts.build(["hello <|endoftext|> world"], tok)[0].tokens == 4
+    r = random.Random(10)
+    for _ in range(300):
+        tree, now = token_counts.build([text], tok)[0], text
+        for _ in range(6):
+            start = r.randrange(len(now) + 1)
+            edit = (start, min(len(now), start + r.choice([0, 1, 5, 9])), r.choice(["", "<|endof", "text|>", "<|endoftext|>", "x", " and "]))
+            if "<|endof and text|>" in now and r.random() < 0.3:
+                start = now.index(" and text|>")
+                edit = (start, start + 5, "")
+            now, _ = token_counts.apply_edit(tree, now, edit, tok)
+            assert tree.tokens == len(tok.library.encode(now, add_special_tokens=False).ids)
+
+
 def test_an_edit_encodes_its_surroundings_only():
     tok = pieces.tokenizer(BYTES)
     tree = token_counts.build([LONG], tok)[0]
