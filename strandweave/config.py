@@ -29,6 +29,7 @@ class Settings:
     assign_iterations: int = 1
     assign_percentile: float = 90.0
     remove_branches: bool = True
+    link_depth: int = 2  # branches followed at a fork when branches are kept
     filling: Filling = field(default_factory=Filling)
     subtomo_path: str = "subtomograms"
     ctf_file: str = "miss30Wedge.mrc"

@@ -1,11 +1,15 @@
 """Chains of directed pairs: branch pruning, tracking, chain ends.
 
 Every pair of a class is an edge between two particles. An edge is followed by the first edge (in row
-order) that starts where it ends, so the edges of a class form paths, paths that merge, and cycles.
+order) that starts where it ends, so the edges of a class form paths, paths that merge, and cycles. With a
+greater branch depth the second, third .. edge is followed in further rounds. Where nothing forks these rounds
+only renumber, and everything is pointer doubling; a connected part with a fork is tracked as a whole in one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from strandweave.operators.distance import distance_to_centre
 from strandweave.operators.pointers import components, cycle_members, cycle_positions, follow
 from strandweave.operators.ranking import ranked
 from strandweave.schema import ANGLE, END_COLUMNS, VECT
-from strandweave.session import cut_lineage
+from strandweave.session import cut_lineage, ship_code
 
 
 # --- pruning -----------------------------------------------------------------------------------------
@@ -147,23 +151,129 @@ def _merging_chains(links: DataFrame) -> tuple[DataFrame, bool]:
         "node", F.coalesce("key", "last").alias("key"), (lead + round_trip + 1).alias("step"), F.lit(1).alias("flag"))), True
 
 
-def track(pairs: DataFrame) -> DataFrame:
+class _Part:
+    """Chains of one connected part, walked round by round; rows are numbered from 0 in row order."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.n = len(first)
+        order = np.argsort(first, kind="stable")
+        sources, begin, count = np.unique(first[order], return_index=True, return_counts=True)
+        at = np.minimum(np.searchsorted(sources, second), len(sources) - 1)
+        self.follows = sources[at] == second
+        self.order, self.begin, self.count = order, begin[at], count[at]
+        self.path = list(range(self.n))  # chain of each row; every row starts as one that no walk has reached
+        self.members: dict[int, list[int]] = {}
+        self.place: dict[int, tuple[int, int]] = {}  # round and row that put a chain at its place among the others
+        self.step, self.flag = [0] * self.n, [1] * self.n
+
+    def walk_round(self, number: int) -> None:
+        following = np.where(self.follows, self.order[self.begin + np.minimum(number, self.count - 1)], -1).tolist()
+        seen, ring = [False] * self.n, [0] * self.n
+        for start in range(self.n):
+            if seen[start] and not ring[start]:
+                continue  # inside an earlier walk of this round
+            if ring[start] and len(self.members[self.path[start]]) > ring[start]:
+                continue
+            walk, position, at = [], {}, start
+            while at >= 0 and at not in position:
+                position[at] = len(walk)
+                walk.append(at)
+                at = following[at]
+            if at >= 0 and not ring[at]:
+                for row in walk[position[at]:]:
+                    ring[row] = len(walk) - position[at]
+            for row in walk:
+                seen[row] = True
+            self._merge(walk, position, (number, start))
+
+    def _merge(self, walk: list[int], position: dict[int, int], now: tuple[int, int]) -> None:
+        touched = {self.path[row] for row in walk if self.path[row] in self.members}
+        sizes = {p: len(self.members[p]) for p in touched}
+        if len(touched) == 1 and sum(sizes.values()) > len(walk) and all(self.path[row] in touched for row in walk):
+            return  # part of a chain
+        outside = [row for p in touched for row in self.members[p] if row not in position]
+        place = min(self.place[p] for p in touched) if outside else now
+        for p in touched:
+            del self.members[p], self.place[p]
+        name = walk[0] + self.n * (1 + now[0])
+        self.members[name], self.place[name] = walk + outside, place
+        for row in walk:
+            self.path[row], self.step[row], self.flag[row] = name, position[row] + 1, 1
+        for row in outside:
+            self.path[row], self.flag[row] = name, 2
+
+
+def _tracked_part(depth: int):
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_no")
+        part = _Part(table.column("pairIDX1").to_numpy(), table.column("pairIDX2").to_numpy())
+        for number in range(depth):
+            part.walk_round(number)
+        rows = table.column("row_no").to_numpy()
+        places = np.array([part.place[p] for p in part.path]).reshape(-1, 2)
+        return pa.table({"row_no": rows, "round": places[:, 0], "key": rows[places[:, 1]],
+                         "step": np.array(part.step, np.int64), "flag": np.array(part.flag, np.int32)})
+
+    return work
+
+
+def _forked(edges: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(forked, plain, branched)``: chains of the connected parts with a fork, the edges of all other parts, and the
+    groups in which anything forks or merges."""
+    groups = ["pairClass", "pairTomoID"]
+    out = edges.groupBy(*groups, "pairIDX1").agg(F.count("*").alias("n"))
+    into = edges.groupBy(*groups, "pairIDX2").agg(F.count("*").alias("n"))
+    forks = cut_lineage(out.where("n > 1").select(*groups, "pairIDX1"))
+    branched = cut_lineage(forks.select(*groups).union(into.where("n > 1").select(*groups)).distinct())
+    inside = edges.join(forks.select(*groups).distinct(), groups, "left_semi")
+
+    def node(c: str):
+        return F.struct(F.col("pairClass").alias("k"), F.col("pairTomoID").alias("t"), F.col(c).alias("i"))
+
+    parts = components(inside.select(node("pairIDX1").alias("a"), node("pairIDX2").alias("b")))
+    parts = cut_lineage(parts.select(F.col("node.k").alias("pairClass"), F.col("node.t").alias("pairTomoID"), F.col("node.i").alias("pairIDX1"), F.col("component.i").alias("_part")))
+    hit = parts.join(forks, [*groups, "pairIDX1"], "left_semi").select(*groups, "_part").distinct()
+    placed = inside.join(parts, [*groups, "pairIDX1"]).join(hit, [*groups, "_part"], "left_semi")
+    ship_code(edges.sparkSession)
+    found = placed.select(*groups, "_part", "row_no", "pairIDX1", "pairIDX2").groupBy(*groups, "_part").applyInArrow(
+        _tracked_part(depth), "row_no long, round long, key long, step long, flag int")
+    found = cut_lineage(found)
+    return found, cut_lineage(edges.join(found, "row_no", "left_anti")), branched
+
+
+def track(pairs: DataFrame, depth: int = 1) -> DataFrame:
     """Chain id, position and side-branch flag per edge: ``(row_no, pairClass, chain, step, flag, closing)``.
 
+    In round b of ``depth`` a walk starts at every edge in row order and takes the b-th edge at a fork (the last one if
+    there are fewer). A walk that meets several chains, or leaves one, joins them: its own edges are the main line,
+    what it does not pass becomes a side branch (flag 2) and keeps its steps, and the result stands where the first of
+    the joined chains stood. A walk that passes every edge of the chains it meets replaces them and stands last.
+    In a volume and class without forks and merges there is one round.
+
     Chain ids run on across the volumes of a class. ``closing`` is 1 or 2 on the last edge of a chain that
-    returns to the start or the end of its first edge.
+    returns to the start or the end of its first edge. Memory: a connected part with a fork must fit one task when
+    ``depth`` is above 1 (three numbers per edge); all else is distributed.
     """
     edges = cut_lineage(pairs.where("pairClass <> 0").select(
         "pairClass", "pairTomoID", "row_no", "pairIDX1", "pairIDX2"))
-    succ = cut_lineage(_successors(edges).select(F.col("row_no").alias("node"), F.col("succ").alias("parent")))
+    forked, plain, branched = _forked(edges, depth) if depth > 1 else (None, edges, None)
+    succ = cut_lineage(_successors(plain).select(F.col("row_no").alias("node"), F.col("succ").alias("parent")))
     merging = not succ.where("parent is not null").groupBy("parent").count().where("count > 1").isEmpty()
     chains, looped = _merging_chains(succ) if merging else _plain_chains(succ)
-    chains = cut_lineage(chains)
-    placed = cut_lineage(edges.join(chains.withColumnRenamed("node", "row_no"), "row_no"))
-    heads = placed.select("pairClass", "pairTomoID", "key").distinct()
-    named = ranked(heads, ["pairClass"], ["pairTomoID", "key"], "chain").select("pairClass", "key", "chain")
-    out = placed.join(named, ["pairClass", "key"])
-    if not looped:
+    chains = cut_lineage(chains).withColumnRenamed("node", "row_no")
+    placed = plain.join(chains, "row_no").withColumn("round", F.lit(0).cast("long"))
+    if forked is not None:  # a walk through the whole of a chain puts it last again in every round
+        placed = cut_lineage(placed)
+        whole = placed.groupBy("pairClass", "pairTomoID", "key").agg(F.max("flag").alias("_f")).where("_f = 1").drop("_f")
+        whole = whole.join(branched, ["pairClass", "pairTomoID"], "left_semi").withColumn("_last", F.lit(depth - 1))
+        placed = placed.join(whole, ["pairClass", "pairTomoID", "key"], "left").withColumn("round", F.coalesce("_last", "round")).drop("_last")
+        columns = ["row_no", "pairClass", "pairTomoID", "pairIDX1", "pairIDX2", "round", "key", "step", "flag"]
+        placed = placed.select(*columns).unionByName(edges.join(forked, "row_no").select(*columns))
+    placed = cut_lineage(placed)
+    heads = placed.select("pairClass", "pairTomoID", "round", "key").distinct()
+    named = ranked(heads, ["pairClass"], ["pairTomoID", "round", "key"], "chain").select("pairClass", "pairTomoID", "round", "key", "chain")
+    out = placed.join(named, ["pairClass", "pairTomoID", "round", "key"])
+    if not (looped or merging) and forked is None:
         return out.select("row_no", "pairClass", "chain", "step", "flag", F.lit(0).alias("closing"))
     at = F.struct("step", "row_no", "pairIDX1", "pairIDX2")
     ends = out.groupBy("pairClass", "chain").agg(F.min(at).alias("_a"), F.max(at).alias("_z"), F.count("*").alias("_n"))
@@ -175,9 +285,9 @@ def track(pairs: DataFrame) -> DataFrame:
                       F.when(F.col("row_no") == F.col("_zrow"), F.col("_c")).otherwise(0).alias("closing"))
 
 
-def track_chains(pairs: DataFrame) -> DataFrame:
+def track_chains(pairs: DataFrame, depth: int = 1) -> DataFrame:
     """Writes chain labels and positions into the pair table; class 0 keeps its values."""
-    found = track(pairs).drop("pairClass")
+    found = track(pairs, depth).drop("pairClass")
     label = F.col("chain") + (F.col("flag") - 1) / 10
     hit = F.col("chain").isNotNull()
     second = F.when(F.col("closing") > 0, F.col("closing")).otherwise(F.col("step") + 1)

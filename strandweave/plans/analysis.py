@@ -108,8 +108,9 @@ class Analysis:
         return self.statistics
 
     def track(self, remove_branches: bool | None = None) -> DataFrame:
-        """Tracks chains; with branch removal every particle keeps its best edge in and out first."""
-        if self.settings.remove_branches if remove_branches is None else remove_branches:
+        """Tracks chains; with branch removal every particle keeps its best edge in and out first, else ``link_depth`` branches are followed."""
+        clean = self.settings.remove_branches if remove_branches is None else remove_branches
+        if clean:
             if self.statistics is not None:
                 centres = fill.fill_statistics(self.statistics).select("pairClass", *fill.CENTRE)
             else:
@@ -117,7 +118,7 @@ class Analysis:
             kept, removed = tracking.prune_branches(self.pairs, centres, self.settings.radius, self.settings.metric)
             self.removed = cut_lineage(removed.select("pairIDX1", "pairIDX2", "pairClass"))
             self.pairs = cut_lineage(kept)
-        self.pairs = cut_lineage(tracking.track_chains(self.pairs))
+        self.pairs = cut_lineage(tracking.track_chains(self.pairs, 1 if clean else self.settings.link_depth))
         return self.pairs
 
     def link(self) -> DataFrame:

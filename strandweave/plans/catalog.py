@@ -438,6 +438,52 @@ def tracked_merging_chains(spark, sf):
     return t.select("pairClass", "pairIDX1", "pairIDX2", "pairLabel", "pairPosInPoly1")
 
 
+# all walks of both rounds, then one merge per walk over the chains of a group so far
+_DEEP = (f"WITH RECURSIVE {O.PAIRS}, e AS MATERIALIZED (SELECT pc, tomo_id, rn, id1, id2, cls1, cls2, row_number() OVER (PARTITION BY pc, id1 ORDER BY rn) AS nth, "
+         "count(*) OVER (PARTITION BY pc, id1) AS fan FROM pr WHERE pc <> 0), "
+         "grp AS (SELECT pc, tomo_id, count(*) > least(count(DISTINCT id1), count(DISTINCT id2)) AS branched FROM e GROUP BY 1, 2), "
+         "nx AS MATERIALIZED (SELECT b, e.rn, f.rn AS nx FROM e CROSS JOIN (VALUES (0), (1)) t(b) LEFT JOIN e f ON f.pc = e.pc AND f.id1 = e.id2 AND f.nth = least(b + 1, f.fan)), "
+         "wk AS (SELECT b, rn AS st, rn AS cur, nx, 1 AS step FROM nx UNION ALL SELECT wk.b, st, nx.rn, nx.nx, step + 1 FROM wk JOIN nx ON nx.rn = wk.nx AND nx.b = wk.b), "
+         "walk AS (SELECT b, st, list(cur ORDER BY step) AS nl FROM wk GROUP BY b, st), "
+         "ev AS MATERIALIZED (SELECT pc, tomo_id, b, st, nl, row_number() OVER (PARTITION BY pc, tomo_id ORDER BY b, st) AS j FROM walk JOIN e ON e.rn = st JOIN grp USING (pc, tomo_id) WHERE b = 0 OR branched), "
+         "st AS (SELECT pc, tomo_id, 0::BIGINT AS j, [{'place': 0::BIGINT, 'rows': [{'rn': 0::BIGINT, 'step': 0::BIGINT, 'flag': 0}]}][1:0] AS paths FROM grp "
+         "UNION ALL SELECT pc, tomo_id, j, CASE WHEN len(hit) = 1 AND len(hit[1].rows) > len(nl) AND list_has_all(list_transform(hit[1].rows, lambda x: x.rn), nl) THEN paths ELSE "
+         "list_filter(paths, lambda p: NOT list_has_any(list_transform(p.rows, lambda x: x.rn), nl)) || [{'place': CASE WHEN len(rest) = 0 THEN j ELSE list_min(list_transform(hit, lambda p: p.place)) END, "
+         "'rows': list_transform(nl, lambda r, i: {'rn': r, 'step': i::BIGINT, 'flag': 1}) || list_transform(rest, lambda x: {'rn': x.rn, 'step': x.step, 'flag': 2})}] END FROM ("
+         "SELECT *, list_filter(flatten(list_transform(hit, lambda p: p.rows)), lambda x: NOT list_contains(nl, x.rn)) AS rest FROM ("
+         "SELECT st.pc, st.tomo_id, ev.j, paths, nl, list_filter(paths, lambda p: list_has_any(list_transform(p.rows, lambda x: x.rn), nl)) AS hit "
+         "FROM st JOIN ev ON ev.pc = st.pc AND ev.tomo_id = st.tomo_id AND ev.j = st.j + 1))), "
+         "fin AS (SELECT pc, tomo_id, unnest(arg_max(paths, j)) AS p FROM st GROUP BY pc, tomo_id), "
+         "rows AS MATERIALIZED (SELECT e.*, chain, x.step, x.flag FROM (SELECT pc, dense_rank() OVER (PARTITION BY pc ORDER BY tomo_id, p.place) AS chain, unnest(p.rows) AS x FROM fin) f JOIN e ON e.rn = x.rn), "
+         "ring AS (SELECT pc, chain, arg_max(rn, (step, rn)) AS rn, CASE WHEN arg_max(id2, (step, rn)) = arg_min(id2, (step, rn)) THEN 2 WHEN arg_max(id2, (step, rn)) = arg_min(id1, (step, rn)) THEN 1 END AS back "
+         "FROM rows GROUP BY 1, 2 HAVING count(*) > 1), "
+         "deep AS MATERIALIZED (SELECT rows.*, coalesce(back, step + 1) AS nxt FROM rows LEFT JOIN ring USING (pc, chain, rn)) ")
+
+
+@query("tracked_depth_two", _DEEP + "SELECT pc::INT AS pairClass, id1 AS pairIDX1, id2 AS pairIDX2, chain + (flag - 1) / 10.0::DOUBLE AS pairLabel, "
+       "step AS pairPosInPoly1, nxt AS pairPosInPoly2 FROM deep")
+def tracked_depth_two(spark, sf):
+    t = tracking.track_chains(classed_pairs(spark, sf), 2).where("pairClass <> 0")
+    return t.select("pairClass", "pairIDX1", "pairIDX2", "pairLabel", "pairPosInPoly1", "pairPosInPoly2")
+
+
+@query("class_chains_depth_two", _DEEP + ", cs AS (SELECT pc, chain, count(*) AS n, max(flag) - 1 AS branched, coalesce(min(tomo_id) FILTER (flag = 1), min(tomo_id)) AS t FROM deep GROUP BY 1, 2) "
+       "SELECT pc::INT AS pairClass, count(*) FILTER (n > 5) AS \"numPolybg5\", count(*) FILTER (n > 3) AS \"numPolybg3\", sum(branched)::BIGINT AS \"numBranch\", max(n) AS \"numPolyMax\", "
+       "arg_min(chain, (-n, chain)) AS \"polyIDMax\", arg_min(t, (-n, chain))::BIGINT AS \"tomoNrPolyMax\" FROM cs GROUP BY 1")
+def class_chains_depth_two(spark, sf):
+    return summary.class_chain_statistics(tracking.track_chains(classed_pairs(spark, sf), 2).where("pairClass <> 0"))
+
+
+@query("chains_depth_two", _DEEP + ", pt AS (SELECT pc, chain, flag, step AS pos, rn, 1 AS side, id1 AS id, cls1 AS cls, tomo_id FROM deep UNION ALL SELECT pc, chain, flag, nxt, rn, 2, id2, cls2, tomo_id FROM deep), "
+       "pl AS (SELECT *, row_number() OVER (PARTITION BY pc, chain, flag, pos ORDER BY rn, side) AS o FROM pt), "
+       "li AS (SELECT pc, chain, flag, count(*) // 2 AS edges, count(DISTINCT pos) AS positions, any_value(tomo_id) AS t, string_agg(id::VARCHAR, '-' ORDER BY pos) FILTER (o = 1) AS ids, "
+       "string_agg(cls::VARCHAR, '-' ORDER BY pos) FILTER (o = 1) AS classes FROM pl GROUP BY 1, 2, 3) "
+       "SELECT pc::INT AS \"classNr\", chain AS \"polyID\", arg_min(least(edges, positions), (-edges, flag)) AS num, any_value(t)::INT AS \"tomoNr\", max(flag) - 1 AS \"hasBranch\", "
+       "arg_min(classes, (-edges, flag)) AS \"confClassVect\", arg_min(ids, (-edges, flag)) AS \"posInListVect\" FROM li GROUP BY 1, 2")
+def chains_depth_two(spark, sf):
+    return summary.chain_statistics(tracking.track_chains(classed_pairs(spark, sf), 2))
+
+
 _END_BLOCK = ("e AS MATERIALIZED (SELECT pc, tomo_id, tomo_name, rn, id1, id2 FROM pr WHERE pc <> 0), "
          "u AS MATERIALIZED (SELECT pc, id1 AS a, id2 AS b FROM e UNION SELECT pc, id2, id1 FROM e), "
          "reach AS (SELECT pc, a, a AS b FROM u UNION SELECT reach.pc, reach.a, u.b FROM reach JOIN u ON u.pc = reach.pc AND u.a = reach.b), "

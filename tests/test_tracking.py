@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ def _expected(groups, depth=1):
     return out
 
 
-def _run(df):
-    rows = tracking.track(df).collect()
+def _run(df, depth=1):
+    rows = tracking.track(df, depth).collect()
     return {r.row_no: (r.chain, r.step, r.flag, r.closing or r.step + 1) for r in rows}
 
 
@@ -66,6 +67,42 @@ def test_forks_merges_and_loops(spark, seed, loops):
     assert _run(_table(spark, groups)) == _expected(groups)
 
 
+@pytest.mark.parametrize("seed,loops,depth", [(11, False, 2), (12, True, 2), (13, True, 3)])
+def test_further_branches(spark, seed, loops, depth):
+    groups = _random_groups(random.Random(seed), loops)
+    groups += [(1, 50, [(5001, 5002), (5003, 5004), (5002, 5003)]), (2, 51, [(5101, 5103), (5103, 5104), (5102, 5103), (5110, 5111)])]
+    assert _run(_table(spark, groups), depth) == _expected_by_depth(groups, depth)
+
+
+def _expected_by_depth(groups, depth):
+    out, offset, no = {}, {}, 0
+    for c, t, edges in sorted(groups, key=lambda g: g[1]):
+        branched = len({a for a, _ in edges}) < len(edges) or len({b for _, b in edges}) < len(edges)
+        found = models.chains(edges, depth if branched else 1, offset.get(c, 0))
+        second = models.positions(edges, found)
+        for r in range(len(edges)):
+            out[no] = (*found[r], second[r])
+            no += 3
+        offset[c] = max(v[0] for v in found.values())
+    return out
+
+
+def test_parts_walked_in_one_piece():
+    """The walker of forked parts against the model, on parts of all shapes."""
+    rng = random.Random(14)
+    for _ in range(1500):
+        n = rng.randint(2, 8)
+        edges = list({tuple(rng.sample(range(n), 2)) for _ in range(rng.randint(1, 12))})
+        rng.shuffle(edges)
+        depth = rng.randint(1, 3)
+        part = tracking._Part(*(np.array(x) for x in zip(*edges)))
+        for k in range(depth):
+            part.walk_round(k)
+        order = sorted(set(part.path), key=lambda p: part.place[p])
+        got = {r: (order.index(part.path[r]) + 1, part.step[r], part.flag[r]) for r in range(len(edges))}
+        assert got == models.chains(edges, depth)
+
+
 def test_long_chain_in_scrambled_row_order(spark):
     n = 300
     edges = [(i, i + 1) for i in range(n)]
