@@ -988,17 +988,50 @@ def pair_star_round_trip(spark, sf):
     return back.select("pairIDX1", "pairIDX2", "pairTomoID", *[r4(F.col(c), c) for c in ("pairTransVectX", "pairTransAngleZXZPhi", "pairLenTrans")])
 
 
+def _images(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a 4 x 4 x 4 image, a row per plane."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda z: F.slice("embedding", z * 16 + 1, 16))).alias("z", "plane"))
+    return e.select("name", *[F.lit(4).alias(n) for n in ("nx", "ny", "nz")], "z", F.col("plane").cast("array<double>").alias("plane"))
+
+
+def _image_name(kind: str):
+    return F.regexp_extract("path", rf"([^/]+)\.{kind}$", 1).alias("name")
+
+
 @query("volume_round_trip", "SELECT 'v' || vec_id AS name, (u.k - 1) % 4 AS i0, ((u.k - 1) // 4) % 4 AS i1, (u.k - 1) // 16 AS i2, "
        "round(embedding[u.k]::DOUBLE, 6) + 0.0 AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS k) u")
 def volume_round_trip(spark, sf):
-    """Every vector as a 4 x 4 x 4 image, written as MRC files and read back."""
-    e = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("name"), F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(3)), lambda z: F.slice("embedding", z * 16 + 1, 16))).alias("z", "plane"))
-    planes = e.select("name", *[F.lit(4).alias(n) for n in ("nx", "ny", "nz")], "z", F.col("plane").cast("array<double>").alias("plane"))
-    folder = _scratch(spark).removeprefix("file:")
-    written = volume.write_volumes(planes, folder, "mrc")
-    paths = written.agg(F.count("*")).first()[0]
-    assert paths > 0
+    """Every vector as an image, written as MRC files and read back."""
+    folder = _scratch(spark)
+    volume.write_volumes(_images(spark, sf), folder, "mrc")
     back = volume.voxels(volume.read_planes(spark, folder))
-    name = F.regexp_extract("path", r"([^/]+)\.mrc$", 1).alias("name")
-    return back.select(name, F.col("i0").cast("long"), F.col("i1").cast("long"), F.col("i2").cast("long"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
+    return back.select(_image_name("mrc"), F.col("i0").cast("long"), F.col("i1").cast("long"), F.col("i2").cast("long"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+@query("volume_cells_round_trip", "SELECT 'v' || vec_id AS name, z::INT AS z, k::INT AS k, round_even(embedding[16 * z + k] * 1000, 0)::BIGINT AS whole, "
+       "round(embedding[16 * z + k]::DOUBLE, 6) + 0.0 AS real_part, round(-2 * embedding[16 * z + k]::DOUBLE, 6) + 0.0 AS imaginary_part "
+       "FROM embeddings, (SELECT unnest(range(0, 4)) AS z), (SELECT unnest(range(1, 17)) AS k)")
+def volume_cells_round_trip(spark, sf):
+    """Every image as 16-bit integers (MRC) and as complex numbers (EM), written and read back."""
+    planes = _images(spark, sf)
+    whole, waves = _scratch(spark), _scratch(spark)
+    volume.write_volumes(planes.withColumn("plane", F.transform("plane", lambda v: v.cast("float") * 1000)), whole, "mrc", "i2")
+    volume.write_volumes(planes.withColumn("imaginary", F.transform("plane", lambda v: -2 * v)), waves, "em", "c8")
+    a = volume.read_planes(spark, whole).select(_image_name("mrc"), "z", F.posexplode("plane").alias("k", "whole"))
+    b = volume.read_planes(spark, waves).select(_image_name("em"), "z", F.posexplode(F.arrays_zip("plane", "imaginary")).alias("k", "c"))
+    six = lambda c: F.round(c, 6) + F.lit(0.0)
+    return a.join(b, ["name", "z", "k"]).select("name", "z", (F.col("k") + 1).alias("k"), F.col("whole").cast("bigint").alias("whole"),
+                                                six("c.plane").alias("real_part"), six("c.imaginary").alias("imaginary_part"))
+
+
+@query("volume_header_edits", "SELECT 'v' || vec_id AS name, 4 AS nx, CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE (vec_id % 3) / 4.0 END::DOUBLE AS pixel_x, "
+       "CASE WHEN vec_id % 2 = 0 THEN -(vec_id % 60) / 2.0 ELSE 0 END::DOUBLE AS tilt FROM embeddings")
+def volume_header_edits(spark, sf):
+    """Pixel sizes and tilt angles put into the headers of written EM files."""
+    folder = _scratch(spark)
+    number = F.regexp_extract("name", r"v(\d+)", 1).cast("long")
+    written = volume.write_volumes(_images(spark, sf), folder, "em")
+    edits = written.select("path", F.when(number % 3 != 0, number % 3 / 4).alias("pixel_nm"), F.when(number % 2 == 0, -(number % 60) / 2).alias("tilt"))
+    cut_lineage(volume.edit_headers(edits))
+    return volume.read_headers(spark, folder).select(_image_name("em"), "nx", "pixel_x", "tilt")
