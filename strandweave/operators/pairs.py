@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import rotation as R
-from strandweave.operators.ranges import CELL, gap, with_cell, with_touched_cells
+from strandweave.operators.ranges import CELL, block_join, with_cell, with_touched_cells
 from strandweave.schema import (
     ANGLE, COORD1, COORD2, EULER1, EULER2, INV_ANGLE, INV_VECT, NO_COLOUR, NO_NEIGHBOUR, PAIR_COLUMNS, UNSET, VECT,
 )
@@ -21,19 +21,29 @@ def with_rotation(particles: DataFrame, prefix: str = "q") -> DataFrame:
     return particles.select("*", *q.columns(prefix))
 
 
-def _side(df: DataFrame, suffix: str, shared: tuple[str, ...]) -> DataFrame:
-    return df.select([F.col(c) if c in shared else F.col(c).alias(c + suffix) for c in df.columns])
-
-
 def range_pairs(particles: DataFrame, radius: float, group: str = "tomo_id", cell_factor: float = 2.0) -> DataFrame:
-    """All pairs ``id1 < id2`` of one group at most ``radius`` apart, every column suffixed 1 or 2."""
+    """All pairs ``id1 < id2`` of one group at most ``radius`` apart, every column suffixed 1 or 2.
+
+    A particle is copied only to its own cell and those behind it in the order of cells, so two particles of different
+    cells meet once; the one with the smaller id becomes the first.
+    """
     side = radius * cell_factor
-    shared = (group, *CELL)
-    left = _side(with_touched_cells(particles, XYZ, radius, side), "1", shared)
-    right = _side(with_cell(particles, XYZ, side), "2", shared)
-    near = gap([c + "1" for c in XYZ], [c + "2" for c in XYZ]) <= F.lit(float(radius))
-    joined = left.join(right, list(shared)).where((F.col("particle_id1") < F.col("particle_id2")) & near)
-    return joined.drop(*CELL)
+    keys = [group, *CELL]
+    own = [f"_o{c}" for c in CELL]
+    fields = [c for c in particles.columns if c != group]
+    home = with_cell(particles, XYZ, side)
+    pose = F.struct(*fields)
+    right = home.select(*keys, pose.alias("_b"))
+    copied = with_touched_cells(home.withColumnsRenamed(dict(zip(CELL, own))), XYZ, radius, side)
+    ahead = F.struct(*CELL) >= F.struct(*own)
+    left = copied.where(ahead).select(*keys, pose.alias("_a"), (F.struct(*CELL) == F.struct(*own)).alias("_same"))
+    gaps = [F.col(f"_a.{c}") - F.col(f"_b.{c}") for c in XYZ]
+    near = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]) <= F.lit(float(radius))
+    once = F.when(F.col("_same"), F.col("_a.particle_id") < F.col("_b.particle_id")).otherwise(F.col("_a.particle_id") != F.col("_b.particle_id"))
+    met = block_join(left, right, keys, "_a.particle_id", "_b.particle_id").where(near & once)
+    turned = F.col("_a.particle_id") > F.col("_b.particle_id")
+    met = met.select(group, F.when(turned, F.col("_b")).otherwise(F.col("_a")).alias("_1"), F.when(turned, F.col("_a")).otherwise(F.col("_b")).alias("_2"))
+    return met.select(group, *[F.col(f"_{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in fields])
 
 
 def add_transforms(pairs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from strandweave.operators import (
 )
 from strandweave.plans import oracle as O
 from strandweave.sources import lists, star, volume
-from strandweave.plans.views import particles_from_embeddings, table
+from strandweave.plans.views import particles_from_embeddings, particles_from_events, table
 from strandweave.schema import ANGLE, EULER1, EULER2, INV_ANGLE, INV_VECT, VECT
 from strandweave.session import cut_lineage, ensure_checkpoint_dir
 
@@ -1035,3 +1035,43 @@ def volume_header_edits(spark, sf):
     edits = written.select("path", F.when(number % 3 != 0, number % 3 / 4).alias("pixel_nm"), F.when(number % 2 == 0, -(number % 60) / 2).alias("tilt"))
     cut_lineage(volume.edit_headers(edits))
     return volume.read_headers(spark, folder).select(_image_name("em"), "nx", "pixel_x", "tilt")
+
+
+# --- the same over a large table with one hot volume ---------------------------------------------------
+
+EVENT_RADIUS = 40.0
+_TUBE = ("ep AS MATERIALIZED (SELECT event_id AS i, (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 40 + 1 END)::INT AS tomo, event_id * 0.5::DOUBLE + (event_id * 7919 % 1009) / 10.0::DOUBLE AS x, "
+         "(event_id * 104729 % 10007) / 50.0::DOUBLE AS y, (event_id * 1299709 % 10009) / 50.0::DOUBLE AS z, (event_id * 31 % 997) / 997.0::DOUBLE AS score FROM events), "
+         f"near AS MATERIALIZED (SELECT a.i AS i1, b.i AS i2, a.tomo, a.score AS s1, b.score AS s2, sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) AS d "
+         f"FROM ep a JOIN ep b ON a.tomo = b.tomo AND b.x BETWEEN a.x - {EVENT_RADIUS} AND a.x + {EVENT_RADIUS} AND a.i < b.i "
+         f"WHERE sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) <= {EVENT_RADIUS})")
+
+
+@query("event_pairs", f"WITH {_TUBE} SELECT i1 AS pairIDX1, i2 AS pairIDX2, tomo AS pairTomoID, {q4('d', 'pairLenTrans')} FROM near")
+def event_pairs(spark, sf):
+    pairs = P.neighbour_transforms(particles_from_events(spark, sf), EVENT_RADIUS)
+    return pairs.select("pairIDX1", "pairIDX2", "pairTomoID", r4(F.col("pairLenTrans"), "pairLenTrans"))
+
+
+@query("event_duplicates", f"WITH {_TUBE} SELECT DISTINCT CASE WHEN s1 <= s2 THEN i1 ELSE i2 END AS particle_id FROM near WHERE d <= 25")
+def event_duplicates(spark, sf):
+    return preprocess.duplicate_losers(particles_from_events(spark, sf), 25.0, "score")
+
+
+@query("event_chains", f"WITH RECURSIVE {_TUBE}, e AS MATERIALIZED (SELECT *, ((i1 + i2) % 3 + 1)::INT AS pc, row_number() OVER (ORDER BY tomo, i1, i2) AS rn FROM near), "
+       "s AS MATERIALIZED (SELECT e.*, (SELECT min(f.rn) FROM e f WHERE f.pc = e.pc AND f.tomo = e.tomo AND f.i1 = e.i2) AS nx FROM e), "
+       "w AS (SELECT rn AS st, rn AS cur, nx, 1 AS step FROM s UNION ALL SELECT w.st, s.rn, s.nx, w.step + 1 FROM w JOIN s ON s.rn = w.nx), "
+       "own AS (SELECT cur AS rn, max(st) FILTER (st IN (SELECT cur FROM w GROUP BY cur HAVING min(st) = cur)) AS own FROM w GROUP BY cur) "
+       "SELECT pc AS pairClass, i1 AS pairIDX1, i2 AS pairIDX2, w.step AS pairPosInPoly1 FROM own JOIN w ON w.st = own.own AND w.cur = own.rn JOIN s ON s.rn = own.rn")
+def event_chains(spark, sf):
+    """Positions along the chains of all neighbours, with side branches kept."""
+    pairs = P.with_row_order(P.neighbour_transforms(particles_from_events(spark, sf), EVENT_RADIUS))
+    t = tracking.track_chains(pairs.withColumn("pairClass", ((F.col("pairIDX1") + F.col("pairIDX2")) % 3 + 1).cast("int")))
+    return t.select("pairClass", "pairIDX1", "pairIDX2", "pairPosInPoly1")
+
+
+@query("event_nearest", "WITH " + _TUBE.split(", near AS")[0] + " SELECT a.i AS particle_id, " + q4("min(sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)))", "nn_distance") +
+       " FROM ep a JOIN ep b ON a.tomo = b.tomo AND a.i <> b.i GROUP BY 1")
+def event_nearest(spark, sf):
+    d = preprocess.nearest_neighbour(particles_from_events(spark, sf))
+    return d.select("particle_id", r4(F.col("nn_distance"), "nn_distance"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import rotation as R
 from strandweave.functions import special
-from strandweave.operators import assign, distance, fill, fit, geometry, linkage, pairs as P, pointers, preprocess, ranking
+from strandweave.operators import assign, distance, fill, fit, geometry, linkage, pairs as P, pointers, preprocess, ranges, ranking
 from tests import models, simulate
 
 
@@ -39,6 +39,27 @@ def test_result_does_not_depend_on_partitioning(spark):
     assert pick(particles.repartition(1)) == pick(particles.repartition(13, "x"))
 
 
+@pytest.mark.parametrize("block", [1, 3, 40])
+def test_crowded_cells_are_joined_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ranges, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    rows = [(k, 0, *map(float, rng.uniform(0, 5 if k % 3 else 400, 3))) for k in range(150)] + [(200 + k, 1, 1.0, 1.0, 1.0) for k in range(9)]
+    df = spark.createDataFrame(rows, "particle_id long, tomo_id int, x double, y double, z double")
+    got = P.range_pairs(df, 30.0).select("particle_id1", "particle_id2", "tomo_id").collect()
+    want = {(a[0], b[0], a[1]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and np.linalg.norm(np.subtract(a[2:], b[2:])) <= 30}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_crowded_keys_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCK", 2)
+    monkeypatch.setattr(ranges, "HOT_KEYS", 4)
+    left = spark.range(300).selectExpr("id AS l", "id % if(id < 60, 1, 25) AS k")
+    right = spark.range(200).selectExpr("id AS r", "id % 30 AS k")
+    got = ranges.block_join(left, right, ["k"], "l", "r").select("l", "r").collect()
+    want = left.join(right, "k").select("l", "r").collect()
+    assert len(got) == len(want) and set(got) == set(want)
+
+
 def test_identical_directions_have_no_distance(spark):
     rows = [(k, 10.0, 20.0, 30.0, 0.0, 0.0, 30.0, -10.0, -20.0, -30.0, 0.0, 0.0, -30.0) for k in range(2)]
     names = [*P.VECT, *P.ANGLE, *P.INV_VECT, *P.INV_ANGLE]
