@@ -147,13 +147,10 @@ class Analysis:
         pairs = self.aligned if self.aligned is not None else self.pairs
         lost = None if self.before_selection is None else compare.missing_pairs(self.before_selection, pairs)
         centres = fill.fill_statistics(self.statistics if self.statistics is not None else self.summarise())
-        d = cut_lineage(compare.error_distances(pairs, centres, s.radius, s.metric, lost))
-        out = None
-        for column in ("vect", "angle", "combined"):
-            part = fit.kde_overlap(d, ["classNr"], "same", column).join(
-                fit.kde_borders(d.where("same"), ["classNr"], column), "classNr").withColumn("distance", F.lit(column))
-            out = part if out is None else out.unionByName(part)
-        return out
+        bins = cut_lineage(compare.error_bins(pairs, centres, s.radius, s.metric, lost))
+        keys = ["classNr", "measure"]
+        overlap = fit.overlap_of_bins(bins, keys, "same")
+        return overlap.join(fit.borders_of_bins(bins.where("same"), keys), keys).withColumnRenamed("measure", "distance")
 
     def chains(self) -> DataFrame:
         return summary.chain_statistics(self.pairs)

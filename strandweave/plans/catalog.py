@@ -847,17 +847,39 @@ _ERR = O.to_centre()
 def error_distances(spark, sf):
     pairs = classed_pairs(spark, sf)
     centres = summary.class_centres(pairs.where("pairClass > 0"))
-    e = compare.error_distances(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0"))
-    return e.groupBy("classNr", "same").agg(F.count("*").alias("n"), *[r4(F.avg(c), c) for c in ("vect", "angle", "combined")])
+    m = compare.error_moments(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0"))
+    wide = m.groupBy("classNr", "same").pivot("measure", compare.MEASURES).agg(F.max("mean").alias("mean"), F.max("n").alias("n"))
+    return wide.select(F.col("classNr").cast("int").alias("classNr"), "same", F.col("vect_n").alias("n"), *[r4(F.col(f"{c}_mean"), c) for c in compare.MEASURES])
 
 
-@query("error_overlap")
-def error_overlap(spark, sf):
+def _error_bins(spark, sf):
     pairs = classed_pairs(spark, sf)
     centres = summary.class_centres(pairs.where("pairClass > 0"))
-    e = cut_lineage(compare.error_distances(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0")))
-    border = fit.kde_borders(e.where("same"), ["classNr"], "combined")
-    return fit.kde_overlap(e, ["classNr"], "same", "combined").join(border, "classNr")
+    bins = compare.error_bins(pairs.where("pairClass > 0"), centres, RADIUS, lost=pairs.where("pairClass = 0"))
+    return cut_lineage(bins.where("measure = 'combined'").drop("measure").withColumn("classNr", F.col("classNr").cast("int")))
+
+
+@query("error_overlap")
+def error_overlap(spark, sf):
+    bins = _error_bins(spark, sf)
+    return fit.overlap_of_bins(bins, ["classNr"], "same").join(fit.borders_of_bins(bins.where("same"), ["classNr"]), "classNr")
+
+
+@query("error_overlap_area", O.recursive(
+    O.PAIRS, O.class_means(), f"er AS MATERIALIZED (SELECT cm.pc AS c, t.own = cm.pc AS same, {_ERR[2]} AS d FROM (SELECT * EXCLUDE (pc), pc AS own FROM pr) t CROSS JOIN cm)",
+    "g AS MATERIALIZED (SELECT c, same, min(d) AS lo, max(d) AS hi, count(*) AS n, stddev_samp(d) * count(*) ** -0.2 AS h, "
+    f"ceil((max(d) - min(d)) / (stddev_samp(d) * count(*) ** -0.2 / {fit.KDE_FINENESS})) + 1 AS bins FROM er GROUP BY 1, 2)",
+    "sp AS (SELECT c, same, lo, hi, n, h, bins, (d - lo) / (hi - lo) * (bins - 1) AS pos FROM er JOIN g USING (c, same))",
+    "sh AS (SELECT *, least(floor(pos), bins - 2) AS k FROM sp)",
+    "bw AS MATERIALIZED (SELECT c, same, n, h, lo + k * (hi - lo) / (bins - 1) AS x0, sum(w) / n AS w FROM (SELECT *, 1 - (pos - k) AS w FROM sh UNION ALL SELECT * REPLACE (k + 1 AS k), pos - k AS w FROM sh) GROUP BY c, same, n, h, lo, hi, bins, k)",
+    "xr AS (SELECT c, min(lo - 5 * h) AS a, max(hi + 5 * h) AS b FROM g GROUP BY c)",
+    "xs AS (SELECT c, i, a + (b - a) * i / 2047.0 AS x FROM xr, (SELECT unnest(range(0, 2048)) AS i))",
+    "de AS (SELECT xs.c, i, x, same, sum(w * exp(-0.5 * ((x - x0) / h) * ((x - x0) / h))) / (any_value(h) * sqrt(2 * pi())) AS f FROM xs JOIN bw USING (c) GROUP BY xs.c, i, x, same)",
+    "lw AS (SELECT c, i, x, CASE WHEN count(*) = 2 THEN min(f) ELSE 0 END AS f FROM de GROUP BY c, i, x)",
+    "tz AS (SELECT c, (f + lead(f) OVER w) / 2 * (lead(x) OVER w - x) AS area FROM lw WINDOW w AS (PARTITION BY c ORDER BY i))") +
+    f"SELECT c::INT AS \"classNr\", {q4('sum(area)', 'overlap')} FROM tz GROUP BY c")
+def error_overlap_area(spark, sf):
+    return fit.overlap_of_bins(_error_bins(spark, sf), ["classNr"], "same").select("classNr", r4(F.col("overlap"), "overlap"))
 
 
 # --- gap filling --------------------------------------------------------------------------------------

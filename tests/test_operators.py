@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import rotation as R
 from strandweave.functions import special
-from strandweave.operators import assign, distance, fill, fit, geometry, linkage, pairs as P, pointers, preprocess, ranges, ranking
+from strandweave.operators import assign, compare, distance, fill, fit, geometry, linkage, pairs as P, pointers, preprocess, ranges, ranking, summary
 from tests import models, simulate
 
 
@@ -259,3 +259,32 @@ def test_centres_in_several_passes(spark, monkeypatch):
             out = assign.assign_to_centres(pairs, centres, 120.0, radius_first=radius_first)
             results.append(sorted((r.row_no, r.pairClass, round(r.assign_distance or -1.0, 9)) for r in out.select("row_no", "pairClass", "assign_distance").collect()))
         assert results[0] == results[1] and len({c for _, c, _ in results[0]}) > 2
+
+
+def test_error_bins_in_pages_and_chunks(spark, monkeypatch):
+    """Moments and grids of all pairs against all means, as a table of the product would give them."""
+    monkeypatch.setattr(compare, "PAGE", 2)
+    monkeypatch.setattr(compare, "CHUNK", 7)
+    pairs = P.neighbour_transforms(_random_particles(spark), 120.0).withColumn("pairClass", (F.col("pairIDX1") % 4).cast("int")).repartition(3)
+    centres = summary.class_centres(pairs.where("pairClass > 0"))
+    inside, lost = pairs.where("pairClass > 0"), pairs.where("pairClass = 0")
+    means = centres.collect()
+    rows = pairs.select("pairClass", *P.VECT, *P.ANGLE).collect()
+    want = {}
+    for c in means:
+        for r in rows:
+            v = np.linalg.norm([r[k] - c[m] for k, m in zip(P.VECT, ("cx", "cy", "cz"))]) / 240 * 180
+            a = models.angle(models.zxz(*(r[k] for k in P.ANGLE)).T @ models.zxz(c.cphi, c.cpsi, c.ctheta))
+            for m, d in (("vect", v), ("angle", a), ("combined", (v + a) / 2)):
+                want.setdefault((c.pairClass, r.pairClass == c.pairClass, m), []).append(d)
+    got = {(r.classNr, r.same, r.measure): r for r in compare.error_moments(inside, centres, 120.0, lost=lost).collect()}
+    assert set(got) == set(want)
+    for k, d in want.items():
+        assert got[k].n == len(d) and np.allclose([got[k].lo, got[k].hi, got[k]["mean"], got[k].sd], [min(d), max(d), np.mean(d), np.std(d, ddof=1)], atol=1e-5)
+    bins = compare.error_bins(inside, centres, 120.0, lost=lost).cache()
+    for k, d in want.items():
+        mine = [r for r in bins.collect() if (r.classNr, r.same, r.measure) == k]
+        assert np.isclose(sum(r.weight for r in mine), len(d))
+        spots = sum(r.weight * (r.lo + r.bin * (r.hi - r.lo) / (r.bins - 1)) for r in mine)
+        assert np.isclose(spots / len(d), np.mean(d), atol=1e-5)
+    assert compare.error_bins(inside, centres.where("1 = 0"), 120.0).count() == 0
