@@ -31,6 +31,10 @@ def duplicate_losers(particles: DataFrame, min_distance: float, score: str | Non
     around them, which bounds the work per point however dense the copies are.
     """
     rank = F.struct((F.col(score) if score else F.lit(0.0)).alias("s"), F.col("particle_id").alias("i"))
+    if min_distance <= 0:  # only particles in one and the same place can be that close
+        spots = particles.where(F.lit(min_distance == 0)).select("tomo_id", "particle_id", *XYZ, rank.alias("_rank"))
+        tops = spots.groupBy("tomo_id", *XYZ).agg(F.max("_rank").alias("_top"), F.count("*").alias("_n")).where("_n > 1")
+        return spots.join(tops, ["tomo_id", *XYZ]).where(F.col("_rank") < F.col("_top")).select("particle_id")
     fine = min_distance / math.sqrt(3.0) * (1.0 - 1e-9)
     pts = with_cell(particles.select("tomo_id", "particle_id", *XYZ, rank.alias("_rank")), XYZ, fine)
     best = F.struct(F.col("_rank").alias("r"), *[F.col(a).alias(a) for a in XYZ])

@@ -110,8 +110,9 @@ def class_chain_statistics(pairs: DataFrame) -> DataFrame:
                                      for n, c in columns.items()])
 
 
-def chain_statistics(pairs: DataFrame) -> DataFrame:
-    """One row per chain with its members in chain order; the longer of main line and side branch is kept."""
+def _places(pairs: DataFrame) -> DataFrame:
+    """Particles of every chain by main line or side branch and position: the first end of a pair, in row order, that
+    stands there; ``_ends`` counts all of them."""
     chain = F.col("pairLabel").cast("long")
     tracked = pairs.where("pairClass not in (0)").select("*", chain.alias("_chain")).where("_chain <> -1")
     side = F.when(F.col("pairLabel") - F.col("_chain") > 0.05, 1).otherwise(0).alias("_side")
@@ -121,12 +122,29 @@ def chain_statistics(pairs: DataFrame) -> DataFrame:
         F.struct(F.col("pairPosInPoly2").alias("pos"), F.col("row_no").alias("row"), F.lit(2).alias("end"),
                  F.col("pairIDX2").alias("id"), F.col("pairClass2").alias("cls")),
     )
-    line_keys = ["pairClass", "_chain", "_side"]
     lines = tracked.select("pairClass", "_chain", side, "pairTomoID", "row_no", F.explode(ends).alias("_end"))
-    places = lines.groupBy(*line_keys, F.col("_end.pos").alias("pos")).agg(
+    return lines.groupBy("pairClass", "_chain", "_side", F.col("_end.pos").alias("pos")).agg(
         F.min("_end").alias("_end"), F.count("*").alias("_ends"),
         F.min(F.struct("row_no", "pairTomoID")).alias("_head"))
-    per_line = places.groupBy(*line_keys).agg(
+
+
+def chain_members(pairs: DataFrame) -> DataFrame:
+    """``(classNr, polyID, pos, particle_id, cls)``: the members of every chain along the longer of its main line and side
+    branch, as a long table, so a chain may have any length."""
+    places = cut_lineage(_places(pairs))
+    lines = places.groupBy("pairClass", "_chain", "_side").agg(F.sum("_ends").alias("_n"))
+    best = lines.groupBy("pairClass", "_chain").agg(F.max(F.struct("_n", (-F.col("_side")).alias("s"))).alias("_b"))
+    chosen = best.select("pairClass", "_chain", (-F.col("_b.s")).alias("_side"))
+    return places.join(chosen, ["pairClass", "_chain", "_side"]).select(
+        F.col("pairClass").alias("classNr"), F.col("_chain").alias("polyID"), "pos", F.col("_end.id").alias("particle_id"), F.col("_end.cls").alias("cls"))
+
+
+def chain_statistics(pairs: DataFrame) -> DataFrame:
+    """One row per chain with its members in chain order; the longer of main line and side branch is kept.
+
+    The members stand in one text each, as reports want them; :func:`chain_members` has them as rows.
+    """
+    per_line = _places(pairs).groupBy("pairClass", "_chain", "_side").agg(
         (F.sum("_ends") / 2).cast("long").alias("edges"), F.count("*").alias("positions"),
         F.array_sort(F.collect_list("_end")).alias("_members"), F.min("_head").alias("_head"))
     best = F.max(F.struct("edges", (-F.col("_side")).alias("s"), "positions", "_members", "_head")).alias("_b")

@@ -1,16 +1,24 @@
 """The staged analysis: particles to pairs, classes, chains, filled gaps and statistics.
 
 Every stage takes and leaves DataFrames. The pair table is materialised where it is reused; with ``folder`` set
-the pairs and the classes are kept there and a later run continues from them.
+the pairs and the classes are kept there with a manifest, and a later run continues from them if settings, input
+and code are the same.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import replace
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.config import Settings
 from strandweave.operators import align, assign, compare, fill, fit, pairs as P, preprocess, summary, tracking
+from strandweave.operators.distance import distance_to_centre
 from strandweave.session import cut_lineage
 from strandweave.sources import lists, star
 
@@ -29,6 +37,9 @@ class Analysis:
         self.aligned: DataFrame | None = None
         self.statistics: DataFrame | None = None
         self.removed: DataFrame | None = None
+        self.table: star.StarTable | None = None  # as read, for its dialect and its other columns
+        self.dropped: DataFrame | None = None
+        self._keys: dict[str, str] = {}
 
     # --- inputs --------------------------------------------------------------------------------------
 
@@ -36,6 +47,8 @@ class Analysis:
         """Reads a particle STAR table of any dialect, recentred."""
         s = self.settings
         table = star.read_star(self.spark, path, s.pixel_size)
+        self.table = replace(table, particles=cut_lineage(table.particles))
+        table = self.table
         if table.kind == "stopgap":
             table = star.motive_list_to_relion(table, s.subtomo_path, s.ctf_file)
         raw, out = table.particles, star.to_particles(table)
@@ -44,7 +57,7 @@ class Analysis:
             if (table.kind == "relion3") == (scale is not None) and origin[0] in raw.columns:
                 out = preprocess.recentre(out.join(raw.select("particle_id", *origin), "particle_id"), origin, scale).drop(*origin)
         self.source = path
-        return self.use(out)
+        return self.use(out.withColumn("origin_id", F.col("particle_id")))
 
     def use(self, particles: DataFrame) -> "Analysis":
         """Starts from a canonical particle table."""
@@ -63,28 +76,30 @@ class Analysis:
         kept = ranked(kept.withColumn("_all", F.lit(0)), ["_all"], ["particle_id"], "_n").withColumn(
             "particle_id", F.col("_n") - 1).drop("_all", "_n")
         self.particles = cut_lineage(dense_code(kept, "tomo_name", "tomo_id"))
+        self.dropped = dropped
         return dropped
 
     def neighbour_distances(self) -> DataFrame:
         return preprocess.nearest_neighbour(self.particles)
 
     def find_pairs(self) -> DataFrame:
-        stored = self._load("pairs")
+        s = self.settings
+        key = self._key("pairs", [s.radius, s.pixel_size, self.source], self._content) if self.folder else ""
+        stored = self._load("pairs", key)
         if stored is None:
-            s = self.settings
-            stored = self._keep("pairs", P.with_row_order(P.neighbour_transforms(self.particles, s.radius, s.pixel_size, self.source or "none")))
+            stored = self._keep("pairs", P.with_row_order(P.neighbour_transforms(self.particles, s.radius, s.pixel_size, self.source or "none")), key)
             if stored.isEmpty():
                 raise RuntimeError("no two particles of a volume lie within the search radius")
         self.pairs = stored
         return stored
 
     def classify(self) -> DataFrame:
-        stored = self._load("classes")
+        s = self.settings
+        how = [s.cluster_threshold, s.radius, s.metric, s.sample_size, s.min_class_ratio, s.assign_percentile, s.assign_iterations]
+        key = self._key("classes", [*how, s.tree_only], lambda: self._keys["pairs"]) if self.folder else ""
+        stored = self._load("classes", key)
         if stored is None:
-            s = self.settings
-            stored = self._keep("classes", assign.cluster_all(
-                self.pairs, s.cluster_threshold, s.radius, s.metric, s.sample_size, s.min_class_ratio,
-                s.assign_percentile, s.assign_iterations, tree_only=s.tree_only))
+            stored = self._keep("classes", assign.cluster_all(self.pairs, *how, tree_only=s.tree_only), key)
         self.pairs = stored
         return stored
 
@@ -168,15 +183,38 @@ class Analysis:
         return self
 
     def write(self, folder: str, one_file: bool = False) -> None:
-        """STAR tables of the run, coordinate lists and class folders."""
+        """The whole result of a run: particles in their own dialect with all their columns, pairs, a pair table per class,
+        statistics in reporting order, overlaps and losses, the error estimate, distribution fits and lists."""
+        s = self.settings
+
+        def particle_table(particles: DataFrame) -> star.StarTable:
+            if self.table is None:
+                return star.from_particles(particles, pixel_size=s.pixel_size)
+            return star.with_particles(self.table, particles)
+
         star.write_pairs(self.pairs, f"{folder}/allTransforms.star", one_file)
-        star.write_star(star.from_particles(self.particles, pixel_size=self.settings.pixel_size), f"{folder}/particles.star", one_file=one_file)
-        for name, df, order in (("statPerClass", self.statistics, "classNr"), ("statPerPoly", self.chains(), "polyID")):
-            if df is not None:
-                numbered = df.withColumn("_order", F.col(order).cast("long"))
-                star.write_star(star.StarTable("relion2", -1, numbered), f"{folder}/stat/{name}.star", order="_order", one_file=one_file)
+        star.write_star(particle_table(self.particles), f"{folder}/particles.star", one_file=one_file)
+        if self.dropped is not None:
+            star.write_star(particle_table(self.dropped), f"{folder}/stat/dropped.star", one_file=one_file)
+        tables = {"statPerPoly": (self.chains(), [-F.col("num"), F.col("classNr"), F.col("polyID")])}
+        if self.statistics is not None:
+            long = (F.col("numPolybg3") + F.col("numPolybg5")) * 10000 + F.col("num")
+            tables["statPerClass"] = (self.statistics, [-long, -F.col("classNr")])
+        if self.before_selection is not None:
+            tables["statOverlapRibos"] = (summary.class_overlap(self.pairs), [F.col("pairClass")])
+            tables["statDropRibos"] = (summary.drop_summary(self.particles, self.before_selection, self.pairs), [F.col("keepTransNr")])
+        if self.statistics is not None:
+            tables["errorEstimate"] = (self.error_estimate(), [F.col("classNr"), F.col("distance")])
+            centres = fill.fill_statistics(self.statistics)
+            inside = self.pairs.where("pairClass > 0").join(centres.select("pairClass", *fill.CENTRE), "pairClass")
+            d = cut_lineage(distance_to_centre(inside, s.radius, s.metric).select("pairClass", "row_no", "cn_distance"))
+            fits = fit.fit_distributions(d, ["pairClass"], "cn_distance", "row_no", ["lognorm", fit.GENERIC]).drop("params")
+            tables["fits"] = (fits, [F.col("pairClass"), F.col("chi_square")])
+        for name, (df, order) in tables.items():
+            lists.write_report(df, order, f"{folder}/stat/{name}.star", one_file)
         lists.write_pair_centres(self.pairs, f"{folder}/clusters")
-        lists.write_class_folders(self.pairs, f"{folder}/clusters/transforms")
+        lists.write_class_tables(self.pairs, f"{folder}/clusters/transforms")
+        lists.write_class_particles(self.pairs, particle_table(self.particles), f"{folder}/clusters/particleCenter")
 
     # --- stored stages -------------------------------------------------------------------------------
 
@@ -184,13 +222,41 @@ class Analysis:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
-    def _load(self, name: str) -> DataFrame | None:
-        if self.folder is None or not self._exists(f"{self.folder}/{name}"):
+    def _content(self) -> str:
+        """Digest of the particles, whatever their order and partitioning."""
+        hashes = [F.sum(F.xxhash64(*sorted(self.particles.columns), F.lit(k)).cast("decimal(38,0)")) for k in range(2)]
+        return str([str(v) for v in self.particles.agg(F.count("*"), *hashes).first()])
+
+    def _key(self, name: str, settings: list, inputs) -> str:
+        """What a stage depends on: its settings, its inputs and the code."""
+        key = hashlib.sha256(json.dumps([code_digest(), settings, inputs()]).encode()).hexdigest()
+        self._keys[name] = key
+        return key
+
+    def _load(self, name: str, key: str) -> DataFrame | None:
+        """The stored stage, if it is complete and was made with the same settings from the same input by the same code."""
+        path = f"{self.folder}/{name}"
+        if self.folder is None or not self._exists(path) or not self._exists(f"{path}-manifest"):
+            return None
+        if self.spark.read.text(f"{path}-manifest").first()[0] != key:
             return None
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(path)
 
-    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+    def _keep(self, name: str, df: DataFrame, key: str) -> DataFrame:
         if self.folder is None:
             return cut_lineage(df)
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        self.spark.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}-manifest")
+        return self.spark.read.parquet(path)
+
+
+@lru_cache(maxsize=1)
+def code_digest() -> str:
+    """Digest of this package's source files."""
+    root = Path(__file__).resolve().parent.parent
+    digest = hashlib.sha256()
+    for path in sorted(root.rglob("*.py")):
+        if "llm" not in path.relative_to(root).parts:
+            digest.update(path.read_bytes())
+    return digest.hexdigest()

@@ -15,7 +15,9 @@ from strandweave.functions import rotation as R
 from strandweave.operators import (
     align, assign, compare, distance, figures, fill, fit, geometry, linkage, pairs as P, preprocess, ranking, summary, tracking,
 )
+from strandweave.config import Settings
 from strandweave.plans import oracle as O
+from strandweave.plans.analysis import Analysis
 from strandweave.sources import lists, star, volume
 from strandweave.plans.views import particles_from_embeddings, particles_from_events, table
 from strandweave.schema import ANGLE, EULER1, EULER2, INV_ANGLE, INV_VECT, VECT
@@ -484,6 +486,14 @@ def chains_depth_two(spark, sf):
     return summary.chain_statistics(tracking.track_chains(classed_pairs(spark, sf), 2))
 
 
+@query("chain_members", _DEEP + ", pt AS (SELECT pc, chain, flag, step AS pos, rn, 1 AS side, id1 AS id, cls1 AS cls FROM deep UNION ALL SELECT pc, chain, flag, nxt, rn, 2, id2, cls2 FROM deep), "
+       "pl AS (SELECT *, row_number() OVER (PARTITION BY pc, chain, flag, pos ORDER BY rn, side) AS o FROM pt), "
+       "li AS (SELECT pc, chain, arg_min(flag, (-n, flag)) AS flag FROM (SELECT pc, chain, flag, count(*) AS n FROM pt GROUP BY 1, 2, 3) GROUP BY 1, 2) "
+       "SELECT pc::INT AS \"classNr\", chain AS \"polyID\", pos::INT AS pos, id AS particle_id, cls FROM pl JOIN li USING (pc, chain, flag) WHERE o = 1")
+def chain_members(spark, sf):
+    return summary.chain_members(tracking.track_chains(classed_pairs(spark, sf), 2))
+
+
 _END_BLOCK = ("e AS MATERIALIZED (SELECT pc, tomo_id, tomo_name, rn, id1, id2 FROM pr WHERE pc <> 0), "
          "u AS MATERIALIZED (SELECT pc, id1 AS a, id2 AS b FROM e UNION SELECT pc, id2, id1 FROM e), "
          "reach AS (SELECT pc, a, a AS b FROM u UNION SELECT reach.pc, reach.a, u.b FROM reach JOIN u ON u.pc = reach.pc AND u.a = reach.b), "
@@ -834,6 +844,47 @@ def exponential_p_values(spark, sf):
     return ranking.ranked(out.select("pairClass", "row_no", "p"), ["pairClass"], ["row_no"], "nth").select("pairClass", "nth", r4(F.col("p"), "p"))
 
 
+def _normal_quantile_sql(p: str) -> str:
+    """Rational approximation of the inverse normal distribution (relative error about 1e-9); coefficients are fixed values."""
+    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661742416, 1.0)
+
+    def poly(cs, x):
+        out = f"({cs[0]!r}::DOUBLE)"
+        for k in cs[1:]:
+            out = f"({out} * {x} + ({k!r}))"
+        return out
+
+    mid, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    r = f"({mid} * {mid})"
+    return (f"CASE WHEN {p} < 0.02425 THEN {poly(c, low)} / {poly(d, low)} WHEN {p} > 0.97575 THEN -{poly(c, high)} / {poly(d, high)} "
+            f"ELSE {mid} * {poly(a, r)} / {poly(b, r)} END")
+
+
+@query("fit_quantile_table", _spread(
+    f"SELECT pc::INT AS pairClass, 'expon' AS distribution, o AS nth, {q4('z', 'observed')}, {q4('lo - sc * ln(1 - (o - 0.5) / n)', 'theoretical')}, {q4('o / n', 'p_observed')}, {q4('1 - exp(-(z - lo) / sc)', 'p_theoretical')} FROM zq "
+    f"UNION ALL SELECT pc::INT, 'norm', o, {q4('z', 'observed')}, {q4('mu + sd * (' + _normal_quantile_sql('((o - 0.5) / n)') + ')', 'theoretical')}, {q4('o / n', 'p_observed')}, NULL FROM zq",
+    _Z + ", zq AS (SELECT zs.pc, z, lo, sc, n::DOUBLE AS n, avg(z) OVER (PARTITION BY zs.pc) AS mu, stddev_pop(z) OVER (PARTITION BY zs.pc) AS sd, row_number() OVER (PARTITION BY zs.pc ORDER BY z, rn) AS o FROM zs JOIN zp ON zp.pc = zs.pc)"))
+def fit_quantile_table(spark, sf):
+    """Observed against fitted quantiles and probabilities; the normal distribution function has no SQL counterpart."""
+    t = fit.fit_quantiles(_class_distances(spark, sf), ["pairClass"], "cn_distance", "row_no", ["expon", "norm"])
+    mass = F.when(F.col("distribution") == "expon", F.col("p_theoretical"))
+    return t.select("pairClass", "distribution", "nth", *[r4(F.col(c), c) for c in ("observed", "theoretical", "p_observed")], r4(mass, "p_theoretical"))
+
+
+@query("fit_curve_table", _spread(
+    f"SELECT c.pc::INT AS pairClass, 'expon' AS distribution, k::INT AS point, {q4('x', 'x')}, round(f * area / (sum(CASE WHEN k IN (0, 199) THEN 0.5 ELSE 1 END * f) OVER (PARTITION BY c.pc) * (hi - lo0) / 199), 3) + 0.0 AS height FROM ("
+    "SELECT he.*, k, lo0 + (hi - lo0) * k / 199 AS x, exp(-(lo0 + (hi - lo0) * k / 199 - zp.lo) / sc) / sc AS f FROM he JOIN zp USING (pc), (SELECT unnest(range(0, 200)) AS k)) c",
+    _Z + ", ze AS (SELECT pc, min(z) AS lo0, quantile_cont(z, 0.99) AS hi FROM zs GROUP BY 1), "
+    "hc AS (SELECT pc, lo0, hi, least(floor((z - lo0) / (hi - lo0) * 19), 18) AS b, count(*) AS n FROM zs JOIN ze USING (pc) WHERE z <= hi GROUP BY ALL), "
+    "he AS (SELECT pc, lo0, hi, (hi - lo0) / 19 * sum(CASE WHEN b IN (0, 18) THEN 0.5 ELSE 1 END * n) AS area FROM hc GROUP BY pc, lo0, hi)"))
+def fit_curve_table(spark, sf):
+    t = fit.fit_curves(_class_distances(spark, sf), ["pairClass"], "cn_distance", "row_no", ["expon"])
+    return t.select("pairClass", "distribution", "point", r4(F.col("x"), "x"), (F.round("height", 3) + F.lit(0.0)).alias("height"))
+
+
 @query("density_borders")
 def density_borders(spark, sf):
     return fit.kde_borders(_class_distances(spark, sf), ["pairClass"], "cn_distance")
@@ -1097,3 +1148,61 @@ def event_chains(spark, sf):
 def event_nearest(spark, sf):
     d = preprocess.nearest_neighbour(particles_from_events(spark, sf))
     return d.select("particle_id", r4(F.col("nn_distance"), "nn_distance"))
+
+
+# --- tables that come back as they went ----------------------------------------------------------------
+
+@query("class_tables_round_trip", f"WITH {O.PAIRS} SELECT pc::INT AS pairClass, row_number() OVER (PARTITION BY pc ORDER BY rn) - 1 AS nth, id1 AS pairIDX1, id2 AS pairIDX2, "
+       f"{q4('len', 'pairLenTrans')} FROM pr WHERE pc > 0")
+def class_tables_round_trip(spark, sf):
+    """A pair table per class, written in one job, every one read back with its rows in order."""
+    folder = _scratch(spark)
+    lists.write_class_tables(classed_pairs(spark, sf), folder)
+    parts = [lists.read_class_table(spark, folder, c) for c in (1, 2, 3)]
+    back = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return back.select("pairClass", F.col("row_no").alias("nth"), "pairIDX1", "pairIDX2", r4(F.col("pairLenTrans"), "pairLenTrans"))
+
+
+_MOVED = ("m AS (SELECT particle_id, tomo_id, tomo_name, x - (particle_id % 7) / {scale} AS x, y - (particle_id % 5) / {scale} AS y, z AS z, cls, score FROM p), "
+          "lost AS (SELECT DISTINCT CASE WHEN a.score <= b.score THEN a.particle_id ELSE b.particle_id END AS i FROM m a JOIN m b ON a.tomo_id = b.tomo_id AND a.particle_id < b.particle_id "
+          "WHERE sqrt((b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z)) <= 120)")
+
+
+def _through_a_run(spark, table: star.StarTable) -> DataFrame:
+    """Written, read as the input of a run, freed of duplicates, written in its own dialect and read again."""
+    first, second = _scratch(spark), _scratch(spark)
+    star.write_star(table, first)
+    run = Analysis(spark, Settings(pixel_size=3.42, min_distance=120 * 3.42)).read(first)
+    run.drop_duplicates()
+    star.write_star(star.with_particles(run.table, run.particles), second)
+    back = star.read_star(spark, second)
+    if back.kind != table.kind:
+        raise ValueError(f"{table.kind} came back as {back.kind}")
+    return back.particles
+
+
+@query("relion3_round_trip", f"WITH {O.PARTICLES}, {_MOVED.format(scale='3.42')} SELECT 'note ' || particle_id AS note, (particle_id % 2 + 1) AS \"rlnOpticsGroup\", tomo_name AS \"rlnMicrographName\", "
+       f"cls::BIGINT AS \"rlnClassNumber\", row_number() OVER (ORDER BY particle_id) - 1 AS nth, {q4('x', 'x')}, {q4('y', 'y')}, {q4('z', 'z')}, 0::BIGINT AS \"rlnOriginXAngst\" FROM m WHERE particle_id NOT IN (SELECT i FROM lost)")
+def relion3_round_trip(spark, sf):
+    p = particles_from_embeddings(spark, sf)
+    group = (F.col("particle_id") % 2 + 1).alias("rlnOpticsGroup")
+    rows = p.select("particle_id", *[F.col(a).alias(f"rlnCoordinate{a.upper()}") for a in "xyz"], (F.col("particle_id") % 7).alias("rlnOriginXAngst"),
+                    (F.col("particle_id") % 5).alias("rlnOriginYAngst"), F.lit(0).alias("rlnOriginZAngst"), F.col("tomo_name").alias("rlnMicrographName"),
+                    F.col("phi").alias("rlnAngleRot"), F.col("theta").alias("rlnAngleTilt"), F.col("psi").alias("rlnAnglePsi"), F.lit("a b.mrc").alias("rlnCtfImage"),
+                    F.col("cls").alias("rlnClassNumber"), F.col("score").alias("rlnLogLikeliContribution"), group, F.concat(F.lit("note "), "particle_id").alias("note"))
+    optics = spark.createDataFrame([(0, 1, 3.42), (1, 2, 3.42)], "particle_id long, rlnOpticsGroup long, rlnImagePixelSize double")
+    back = _through_a_run(spark, star.StarTable("relion3", 3.42, rows, optics))
+    return back.select("note", "rlnOpticsGroup", "rlnMicrographName", "rlnClassNumber", F.col("particle_id").alias("nth"),
+                       *[r4(F.col(f"rlnCoordinate{a.upper()}"), a) for a in "xyz"], "rlnOriginXAngst")
+
+
+@query("stopgap_round_trip", f"WITH {O.PARTICLES}, {_MOVED.format(scale='1.0')} SELECT particle_id * 3 AS subtomo_num, 'half ' || (particle_id % 2) AS halfset, tomo_id::BIGINT AS tomo_num, "
+       f"cls::BIGINT AS class, row_number() OVER (ORDER BY particle_id) - 1 AS nth, {q4('x', 'x')}, {q4('y', 'y')}, {q4('z', 'z')} FROM m WHERE particle_id NOT IN (SELECT i FROM lost)")
+def stopgap_round_trip(spark, sf):
+    p = particles_from_embeddings(spark, sf)
+    i = F.col("particle_id")
+    rows = p.select("particle_id", i.alias("motl_idx"), F.col("tomo_id").alias("tomo_num"), F.lit(1).alias("object"), (i * 3).alias("subtomo_num"),
+                    F.concat(F.lit("half "), (i % 2).cast("string")).alias("halfset"), *[F.col(a).alias(f"orig_{a}") for a in "xyz"], "score",
+                    (i % 7).alias("x_shift"), (i % 5).alias("y_shift"), F.lit(0).alias("z_shift"), "phi", "psi", F.col("theta").alias("the"), F.col("cls").alias("class"))
+    back = _through_a_run(spark, star.StarTable("stopgap", -1, rows))
+    return back.select("subtomo_num", "halfset", "tomo_num", "class", F.col("particle_id").alias("nth"), *[r4(F.col(f"orig_{a}"), a) for a in "xyz"])

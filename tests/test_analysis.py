@@ -1,7 +1,11 @@
+from dataclasses import replace
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandweave.config import Filling, Settings
 from strandweave.plans.analysis import Analysis
+from strandweave.sources import lists, star
 from tests import simulate
 
 SETTINGS = dict(tree_only=True, pixel_size=3.42, search_radius=342.0, min_distance=0.0, cluster_threshold=25.0, min_class_ratio=-1)
@@ -83,3 +87,46 @@ def test_whole_run_from_file_to_files(spark, tmp_path):
     assert back.count() == run.pairs.count() and back.where("fillUpProb = 1.1").count() == len(new)
     again = Analysis(spark, run.settings, folder=str(tmp_path / "stages")).read(source)
     assert again.find_pairs().count() > 0 and again.classify().where("pairClass > 0").count() > 0
+
+
+def test_stored_stages_know_their_settings_and_input(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    parts = {"a": [(rng.uniform(0, 300, 3), rng.uniform(0, 180, 3)) for _ in range(40)]}
+    particles, _ = simulate.table(spark, parts)
+    folder = str(tmp_path / "run")
+
+    def pairs(frame, **more):
+        run = Analysis(spark, Settings(**{**SETTINGS, **more}), folder=folder).use(frame)
+        return run.find_pairs()
+
+    first = pairs(particles)
+    stamp = lambda: max(p.stat().st_mtime_ns for p in (tmp_path / "run" / "pairs").iterdir())
+    made = stamp()
+    assert pairs(particles.repartition(3)).count() == first.count() and stamp() == made
+    fewer = pairs(particles, search_radius=100.0)
+    assert stamp() != made and 0 < fewer.count() < pairs(particles).count()
+    assert pairs(particles.where("particle_id < 20")).count() < pairs(particles).count()
+
+
+def test_everything_a_run_writes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    a = simulate.chain(10, (20, 40, 50), (30, 10, 70), (20, 30, 0), (40, 10, 30), rng, 1.0)
+    b = simulate.chain(9, (60, 40, 10), (10, 20, 30), (1500, 0, 0), (-20, -10, -30), rng, 1.0)
+    particles, _ = simulate.table(spark, {"100.mrc": a + b}, rng)
+    table = star.from_particles(particles, pixel_size=3.42)
+    noted = replace(table, particles=table.particles.withColumn("note", F.concat(F.lit("of row "), "particle_id")))
+    star.write_star(noted, str(tmp_path / "in"))
+    run = Analysis(spark, Settings(**{**SETTINGS, "filling": Filling(0, "max")})).read(str(tmp_path / "in"))
+    for stage in (run.drop_duplicates, run.find_pairs, run.classify, run.select, run.align, run.summarise, run.track):
+        stage()
+    run.write(str(tmp_path / "out"))
+    back = star.read_star(spark, str(tmp_path / "out/particles.star")).particles
+    assert {r.note for r in back.collect()} == {f"of row {k}" for k in range(19)}
+    stat = {n: star.read_star(spark, str(tmp_path / f"out/stat/{n}.star")).particles.orderBy("particle_id") for n in ("statPerClass", "statPerPoly", "statDropRibos", "errorEstimate", "dropped")}
+    nums = [r.num for r in stat["statPerPoly"].collect()]
+    assert nums == sorted(nums, reverse=True) and stat["statPerClass"].count() == run.statistics.count() and stat["dropped"].count() == 0
+    assert stat["errorEstimate"].count() == 3 * run.statistics.count()
+    for r in run.pairs.where("pairClass > 0").groupBy("pairClass").count().collect():
+        assert lists.read_class_table(spark, str(tmp_path / "out/clusters/transforms"), r.pairClass).count() == r["count"]
+        inside = run.pairs.where(F.col("pairClass") == r.pairClass).select(F.explode(F.array("pairIDX1", "pairIDX2"))).distinct().count()
+        assert star.read_star(spark, str(tmp_path / f"out/clusters/particleCenter/c={r.pairClass}")).particles.count() == inside
