@@ -63,15 +63,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op4_line_dedup", rf"""
-    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    WITH d AS (SELECT *, row_number() OVER () AS rn FROM documents),
+        l AS (SELECT rn, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM d),
         k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^{SPACE}+', ''), '{SPACE}+$', ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-        common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+        common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rn) >= 10),
         m AS (SELECT k.*, common.key IS NOT NULL AS dropped FROM k LEFT JOIN common ON k.key = common.key)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-    FROM m GROUP BY doc_id""")
+    FROM m GROUP BY rn, doc_id""")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, min_docs=10))
@@ -80,18 +81,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op8_minhash", rf"""
-    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    WITH RECURSIVE w AS (SELECT row_number() OVER () AS rn, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}+'), lambda x: x <> '') AS w FROM documents),
-        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE
+        s AS (SELECT rn, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE
             list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS s FROM w),
-        g AS (SELECT doc_id, len(s) AS n, unnest(list_transform(s, lambda x: hash(x))) AS h FROM s),
-        c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS i FROM g a JOIN g b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+        g AS (SELECT rn, len(s) AS n, unnest(list_transform(s, lambda x: hash(x))) AS h FROM s),
+        c AS (SELECT a.rn AS x, b.rn AS y, a.n AS nx, b.n AS ny, count(*) AS i FROM g a JOIN g b ON a.h = b.h AND a.rn <> b.rn GROUP BY ALL),
         l AS (SELECT x, y FROM c WHERE 100 * i >= 80 * (nx + ny - i)),
-        r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
-    SELECT doc_id, any_value(len(s)) AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept
-    FROM s JOIN r ON doc_id = x GROUP BY doc_id""")
+        r AS (SELECT rn AS x, rn AS y FROM s UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+    SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(t.doc_id) AS component_id, s.doc_id = min(t.doc_id) AS kept
+    FROM s JOIN r ON s.rn = x JOIN s t ON t.rn = y GROUP BY s.rn, s.doc_id""")
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 @query("op3_token_blocks")
@@ -229,7 +231,8 @@ _NEVER = "{'c': 1000000000, 'a': ''}"
             unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) FROM k JOIN ids ON k.conv_id IS NOT DISTINCT FROM ids.conv_id WHERE code <> 0),
         o AS (SELECT g, turn, role, text, role[1] AS c, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i,
             row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
-        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN seen > 1 THEN 'd'
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN seen > 1 THEN 'd'
             WHEN NOT regexp_matches(text, '[.!?]{SPACE}*$') THEN 't' ELSE '-' END AS fault, lag(c) OVER (PARTITION BY g ORDER BY i) AS p FROM o),
         dp AS (SELECT g, 0 AS i, {{'c': 0, 'a': ''}} AS e, {_NEVER} AS s, {{'c': 2, 'a': 'I'}} AS u, {{'c': 4, 'a': 'II'}} AS h FROM ids
             UNION ALL SELECT g, i, e, s, u2, list_min([h1, {_step_sql("2", "I", "u2")}]) FROM (
