@@ -1019,7 +1019,7 @@ def sampled_pairs(spark, sf):
 def sample_clusters(spark, sf):
     """Average-linkage classes of the clustering sample at a fixed threshold."""
     pairs = P.with_row_order(raw_pairs(spark, sf))
-    sample = cut_lineage(assign.sample_pairs(pairs, 1500, pairs.count()))
+    sample = cut_lineage(assign.sample_pairs(pairs, Settings().sample_size, pairs.count()))
     found = assign.cluster_sample(sample, 25.0, RADIUS)
     return found.groupBy("pairClass", "pairClassColour").agg(F.count("*").alias("n"))
 
@@ -1028,7 +1028,7 @@ def sample_clusters(spark, sf):
 def link_levels(spark, sf):
     """Sub-threshold part of the tree with its heights in ascending order."""
     pairs = P.with_row_order(raw_pairs(spark, sf))
-    sample = cut_lineage(distance.transform_poses(assign.sample_pairs(pairs, 1500, pairs.count()), "row_no"))
+    sample = cut_lineage(distance.transform_poses(assign.sample_pairs(pairs, Settings().sample_size, pairs.count()), "row_no"))
     d = distance.pairwise_distances(sample, "row_no", RADIUS)
     tree = linkage.linkage_tree(linkage.average_linkage(d, 20.0))
     return figures.link_levels(tree, 15.0).select("merge_no", r4(F.col("height"), "height"), "size", "below")
