@@ -1,14 +1,17 @@
 """Labelled pages for the page model: layouts of common sites with a label per block.
 
 Every page is put together by a seeded generator from parts whose role is known. Words are made up, so the model
-learns from tags, attributes and shapes of text only.
+learns from tags, attributes and shapes of text only. Names of containers speak on some sites only: on others they are
+hashed, missing (often with plain ``div`` for every tag), or mislead, so shapes have to carry the decision there.
 """
 
 from __future__ import annotations
 
 import random
 
-PAGES = 600
+PAGES = 1000
+#: How a site names its containers, and how many sites do so.
+STYLES = {"plain": 50, "hashed": 20, "missing": 22, "misleading": 8}
 _SYLLABLES = "ba co di fu ge ha jo ka le mi no pu ra se ti vo wa xe yu zo an el is or un".split()
 _MENU = [("nav", ""), ("nav", "navbar"), ("div", "menu"), ("div", "nav main-nav"), ("ul", "navigation"), ("div", "breadcrumb"), ("div", "topbar"), ("div", "toc")]
 _TOP = [("header", ""), ("header", "site-header"), ("div", "header"), ("div", "masthead"), ("div", "logo branding")]
@@ -22,8 +25,9 @@ _BODY = [("article", ""), ("article", "post"), ("main", ""), ("div", "content"),
 
 
 class _Page:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, style: str | None = None):
         self.r = random.Random(seed)
+        self.style = style or self.r.choices(list(STYLES), list(STYLES.values()))[0]
         self.html: list[str] = []
         self.states: list[bool] = []
 
@@ -42,12 +46,25 @@ class _Page:
         return f'<a href="/{self.words(1, 1)}">{self.words(low, high)}</a>'
 
     def inside(self, kind: tuple[str, str], fill) -> None:
-        tag, name = kind
+        tag, name = self.named(*kind)
         attribute = f' {self.r.choice(["class", "class", "id"])}="{name}"' if name else ""
         self.html.append(f"<{tag}{attribute}>")
         fill()
         self.html.append(f"</{tag}>")
 
+    def named(self, tag: str, name: str) -> tuple[str, str]:
+        """Tag and name of a container in the style of the site."""
+        r = self.r
+        if self.style == "hashed":
+            name = " ".join(r.choice(["css-", "sc-", "_", "jsx-"]) + "".join(r.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(r.randint(1, 2)))
+        elif self.style == "missing":
+            name = ""
+        elif self.style == "misleading" and r.random() < 0.5:
+            name = r.choice(r.choice([_MENU, _TOP, _SIDE, _AD, _BODY, _BODY]))[1]
+        if self.style in ("hashed", "missing") and tag not in ("ul", "ol", "p") and r.random() < 0.6:
+            tag = "div"
+        return tag, name
+
     def menu(self) -> None:
         for _ in range(self.r.randint(2, 8)):
             self.block("li", self.link(), False)
@@ -129,9 +146,9 @@ class _Page:
                 self.extra()
 
 
-def labelled_page(seed: int) -> tuple[str, list[bool]]:
+def labelled_page(seed: int, style: str | None = None) -> tuple[str, list[bool]]:
     """A page and the state of each of its leaf blocks."""
-    p = _Page(seed)
+    p = _Page(seed, style)
     r = p.r
     p.html.append("<!DOCTYPE html><html><head>")
     if r.random() < 0.9:
@@ -159,5 +176,5 @@ def labelled_page(seed: int) -> tuple[str, list[bool]]:
     return "".join(p.html), p.states
 
 
-def labelled_pages(count: int = PAGES, first_seed: int = 0) -> list[tuple[str, list[bool]]]:
-    return [labelled_page(first_seed + k) for k in range(count)]
+def labelled_pages(count: int = PAGES, first_seed: int = 0, style: str | None = None) -> list[tuple[str, list[bool]]]:
+    return [labelled_page(first_seed + k, style) for k in range(count)]

@@ -137,14 +137,28 @@ def leaves(page: str) -> list[Leaf]:
 _SIZES = (3, 8, 16, 40)
 
 
+def _shape(block: Leaf) -> tuple[int, int]:
+    """Size class of a block's text and how much of it is links."""
+    share = block.linked / len(block.text)
+    return sum(len(block.text.split()) >= s for s in _SIZES), 0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3
+
+
 def features(blocks: list[Leaf]) -> list[list[str]]:
     """Names of the features of each block."""
     out = []
+    shapes = [_shape(b) for b in blocks]
     for k, b in enumerate(blocks):
-        words = b.text.split()
-        share = b.linked / len(b.text)
-        f = ["any", f"own={b.tags[-1] if b.tags else ''}", f"size={sum(len(words) >= s for s in _SIZES)}",
-             f"links={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
+        size, links = shapes[k]
+        own = b.tags[-1] if b.tags else ""
+        f = ["any", f"own={own}", f"size={size}", f"links={links}", f"own={own},size={size}"]
+        for side, other in (("before", k - 1), ("after", k + 1)):  # what stands beside it, and whether in the same place
+            if 0 <= other < len(blocks):
+                n = blocks[other]
+                same = n.tags[:-1] == b.tags[:-1]
+                f += [f"{side},size={shapes[other][0]}", f"{side},links={shapes[other][1]}", f"{side},own={n.tags[-1] if n.tags else ''}", f"{side},same={same},size={shapes[other][0]}"]
+        near = shapes[max(k - 3, 0):k + 4]
+        f.append(f"prose={sum(s >= 2 and not l for s, l in near)}")
+        f.append(f"depth={min(len(b.tags), 6)}")
         f += [f"in={t}" for t in set(b.tags)]
         f += [f"word={w}" for w in b.words] + [f"near={w}" for w in b.near]
         f.append(f"up={b.tags[-2] if len(b.tags) > 1 else ''}")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandweave.llm import decontaminate, flat, html_pages, html_text, quality
@@ -179,6 +180,45 @@ def test_gradient_and_viterbi_by_enumeration():
             assert abs((up - down) / 2e-6 - g[k]) < 1e-4
 
 
+def test_decoding_by_enumeration():
+    """The states of short pages score as high as the best of all combinations, and count every feature."""
+    from itertools import product
+
+    chain = html_text.default_chain()
+    pages = [p for p, s in html_pages.labelled_pages(300, 9_000) if 0 < len(s) <= 12]
+    assert len(pages) >= 10
+    for page in pages:
+        blocks = html_text.leaves(page)
+        unary = [sum(chain.weights.get(f, 0.0) for f in fs) for fs in html_text.features(blocks)]
+
+        def score(states):
+            return (chain.start[states[0]] + sum(u for u, q in zip(unary, states) if q)
+                    + sum(chain.change[a, b] for a, b in zip(states, states[1:])))
+
+        best = max(score(x) for x in product((0, 1), repeat=len(blocks)))
+        assert abs(score([int(x) for x in chain.decode(blocks)]) - best) < 1e-9
+
+
+@pytest.mark.parametrize("style,least", [("plain", 0.99), ("hashed", 0.94), ("missing", 0.94), ("misleading", 0.92)])
+def test_chain_on_sites_that_name_nothing(style, least):
+    chain, hit, found, truth = html_text.default_chain(), 0, 0, 0
+    for page, states in html_pages.labelled_pages(150, 50_000, style):
+        got = chain.decode(html_text.leaves(page))
+        hit, found, truth = hit + sum(a and b for a, b in zip(got, states)), found + sum(got), truth + sum(states)
+    assert 2 * hit / (found + truth) >= least
+
+
+UNNAMED = """<html><body><div class="x1"><ul><li><a href="/a">home</a></li><li><a href="/b">news</a></li></ul></div><div class="css-1q2w3e"><h1>Title of the article here</h1>
+<p>First paragraph of a longer text that goes on for some words, and ends here.</p><ul><li>one item of it</li></ul><table><tr><td>cell a</td><td>12</td></tr></table><pre>code here</pre>
+<blockquote>A quoted sentence.</blockquote><h2>Second part</h2><p>More prose follows in this second paragraph, also with a number of words.</p></div></body></html>"""
+
+
+def test_an_article_without_a_speaking_name_is_kept():
+    want = ["Title of the article here", "First paragraph of a longer text that goes on for some words, and ends here.", "one item of it", "cell a", "12", "code here",
+            "A quoted sentence.", "Second part", "More prose follows in this second paragraph, also with a number of words."]
+    assert html_text.default_chain().text(UNNAMED) == "\n\n".join(want)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{a:">"}</style><script>var t="</p><p>no";</script></head><body>
 <header><a href=/>Site</a></header><nav><ul><li><a href="/a>b">One</a><li><a href=/b>Two</a></ul></nav><div class="ad">Buy now.</div>
 <article><h1>The  title &amp;&nbsp;more</h1><p>First <b>bold<br>text<p>Second &lt;tag&gt; paragraph, with some more words in it.<!-- <p>no --></p>
