@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from strandweave.functions import rotation as R
 from strandweave.operators.distance import CENTRE_EULER, CENTRE_SHIFT, distance_to_centre
+from strandweave.operators.ranking import ranked
 from strandweave.schema import ANGLE, CHAIN_STAT_COLUMNS, CLASS_STAT_COLUMNS, VECT
 from strandweave.session import cut_lineage, ship_code
 
@@ -189,12 +190,11 @@ def class_overlap(pairs: DataFrame) -> DataFrame:
     first = per_particle.select("_c", F.posexplode("_c").alias("_at", "c1"))
     shared = first.select("c1", F.explode(F.slice("_c", F.col("_at") + 2, F.size("_c"))).alias("c2"))
     shared = shared.groupBy("c1", "c2").agg(F.count("*").alias("overlapRiboNr"))
-    # the class list is bounded by the clustering sample, it combines in one small array
-    all_classes = sizes.agg(F.array_sort(F.collect_list(F.struct("pairClass", "n"))).alias("_c"))
-    combos = all_classes.select("_c", F.posexplode("_c").alias("_at", "_a"))
-    combos = combos.select("_a", F.explode(F.slice("_c", F.col("_at") + 2, F.size("_c"))).alias("_b"))
-    combos = combos.select(F.col("_a.pairClass").alias("c1"), F.col("_b.pairClass").alias("c2"),
-                           F.col("_a.n").alias("riboNr_C1"), F.col("_b.n").alias("riboNr_C2"))
+    # every class, numbered in order, meets the classes behind it by their numbers: an equi-join on narrow rows
+    numbered = cut_lineage(ranked(sizes.withColumn("_all", F.lit(0)), ["_all"], ["pairClass"], "_k").drop("_all"))
+    total = numbered.count()
+    ahead = numbered.where(F.col("_k") < total).select(F.col("pairClass").alias("c1"), F.col("n").alias("riboNr_C1"), F.explode(F.sequence(F.col("_k") + 1, F.lit(total))).alias("_k"))
+    combos = ahead.join(numbered.select("_k", F.col("pairClass").alias("c2"), F.col("n").alias("riboNr_C2")), "_k").drop("_k")
     out = combos.join(shared, ["c1", "c2"], "left").fillna(0, ["overlapRiboNr"])
     return out.select(
         F.format_string("c%d_c%d", "c1", "c2").alias("pairClass"), "riboNr_C1", "riboNr_C2", "overlapRiboNr",
