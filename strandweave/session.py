@@ -48,9 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Bytes of an Arrow batch where the session says nothing else; Spark's own 64 MB are held several times by a task.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20))
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers, once per Spark application."""
+    """Makes this package importable in the Python workers, once per Spark application, and bounds the batches they get."""
     sc = spark.sparkContext
+    key, default, ours = ARROW_BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, ours)
     if getattr(sc, "_strandweave_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
