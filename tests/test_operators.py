@@ -288,3 +288,32 @@ def test_error_bins_in_pages_and_chunks(spark, monkeypatch):
         spots = sum(r.weight * (r.lo + r.bin * (r.hi - r.lo) / (r.bins - 1)) for r in mine)
         assert np.isclose(spots / len(d), np.mean(d), atol=1e-5)
     assert compare.error_bins(inside, centres.where("1 = 0"), 120.0).count() == 0
+
+
+@pytest.mark.parametrize("model,params", [("norm", [1.0, 2.0]), ("expon", [1.0, 2.0]), ("gamma", [2.5, -1.0, 2.0]), ("gamma", [0.3, 0.0, 1.0]), ("gamma", [400.0, 0.0, 1.0]), ("lognorm", [0.6, -1.0, 2.0])])
+def test_quantiles_and_densities_belong_to_the_distribution(model, params):
+    p = np.linspace(0.001, 0.999, 501)
+    q = special.quantile(model, p, params)
+    assert np.abs(special.cdf(model, q, params) - p).max() < 1e-12
+    if params[0] != 0.3:  # too steep at 0 for a difference quotient
+        slope = (special.cdf(model, q + 1e-5, params) - special.cdf(model, q - 1e-5, params)) / 2e-5
+        assert np.allclose(slope, special.pdf(model, q, params), rtol=1e-5, atol=1e-7)
+
+
+@pytest.mark.parametrize("model", ["gamma", "lognorm", "genFit"])
+def test_fit_quantiles_and_curves(spark, model):
+    rng = np.random.default_rng(6)
+    x = rng.gamma(3.0, 2.0, 400)
+    df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(x)], "g int, k long, v double")
+    rows = sorted(fit.fit_quantiles(df, ["g"], "v", "k", [model]).collect(), key=lambda r: r.nth)
+    z = np.sort((x - x.mean()) / x.std())
+    assert np.allclose([r.observed for r in rows], z, atol=1e-9) and [r.p_observed for r in rows] == [(k + 1) / 400 for k in range(400)]
+    inner = slice(20, 380)
+    assert np.abs(np.array([r.theoretical for r in rows]) - z)[inner].max() < 0.35
+    assert np.abs(np.array([r.p_theoretical for r in rows]) - np.array([r.p_observed for r in rows])).max() < 0.08
+    curve = sorted(fit.fit_curves(df, ["g"], "v", "k", [model], points=101).collect(), key=lambda r: r.point)
+    xs, ys = np.array([r.x for r in curve]), np.array([r.height for r in curve])
+    top = np.percentile(z, 99)
+    counts, edges = np.histogram(z, np.linspace(z[0], top, 20))
+    area = ((counts[1:] + counts[:-1]) / 2 * np.diff(edges[:-1])).sum()
+    assert np.isclose(xs[-1], top) and np.isclose(((ys[1:] + ys[:-1]) / 2 * np.diff(xs)).sum(), area)
