@@ -72,8 +72,6 @@ def _scattered(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
-    x *= np.uint64(0x9FB21C651E98DF25)
-    x ^= x >> np.uint64(32)
     return x
 
 

@@ -82,6 +82,37 @@ def starts_of(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+#: Code points of a piece that two 64-bit words hold exactly, 21 bits each.
+SHORT = 6
+
+
+def _packed(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``SHORT`` code points of each piece, one more than the code each, 0 behind its end."""
+    padded = np.zeros(len(codes) + SHORT, np.uint64)
+    np.add(codes, 1, out=padded[:len(codes)], dtype=np.uint64)
+    words = []
+    for first in (0, SHORT // 2):
+        word = np.where(sizes > first, padded[starts + first], np.uint64(0))
+        for k in range(1, SHORT // 2):
+            word |= np.where(sizes > first + k, padded[starts + first + k], np.uint64(0)) << np.uint64(21 * k)
+        words.append(word)
+    return words[0], words[1]
+
+
+class _Grown:
+    """An array that grows at its end by doubling, so that many small additions cost no copies of all."""
+
+    def __init__(self, dtype):
+        self.data, self.size = np.zeros(1024, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(end, 2 * len(self.data)) - len(self.data), self.data.dtype)])
+        self.data[self.size:end] = values
+        self.size = end
+
+
 class PieceCache:
     """Ids of pieces. ``encode`` turns a list of pieces into lists of ids."""
 
@@ -91,59 +122,72 @@ class PieceCache:
 
     def _clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes and their slots
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.code_starts, self.code_lengths, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        kinds = {"starts": np.int64, "lengths": np.int64, "flat": np.int32, "code_starts": np.int64, "code_lengths": np.int64,
+                 "codes": np.uint32, "low": np.uint64, "high": np.uint64}
+        self.grown = {name: _Grown(kind) for name, kind in kinds.items()}
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        """Values by slot (ids and code points: by start); those behind the last one have no meaning."""
+        if name == "grown" or name not in self.grown:
+            raise AttributeError(name)
+        return self.grown[name].data
 
     @property
     def held(self) -> int:
-        return len(self.flat) + len(self.codes) + 16 * len(self.keys)
+        return self.grown["flat"].size + self.grown["codes"].size + 16 * len(self.keys)
 
-    def _add(self, keys: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: list[list[int]]) -> None:
+    def _add(self, keys, codes, starts, sizes, low, high, ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, len(self.starts) + np.arange(len(keys)))
-        self.starts = np.append(self.starts, len(self.flat) + flat.offsets_of(lengths)[:-1])
-        self.lengths = np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())))
-        self.code_starts = np.append(self.code_starts, len(self.codes) + flat.offsets_of(sizes)[:-1])
-        self.code_lengths = np.append(self.code_lengths, sizes)
-        self.codes = np.append(self.codes, codes[flat.ragged(starts, sizes)].astype(np.uint32))
+        g = self.grown
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, g["starts"].size + np.arange(len(keys)))
+        g["starts"].extend(g["flat"].size + flat.offsets_of(lengths)[:-1])
+        g["lengths"].extend(lengths)
+        g["flat"].extend(np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())))
+        g["code_starts"].extend(g["codes"].size + flat.offsets_of(sizes)[:-1])
+        g["code_lengths"].extend(sizes)
+        g["codes"].extend(codes[flat.ragged(starts, sizes)].astype(np.uint32))
+        g["low"].extend(low)
+        g["high"].extend(high)
 
     def find(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> np.ndarray:
         """Slots of the pieces ``text[start:end]``, whose code points are ``codes[start:end]``; good until the next call."""
         if self.held > self.limit:
             self._clear()
-        hashes, sizes = flat.mixed_hashes(codes, starts, ends), ends - starts
+        sizes = ends - starts
+        low, high = _packed(codes, starts, sizes)
+        hashes = flat.mix(flat.mix(low) + high * np.uint64(0xD6E8FEB86659FD93))
+        long = np.flatnonzero(sizes > SHORT)
+        hashes[long] = flat.mixed_hashes(codes, starts[long], ends[long])
         while True:
             keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
             at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
             known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-            moved = self._strangers(codes, starts, sizes, first, back, at, known)
+            moved = self._strangers(codes, starts, sizes, low, high, first, back, at, known)
             if not len(moved):
                 break
             hashes[moved] = flat.mix(hashes[moved] + np.uint64(1))  # another piece has this hash: the next place
         new = first[~known]
         if len(new):
-            self._add(keys[~known], codes, starts[new], sizes[new], self.encode([text[starts[i]:ends[i]] for i in new]))
+            self._add(keys[~known], codes, starts[new], sizes[new], low[new], high[new], self.encode([text[starts[i]:ends[i]] for i in new]))
         return self.slots[np.searchsorted(self.keys, keys)][back]
 
-    def _strangers(self, codes, starts, sizes, first, back, at, known) -> np.ndarray:
+    def _strangers(self, codes, starts, sizes, low, high, first, back, at, known) -> np.ndarray:
         """Pieces that differ from the kept piece of their hash, or else from the first of the batch."""
-        repeated = np.flatnonzero(first[back] != np.arange(len(back)))
-        model = first[back[repeated]]
-        short = repeated[sizes[repeated] != sizes[model]]
-        even = sizes[repeated] == sizes[model]
-        repeated, model = repeated[even], model[even]
-        found = [short, repeated[flat.differing(codes, starts[repeated], codes, starts[model], sizes[repeated])]]
-        here, slots = np.flatnonzero(known), self.slots[at[known]] if len(self.slots) else np.zeros(0, np.int64)
-        even = self.code_lengths[slots] == sizes[first[here]]
-        wrong = np.zeros(len(known), bool)
-        wrong[here[~even]] = True
-        here, slots = here[even], slots[even]
-        wrong[here[flat.differing(codes, starts[first[here]], self.codes, self.code_starts[slots], sizes[first[here]])]] = True
-        if wrong.any():
-            found.append(np.flatnonzero(wrong[back]))
-        return np.unique(np.concatenate(found))
+        model = first[back]
+        other = (sizes != sizes[model]) | (low != low[model]) | (high != high[model])
+        rest = np.flatnonzero(~other & (sizes > SHORT) & (model != np.arange(len(model))))
+        other[rest[flat.differing(codes, starts[rest], codes, starts[model[rest]], sizes[rest])]] = True
+        if known.any():
+            here, slots = first[known], self.slots[at[known]]
+            wrong = (sizes[here] != self.code_lengths[slots]) | (low[here] != self.low[slots]) | (high[here] != self.high[slots])
+            rest = np.flatnonzero(~wrong & (sizes[here] > SHORT))
+            wrong[rest[flat.differing(codes, starts[here[rest]], self.codes, self.code_starts[slots[rest]], sizes[here[rest]])]] = True
+            if wrong.any():
+                keys = np.zeros(len(known), bool)
+                keys[np.flatnonzero(known)[wrong]] = True
+                other |= keys[back]
+        return np.flatnonzero(other)
 
     def ids(self, slots: np.ndarray) -> np.ndarray:
         return self.flat[flat.ragged(self.starts[slots], self.lengths[slots])]

@@ -50,12 +50,13 @@ def test_thue_morse_texts_have_their_own_ids():
 
 
 def test_pieces_of_one_hash_are_told_apart(monkeypatch):
-    real, tok = flat.mixed_hashes, pieces.tokenizer(BYTES)
+    real, mix, tok = flat.mixed_hashes, flat.mix, pieces.tokenizer(BYTES)
     monkeypatch.setattr(flat, "mixed_hashes", lambda values, starts, ends: real(values, starts, ends) & np.uint64(3))
+    monkeypatch.setattr(flat, "mix", lambda h: mix(h) & np.uint64(4095))
     tok.cache._clear()
     r = random.Random(8)
     for _ in range(20):
-        texts = [" ".join(r.choices(["one", "two", "three", "anna", "hanna", "x" * 40, "y" * 40, "é"], k=9)) for _ in range(3)]
+        texts = [" ".join(r.choices(["one", "two", "three", "anna", "hanna", "x" * 40, "y" * 40, "é", "abcdefg", "abcdefh"], k=9)) for _ in range(3)]
         ids, at = tok.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tok.library.encode(t).ids for t in texts]
     tok.cache._clear()
