@@ -22,6 +22,8 @@ from strandweave.llm import flat
 SPACE, LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3, 4
 #: Characters and ids kept per worker process, a piece counting as 16 more; beyond, the cache starts anew.
 CACHED = 12_000_000
+#: The same for pre-tokens of byte-level BPE, which are short and many.
+CACHED_BYTES = 36_000_000
 _kinds: np.ndarray | None = None
 
 
@@ -207,7 +209,7 @@ class ByteTokenizer:
         self.special = sorted((t.content for t in added), key=len, reverse=True)
         self.longest_special = max(map(len, self.special), default=0)
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.cache = PieceCache(lambda pieces: [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)])
+        self.cache = PieceCache(lambda pieces: [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)], CACHED_BYTES)
 
     def starts(self, texts: list[str], codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """First positions of all pieces; a special token is a piece, and the texts around it are texts of their own."""
