@@ -50,6 +50,15 @@ def test_crowded_cells_are_joined_in_blocks(spark, monkeypatch, block):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_copies_for_the_touched_cells_are_not_broadcast(spark):
+    df = spark.range(20).selectExpr("id AS particle_id", "0 AS tomo_id", "double(id) AS x", "0d AS y", "0d AS z")  # of known size
+    copies = ranges.with_touched_cells(df, P.XYZ, 2.0, 4.0)
+    home = ranges.with_cell(df.select("tomo_id", *[F.col(c).alias("o" + c) for c in P.XYZ]), ["ox", "oy", "oz"], 4.0)
+    for joined in (copies.join(home, ["tomo_id", *ranges.CELL]), home.join(copies.where("x > 0"), ["tomo_id", *ranges.CELL])):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_crowded_keys_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ranges, "BLOCK", 2)
     monkeypatch.setattr(ranges, "HOT_KEYS", 4)
