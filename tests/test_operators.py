@@ -33,6 +33,17 @@ def test_pair_transforms_follow_the_matrices(spark):
         assert np.isclose(r.pairAngDist, models.angle(ra.T @ rb), atol=1e-2)
 
 
+def test_row_order_of_pairs_needs_no_sort_of_them(spark):
+    particles = _random_particles(spark, 30).withColumn("particle_id", F.lit(1 << 40) - F.col("particle_id") * 7)
+    pairs = P.ordered_transforms(particles, 120.0)
+    rows = pairs.select("row_no", "pairTomoID", "pairIDX1", "pairIDX2").collect()
+    want = P.neighbour_transforms(particles, 120.0).select("pairTomoID", "pairIDX1", "pairIDX2").collect()
+    assert [tuple(r)[1:] for r in sorted(rows)] == sorted(map(tuple, want)) and len({r.row_no for r in rows}) == len(rows) > 50
+    plan = pairs.where("pairTomoID = 1").groupBy("pairIDX1").count()._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "ATAN2" not in plan  # nor are columns computed that are not read
+    assert pairs.columns == P.with_row_order(P.neighbour_transforms(particles, 120.0)).columns
+
+
 def test_result_does_not_depend_on_partitioning(spark):
     particles = _random_particles(spark, 40)
     pick = lambda df: sorted(P.neighbour_transforms(df, 80.0).select("pairIDX1", "pairIDX2", "pairTransVectX").collect())
