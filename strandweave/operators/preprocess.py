@@ -38,21 +38,21 @@ def duplicate_losers(particles: DataFrame, min_distance: float, score: str | Non
     fine = min_distance / math.sqrt(3.0) * (1.0 - 1e-9)
     pts = with_cell(particles.select("tomo_id", "particle_id", *XYZ, rank.alias("_rank")), XYZ, fine)
     best = F.struct(F.col("_rank").alias("r"), *[F.col(a).alias(a) for a in XYZ])
-    tops = pts.groupBy("tomo_id", *CELL).agg(F.max(best).alias("_t"))
-    tops = tops.select("tomo_id", *[F.col(c).alias("_own" + c) for c in CELL], F.col("_t.r").alias("_top"),
-                       *[F.col(f"_t.{a}").alias("t" + a) for a in XYZ])
-    reach = with_touched_cells(tops, ["t" + a for a in XYZ], min_distance, fine)
-    foreign = F.lit(False)
-    for c in CELL:
-        foreign = foreign | (F.col(c) != F.col("_own" + c))
-    reach = reach.where(foreign)
+    tops = cut_lineage(pts.groupBy("tomo_id", *CELL).agg(F.max(best).alias("_t")).select("tomo_id", "_t.*"))
+    # tops meet the points around them in cells of twice the distance: at most eight copies of a top, at most 7**3 tops a point
+    side = 2.0 * min_distance
+    reach = with_touched_cells(tops.select(F.col("tomo_id").alias("_tomo"), F.col("r").alias("_top"), *[F.col(a).alias("t" + a) for a in XYZ]),
+                               ["t" + a for a in XYZ], min_distance, side)
+    reach = reach.select(F.xxhash64("_tomo", *CELL).alias("_at"), "_tomo", "_top", *["t" + a for a in XYZ])
+    around = with_cell(particles.select("tomo_id", *XYZ, rank.alias("_rank")), XYZ, side)
+    around = around.select(F.xxhash64("tomo_id", *CELL).alias("_at"), "tomo_id", *XYZ, "_rank")  # one number instead of four keys
     near = squared_gap(XYZ, ["t" + a for a in XYZ])
-    beaten = pts.join(reach, ["tomo_id", *CELL]).where(
-        (F.col("_rank") > F.col("_top")) & (F.sqrt(near) <= F.lit(float(min_distance))))
-    lost_tops = beaten.select(F.col("_top.i").alias("particle_id"))
-    own = tops.select("tomo_id", *[F.col("_own" + c).alias(c) for c in CELL], "_top")
-    lost_inside = pts.join(own, ["tomo_id", *CELL]).where(F.col("_rank") < F.col("_top")).select("particle_id")
-    return lost_tops.union(lost_inside).distinct()
+    beaten = around.join(reach, "_at").where(
+        (F.col("tomo_id") == F.col("_tomo")) & (F.col("_rank") > F.col("_top")) & (F.sqrt(near) <= F.lit(float(min_distance))))
+    beaten = beaten.select(F.col("_top.i").alias("particle_id")).distinct()
+    unbeaten = tops.select(F.col("r.i").alias("particle_id")).join(beaten, "particle_id", "left_anti")
+    placed = particles.where(F.col("tomo_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    return placed.select("particle_id").join(unbeaten, "particle_id", "left_anti").distinct()
 
 
 def drop_duplicates_within(

@@ -44,6 +44,22 @@ def test_row_order_of_pairs_needs_no_sort_of_them(spark):
     assert pairs.columns == P.with_row_order(P.neighbour_transforms(particles, 120.0)).columns
 
 
+def test_duplicates_copy_a_particle_to_eight_cells_at_most(spark, monkeypatch):
+    copies = []
+
+    def counted(*args):
+        copies.append(ranges.with_touched_cells(*args))
+        return copies[-1]
+
+    monkeypatch.setattr(preprocess, "with_touched_cells", counted)
+    particles = _random_particles(spark, 100)
+    lost = {r.particle_id for r in preprocess.duplicate_losers(particles, 40.0).collect()}
+    rows = particles.collect()
+    want = {min(a.particle_id, b.particle_id) for a, b in itertools.combinations(rows, 2) if a.tomo_id == b.tomo_id
+            and np.linalg.norm([a[c] - b[c] for c in "xyz"]) <= 40.0}
+    assert lost == want and sum(c.count() for c in copies) <= 8 * len(rows)
+
+
 def test_result_does_not_depend_on_partitioning(spark):
     particles = _random_particles(spark, 40)
     pick = lambda df: sorted(P.neighbour_transforms(df, 80.0).select("pairIDX1", "pairIDX2", "pairTransVectX").collect())
