@@ -128,3 +128,13 @@ def test_pruning_judges_both_directions_on_the_same_input(spark):
     kept = {r.row_no for r in tracking.best_edges(df.withColumn("cn_distance", score)).collect()}
     # (1,3) wins at 1 but loses at 3; (1,2) loses at 1; (4,5) loses at 4
     assert kept == {6}
+
+
+def test_best_edges_are_found_without_sorting_all_edges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(c), int(a), int(b), float(d)) for k, (c, a, b, d) in enumerate(zip(*(rng.integers(0, n, 300) for n in (2, 12, 12, 4))))]
+    df = spark.createDataFrame(rows, "row_no long, pairClass int, pairIDX1 long, pairIDX2 long, cn_distance double")
+    best = tracking.best_edges(df)
+    top = [{min((r[4], r[0]) for r in rows if (r[1], r[e]) == key)[1] for key in {(r[1], r[e]) for r in rows}} for e in (2, 3)]
+    assert {r.row_no for r in best.collect()} == top[0] & top[1]
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
