@@ -353,3 +353,39 @@ def test_fit_quantiles_and_curves(spark, model):
     counts, edges = np.histogram(z, np.linspace(z[0], top, 20))
     area = ((counts[1:] + counts[:-1]) / 2 * np.diff(edges[:-1])).sum()
     assert np.isclose(xs[-1], top) and np.isclose(((ys[1:] + ys[:-1]) / 2 * np.diff(xs)).sum(), area)
+
+
+def test_distances_are_tallied_in_blocks(spark, monkeypatch):
+    """The tallies of both kinds are those of the pairs, in blocks of every size and with blocks in which nothing meets."""
+    poses = spark.range(60).select(
+        F.col("id").alias("row_no"), *[((F.xxhash64("id", F.lit(c)) % 1000) / s).alias(c) for c, s in (
+            ("fx", 20), ("fy", 20), ("fz", 20), ("fqw", 2000), ("fqx", 2000), ("fqy", 2000), ("fqz", 2000),
+            ("bx", 20), ("by", 20), ("bz", 20), ("bqw", 2000), ("bqx", 2000), ("bqy", 2000), ("bqz", 2000))])
+    poses = poses.withColumn("fx", F.when(F.col("row_no") == 0, 9000.0).otherwise(F.col("fx"))).cache()
+    monkeypatch.setattr(distance, "BLOCK", 7)
+    for undirected, near in ((False, distance.near_distances), (True, distance.near_undirected_distances)):
+        pairs = near(poses, "row_no", 25.0, 300.0)
+        wanted = {r[0]: r[1:] for r in pairs.groupBy(F.floor(F.col("distance") / 5)).agg(F.count("*"), F.sum("shift_distance"), F.sum("angle_distance")).collect()}
+        got = {r[0]: r[1:] for r in distance.near_bands(poses, "row_no", 25.0, 300.0, undirected).collect()}
+        assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(tuple(wanted[k])) for k in wanted)
+        spread = near(poses, "row_no", 25.0, 300.0, "mean+1std")
+        bands = spread.groupBy(F.least(F.lit(9), F.floor(F.col("distance") * 10))).count()
+        assert sorted(map(tuple, bands.collect())) == sorted(map(tuple, distance.near_normalised_bands(poses, "row_no", 25.0, undirected).collect()))
+
+
+def test_rounding_in_plain_arithmetic(spark):
+    """Halves go to even or away from zero, nothing comes out as a negative zero, and no decimal number is made."""
+    rows = spark.createDataFrame([(0.03125,), (-0.03125,), (0.09375,), (1.00004,), (-1e-9,), (float("nan"),), (None,)], "v double")
+    out = rows.select(R.round_half_even(F.col("v")), R.round_half_up(F.col("v"), 4))
+    got = [tuple(r) for r in out.collect()]
+    assert got[:5] == [(0.0312, 0.0313), (-0.0312, -0.0313), (0.0938, 0.0938), (1.0, 1.0), (0.0, 0.0)]
+    assert str(got[4][0]) == "0.0" and all(v != v for v in got[5]) and got[6] == (None, None)
+    assert "bround" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_transforms_are_compiled(spark):
+    """A session without a limit of its own gets one at which the JVM compiles the generated methods."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    columns = {"particle_id": "long", "tomo_id": "int", "tomo_name": "string", **dict.fromkeys(P.XYZ + P.EULER, "double"), "cls": "int", "psf": "string"}
+    P.neighbour_transforms(spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in columns.items())), 300.0)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
