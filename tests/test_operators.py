@@ -176,6 +176,15 @@ def test_ranks_and_quantiles_with_a_hot_group(spark):
         assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
 
 
+def test_components_by_group(spark):
+    """Every group is a graph of its own, with plain numbers as nodes and edges that come twice."""
+    rows = [("x", 1, 2), ("x", 3, 2), ("x", 2, 1), ("x", 7, 8), ("x", 9, 9), ("y", 2, 7), ("y", 8, 1), ("y", 8, 1)]
+    df = spark.createDataFrame(rows, "g string, a long, b long")
+    got = {(r.g, r.node): r.component for r in pointers.components(df, ("g",)).collect()}
+    assert got == {("x", 1): 1, ("x", 2): 1, ("x", 3): 1, ("x", 7): 7, ("x", 8): 7, ("x", 9): 9,
+                   ("y", 2): 2, ("y", 7): 2, ("y", 8): 1, ("y", 1): 1}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 31), (31, 30)] + [(100, k) for k in range(101, 140)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.operators import tracking
+from strandweave.operators import pointers, tracking
 from tests import models
 
 
@@ -138,3 +138,19 @@ def test_best_edges_are_found_without_sorting_all_edges(spark):
     top = [{min((r[4], r[0]) for r in rows if (r[1], r[e]) == key)[1] for key in {(r[1], r[e]) for r in rows}} for e in (2, 3)]
     assert {r.row_no for r in best.collect()} == top[0] & top[1]
     assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chain_ends_aggregate_by_hash(spark, monkeypatch):
+    """The components behind chain ends never sort the edges for a minimum."""
+    plans, keep = [], pointers.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(pointers, "cut_lineage", noted)
+    rows = [(0, 1, 0, "t0", 1, 2), (3, 1, 0, "t0", 2, 3), (6, 2, 0, "t0", 1, 3), (9, 1, 1, "t1", 12, 11)]
+    df = spark.createDataFrame(rows, "row_no long, pairClass int, pairTomoID int, pairTomoName string, pairIDX1 long, pairIDX2 long")
+    ends = {(r.pairClass, r.pairIDX, r.ifWoOut, r.pairLabel, r.polylen_riboNr, r.pairTomoName) for r in tracking.chain_ends(df).collect()}
+    assert ends == {(1, 1, 0, 1, 3, "t0"), (1, 3, 1, 1, 3, "t0"), (2, 1, 0, 1, 2, "t0"), (2, 3, 1, 1, 2, "t0"), (1, 12, 0, 2, 2, "t1"), (1, 11, 1, 2, 2, "t1")}
+    assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)
