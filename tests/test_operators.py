@@ -398,3 +398,19 @@ def test_transforms_are_compiled(spark):
     columns = {"particle_id": "long", "tomo_id": "int", "tomo_name": "string", **dict.fromkeys(P.XYZ + P.EULER, "double"), "cls": "int", "psf": "string"}
     P.neighbour_transforms(spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in columns.items())), 300.0)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_interpolated_ends_needs_no_distances(spark, tmp_path, monkeypatch):
+    """The query reads class centres only; the distances of all pairs to them are not computed."""
+    from strandweave.plans import catalog
+
+    rng = np.random.default_rng(3)
+    rows = [(k, k % 2, [float(v) for v in rng.normal(0, 0.15, 7)]) for k in range(60)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def unwanted(*args, **kwargs):
+        raise AssertionError("a pass over all pairs that nothing reads")
+
+    monkeypatch.setattr(summary, "class_statistics", unwanted)
+    out = catalog.interpolated_ends(spark, str(tmp_path)).collect()
+    assert {r.direction for r in out} <= {"tail", "head"}
