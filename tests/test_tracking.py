@@ -154,3 +154,25 @@ def test_chain_ends_aggregate_by_hash(spark, monkeypatch):
     ends = {(r.pairClass, r.pairIDX, r.ifWoOut, r.pairLabel, r.polylen_riboNr, r.pairTomoName) for r in tracking.chain_ends(df).collect()}
     assert ends == {(1, 1, 0, 1, 3, "t0"), (1, 3, 1, 1, 3, "t0"), (2, 1, 0, 1, 2, "t0"), (2, 3, 1, 1, 2, "t0"), (1, 12, 0, 2, 2, "t1"), (1, 11, 1, 2, 2, "t1")}
     assert any("HashAggregate" in p for p in plans) and not any("SortAggregate" in p for p in plans)
+
+
+def test_only_followed_edges_of_a_dense_part_are_walked(spark, monkeypatch):
+    """Dense parts against the model; the task that walks a part gets a few edges a particle, not all."""
+    rng = random.Random(21)
+    groups = []
+    for t in range(6):
+        n = 14
+        edges = [(a, b) for a in range(n) for b in range(n) if (a < b or (t > 3 and a != b)) and rng.random() < 0.7]
+        rng.shuffle(edges)
+        groups.append((1 + t % 2, t, [(a + 100 * t, b + 100 * t) for a, b in edges]))
+    df, sizes, keep = _table(spark, groups), [], tracking.cut_lineage
+
+    def noted(table):
+        stored = keep(table)
+        if "_part" in stored.columns and "row_no" in stored.columns:
+            sizes.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(tracking, "cut_lineage", noted)
+    assert _run(df, 2) == _expected(groups, 2)
+    assert sizes and max(sizes) <= 4 * 14 * 6 < sum(len(edges) for _, _, edges in groups)
