@@ -1,4 +1,5 @@
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -382,6 +383,23 @@ def test_distances_are_tallied_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, bands.collect())) == sorted(map(tuple, distance.near_normalised_bands(poses, "row_no", 25.0, undirected).collect()))
 
 
+def test_blocks_in_reach_are_stored_once_and_passed_over_twice(spark, monkeypatch):
+    """Many blocks of one crowded cell: no transform is written or shuffled once per block it meets."""
+    poses = spark.range(900).select(F.col("id").alias("row_no"), *[(F.xxhash64("id", F.lit(c)) % 1000 / s).alias(c) for c, s in zip(
+        distance._POSE, [100.0] * 3 + [2000.0] * 4 + [100.0] * 3 + [2000.0] * 4)]).cache()
+    monkeypatch.setattr(distance, "BLOCK", 30)
+    stored, passes = [], []
+    near, tally = distance._near_blocks, distance._tally_near
+    monkeypatch.setattr(distance, "_near_blocks", lambda *a: stored.append(near(*a)) or stored[-1])
+    monkeypatch.setattr(distance, "_tally_near", lambda *a: passes.append(a) or tally(*a))
+    distance.near_normalised_bands(poses, "row_no", 30.0).collect()
+    assert len(stored) == 1 and len(passes) == 2
+    files = {p.removeprefix("file:") for r in stored[0].select("l_path", "_path").collect() for p in r}
+    folder = {os.path.dirname(p) for p in files}
+    assert len(folder) == 1 and set(os.listdir(folder.pop())) == {os.path.basename(p) for p in files}
+    assert sum(len(np.load(p)) for p in files) == 900
+
+
 def test_rounding_in_plain_arithmetic(spark):
     """Halves go to even or away from zero, nothing comes out as a negative zero, and no decimal number is made."""
     rows = spark.createDataFrame([(0.03125,), (-0.03125,), (0.09375,), (1.00004,), (-1e-9,), (float("nan"),), (None,)], "v double")
