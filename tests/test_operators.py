@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import rotation as R
 from strandweave.functions import special
-from strandweave.operators import assign, compare, distance, fill, fit, geometry, linkage, pairs as P, pointers, preprocess, ranges, ranking, summary
+from strandweave.operators import align, assign, compare, distance, fill, fit, geometry, linkage, pairs as P, pointers, preprocess, ranges, ranking, summary
+from strandweave.schema import VECT
 from tests import models, simulate
 
 
@@ -400,6 +401,34 @@ def test_blocks_in_reach_are_stored_once_and_passed_over_twice(spark, monkeypatc
     assert sum(len(np.load(p)) for p in files) == 900
 
 
+def test_two_means_look_at_all_points_a_few_times(spark, monkeypatch):
+    """Rounds go on over the points that may change sides; centres are those of rounds over all points."""
+    rng = np.random.default_rng(3)
+    shifts = {1: rng.normal(size=(3000, 3)) * 40, 2: rng.uniform(-9, 9, (700, 3)), 3: np.ones((4, 3))}
+    rows = [(c, k * 10 + c, *map(float, x)) for c, xs in shifts.items() for k, x in enumerate(xs)]
+    pts = spark.createDataFrame(rows, ["pairClass", "row_no", *VECT]).withColumn("pairClass", F.col("pairClass").cast("int")).cache()
+    looks = []
+    near = align._nearest_of_two
+    monkeypatch.setattr(align, "_nearest_of_two", lambda *a: looks.append(1) or near(*a))
+    for slab, most in ((align.SLAB, 2), (400, 60)):
+        monkeypatch.setattr(align, "SLAB", slab)
+        looks.clear()
+        got = {r.pairClass: [[r[p + x] for x in "xyz"] for p in "ab"] for r in align._two_means(pts).collect()}
+        assert len(looks) <= most
+        rounds = 0
+        for c, xs in shifts.items():
+            a = xs[np.linalg.norm(xs - xs.mean(axis=0), axis=1).argmax()]
+            two = np.stack([a, xs[np.linalg.norm(xs - a, axis=1).argmax()]])
+            while True:
+                second = np.linalg.norm(xs - two[1], axis=1) < np.linalg.norm(xs - two[0], axis=1)
+                new = np.stack([xs[m].mean(axis=0) if m.any() else old for m, old in zip((~second, second), two)])
+                rounds, moved, two = rounds + 1, np.abs(new - two).max(), new
+                if moved < 1e-9:
+                    break
+            assert np.allclose(got[c], two, atol=1e-7)
+        assert slab != 400 or len(looks) < rounds
+
+
 def test_rounding_in_plain_arithmetic(spark):
     """Halves go to even or away from zero, nothing comes out as a negative zero, and no decimal number is made."""
     rows = spark.createDataFrame([(0.03125,), (-0.03125,), (0.09375,), (1.00004,), (-1e-9,), (float("nan"),), (None,)], "v double")
