@@ -176,3 +176,23 @@ def test_only_followed_edges_of_a_dense_part_are_walked(spark, monkeypatch):
     monkeypatch.setattr(tracking, "cut_lineage", noted)
     assert _run(df, 2) == _expected(groups, 2)
     assert sizes and max(sizes) <= 4 * 14 * 6 < sum(len(edges) for _, _, edges in groups)
+
+
+@pytest.mark.parametrize("seed,loops,depth", [(31, False, 1), (32, True, 1), (33, True, 2)])
+def test_few_edges_of_dense_groups_decide(spark, monkeypatch, seed, loops, depth):
+    """Crowds of edges that lead to the same particle: the chains are those of all walks, few edges are linked."""
+    rng = random.Random(seed)
+    groups = []
+    for t in range(12):
+        n = rng.randint(5, 14)
+        edges = [(a, b) for a in range(n) for b in range(n) if a != b and (loops or a < b) and rng.random() < 0.7]
+        edges += [(n + k, rng.randrange(n)) for k in range(25)]  # only starts
+        rng.shuffle(edges)
+        groups.append((1 + t % 2, t, [(a + 100 * t, b + 100 * t) for a, b in edges]))
+    linked, merging = [], tracking._merging_chains
+    monkeypatch.setattr(tracking, "_merging_chains", lambda links, *more: linked.append(links.count()) or merging(links, *more))
+    if depth > 1:  # parts without forks beside the walked ones
+        groups.append((1, 90, [(9001 + k, 9100) for k in range(9)] + [(9100, 9101)] + [(9050 + k, 9101) for k in range(9)]))
+    wanted = _expected(groups) if depth == 1 else _expected_by_depth(groups, depth)
+    assert _run(_table(spark, groups), depth) == wanted
+    assert linked and all(n < 0.9 * sum(len(g[2]) for g in groups) for n in linked)
