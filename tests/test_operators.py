@@ -429,6 +429,18 @@ def test_two_means_look_at_all_points_a_few_times(spark, monkeypatch):
         assert slab != 400 or len(looks) < rounds
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_directions_do_not_shuffle_the_pairs(spark):
+    pairs = P.ordered_transforms(_random_particles(spark), 90.0).withColumn("pairClass", F.col("pairIDX1") % 2).localCheckpoint()
+    means = pairs.groupBy("pairClass").agg(*[F.avg(v).alias("m" + a) for v, a in zip(VECT, "xyz")])
+    out = align.swap_towards(pairs, means)
+    assert "Exchange hashpartitioning" not in _plan(out)
+    assert out.count() == pairs.count()
+
+
 def test_rounding_in_plain_arithmetic(spark):
     """Halves go to even or away from zero, nothing comes out as a negative zero, and no decimal number is made."""
     rows = spark.createDataFrame([(0.03125,), (-0.03125,), (0.09375,), (1.00004,), (-1e-9,), (float("nan"),), (None,)], "v double")
