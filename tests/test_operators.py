@@ -441,6 +441,17 @@ def test_directions_do_not_shuffle_the_pairs(spark):
     assert out.count() == pairs.count()
 
 
+def test_ranks_and_fits_do_not_shuffle_rows_for_small_tables(spark, monkeypatch):
+    rows = spark.range(400).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") % 1000 / 7.0).alias("v"), F.col("id").alias("row")).localCheckpoint()
+    assert "SortMergeJoin" not in _plan(ranking.ranked(rows, ["g"], ["v", "row"]))
+    stored, cut = [], fit.cut_lineage
+    monkeypatch.setattr(fit, "cut_lineage", lambda df: stored.append(cut(df)) or stored[-1])
+    out = fit.fit_distributions(rows, ["g"], "v", "row", ["expon"])
+    assert out.count() == 3
+    fit.fit_quantiles(rows, ["g"], "v", "row", ["norm"]).count()
+    assert max(df.count() for df in stored) < 400  # the scores are stored once, by the ranking
+
+
 def test_rounding_in_plain_arithmetic(spark):
     """Halves go to even or away from zero, nothing comes out as a negative zero, and no decimal number is made."""
     rows = spark.createDataFrame([(0.03125,), (-0.03125,), (0.09375,), (1.00004,), (-1e-9,), (float("nan"),), (None,)], "v double")
