@@ -452,6 +452,14 @@ def test_ranks_and_fits_do_not_shuffle_rows_for_small_tables(spark, monkeypatch)
     assert max(df.count() for df in stored) < 400  # the scores are stored once, by the ranking
 
 
+def test_missing_pairs_shuffle_ids_only(spark):
+    before = spark.createDataFrame([(1, 2, 5), (3, 2, 6), (4, 5, 7), (2, 1, 8)], "pairIDX1 long, pairIDX2 long, pairClass int")
+    after = spark.createDataFrame([(2, 1, 0), (2, 3, 0), (2, 3, 0)], "pairIDX1 long, pairIDX2 long, pairClass int")
+    lost = compare.missing_pairs(before.hint("merge"), after)
+    assert [tuple(r) for r in lost.collect()] == [(4, 5, 7)]
+    assert "HashAggregate" not in _plan(lost)
+
+
 def test_rounding_in_plain_arithmetic(spark):
     """Halves go to even or away from zero, nothing comes out as a negative zero, and no decimal number is made."""
     rows = spark.createDataFrame([(0.03125,), (-0.03125,), (0.09375,), (1.00004,), (-1e-9,), (float("nan"),), (None,)], "v double")
