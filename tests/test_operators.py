@@ -1,5 +1,6 @@
 import itertools
 import os
+import re
 
 import numpy as np
 import pytest
@@ -460,6 +461,15 @@ def test_missing_pairs_shuffle_ids_only(spark):
     assert "HashAggregate" not in _plan(lost)
 
 
+def test_class_agreement_shuffles_a_pair_once(spark):
+    left = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 4, 2), (5, 6, 1)], "pairIDX1 long, pairIDX2 long, pairClass int")
+    right = spark.createDataFrame([(2, 1, 7), (4, 3, 7), (6, 5, 0), (8, 9, 9)], "pairIDX1 long, pairIDX2 long, pairClass int")
+    out = compare.class_agreement(left, right)
+    got = {r.pairClass: (r.recall, r.precision) for r in out.collect()}
+    assert got == {7: (100.0, 50.0), 9: (0.0, 0.0)}
+    assert not re.search(r"hashpartitioning\(_lo#\d+L, _hi#\d+L, (std|cmp)", _plan(out))
+
+
 def test_rounding_in_plain_arithmetic(spark):
     """Halves go to even or away from zero, nothing comes out as a negative zero, and no decimal number is made."""
     rows = spark.createDataFrame([(0.03125,), (-0.03125,), (0.09375,), (1.00004,), (-1e-9,), (float("nan"),), (None,)], "v double")
